@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import mixing, neardup, packing, pii, quality
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_quality_resampling": quality.op3_quality_resampling,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op8_pii_sanitisation": pii.op8_pii_sanitisation,
     "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_source_mixing": mixing.ORACLE_SQL,
+}
