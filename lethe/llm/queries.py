@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, pii, quality
+from . import fingerprint, mixing, neardup, packing, pii, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_quality_resampling": quality.op3_quality_resampling,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op8_pii_sanitisation": pii.op8_pii_sanitisation,
+    "op9_weighted_fingerprints": fingerprint.op9_weighted_fingerprints,
     "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
 }
 ORACLE_SQL = {
