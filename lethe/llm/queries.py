@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, neardup, packing, pii, quality, sharding
+from . import fingerprint, lm, mixing, neardup, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_quality_resampling": quality.op3_quality_resampling,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_log_bilinear_scores": lm.op6_log_bilinear_scores,
     "op7_balanced_shards": sharding.op7_balanced_shards,
     "op8_pii_sanitisation": pii.op8_pii_sanitisation,
     "op9_weighted_fingerprints": fingerprint.op9_weighted_fingerprints,
