@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, lm, mixing, neardup, packing, pii, quality, sharding
+from . import fingerprint, html, lm, media, mixing, neardup, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_main_text": html.op2_main_text,
     "op3_quality_resampling": quality.op3_quality_resampling,
+    "op4_image_copies": media.op4_image_copies,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_log_bilinear_scores": lm.op6_log_bilinear_scores,
     "op7_balanced_shards": sharding.op7_balanced_shards,
