@@ -9,6 +9,12 @@ from ..functions.fixed import MAX_TERM, MAX_TERMS, REDACTED, TYPES
 from ..functions.text import is_label, is_searchable, is_recent_date, trimmed
 
 
+def _string(field: str) -> Column:
+    """A field of the variant v that is a JSON string; null if it is anything else."""
+    part = F.try_variant_get("v", f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(part) == "STRING", F.try_variant_get("v", f"$.{field}", "string"))
+
+
 def approved_terms(lists: DataFrame, raw: str = "terms_json") -> DataFrame:
     """(doc_id, ord, text, label) of lists(doc_id, raw): the first MAX_TERMS items, then those valid, then the first of equals.
 
@@ -17,7 +23,8 @@ def approved_terms(lists: DataFrame, raw: str = "terms_json") -> DataFrame:
     """
     items = F.from_json(raw, "array<string>")
     rows = lists.select("doc_id", F.posexplode(F.slice(items, 1, MAX_TERMS)).alias("ord", "item"))
-    rows = rows.select("doc_id", "ord", F.from_json("item", "struct<text:string,label:string>").alias("i")).select("doc_id", "ord", trimmed(F.col("i.text")).alias("text"), "i.label")
+    rows = rows.select("doc_id", "ord", F.try_parse_json("item").alias("v"))
+    rows = rows.select("doc_id", "ord", trimmed(_string("text")).alias("text"), _string("label").alias("label"))
     rows = rows.where((F.length("text") > 0) & (F.length("text") <= MAX_TERM))
     first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("ord"))
     return rows.withColumn("n", first).where("n = 1").select("doc_id", "ord", "text", F.when(is_label(F.col("label")), F.col("label")).otherwise(REDACTED).alias("label"))
