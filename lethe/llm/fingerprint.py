@@ -70,28 +70,31 @@ def ranked(ids: DataFrame) -> DataFrame:
     dealt = saved(dealt, "ranges")
     first = dealt.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("first"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "th"))
-    return dealt.withColumn("w", within).join(F.broadcast(first), "part").withColumn("r", F.col("first") + F.col("w") - 1).drop("part", "w", "first")
+    return dealt.withColumn("w", within).join(sized_broadcast(first, first.count(), BROADCAST_ROWS), "part").withColumn("r", F.col("first") + F.col("w") - 1).drop("part", "w", "first")
 
 
 def edited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, ids): texts(r, doc_id, text, new), the text and its edit, and ids(doc_id, th, times, r, n).
+    """(texts, ids): texts(fk, th, text, new), the text and its edit, and ids(fk, th, doc_id, times, r, n).
 
     The edit replaces the last floor(n / 2) code points by the first as many, or all, of the next document's,
     in the order of ``ranked``; after the last comes the first. Of rows equal in doc_id and text one is ranked.
+    A text is shuffled once, and the part of it that its neighbour needs once more.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    ids = saved(rows.groupBy("doc_id", "th").agg(F.count("*").alias("times"), F.first(F.length("text")).alias("n")), "ids")
-    twice = saved(ids.where("times > 1").select(F.col("doc_id").alias("d"), F.col("th").alias("t")), "twice")
+    shown = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("fk", F.xxhash64(shown, F.col("doc_id").isNull())).withColumn("th", F.xxhash64("text"))
+    ids = saved(rows.groupBy("fk", "th", "doc_id").agg(F.count("*").alias("times"), F.first(F.length("text")).alias("n")), "ids")
+    twice = saved(ids.where("times > 1").select("fk", "th"), "twice")
     small = sized_broadcast(twice, twice.count(), BROADCAST_ROWS)
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-    unique = rows.join(small, same, "left_anti").union(rows.join(small, same, "left_semi").dropDuplicates(["doc_id", "th"]))
+    key = ["fk", "th"]
+    rows = rows.drop("doc_id")
+    unique = rows.join(small, key, "left_anti").unionByName(rows.join(small, key, "left_semi").dropDuplicates(key))
     ids = saved(ranked(ids), "ranks")
-    count = ids.count()
-    before = ids.select(F.pmod(F.col("r") + 1, F.lit(max(count, 1))).alias("r"), F.col("n").alias("n_before"))
-    place = saved(ids.join(before, "r").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "r", "n", "n_before"), "places")
-    placed = unique.join(place, same).select("r", "doc_id", "text", "n", "n_before")
-    head = placed.select(F.pmod(F.col("r") - 1, F.lit(max(count, 1))).alias("r"), F.expr("left(text, cast(n_before div 2 as int))").alias("head"))
-    both = placed.select("r", "doc_id", "text", "n").join(head, "r")
+    count = F.lit(max(ids.count(), 1))
+    before = ids.select(F.pmod(F.col("r") + 1, count).alias("r"), F.col("fk").alias("fk_before"), F.col("th").alias("th_before"), F.col("n").alias("n_before"))
+    place = saved(ids.join(before, "r").select("fk", "th", "n", "fk_before", "th_before", "n_before"), "places")
+    placed = unique.join(place, key)
+    head = placed.select(F.col("fk_before").alias("fk"), F.col("th_before").alias("th"), F.expr("left(text, cast(n_before div 2 as int))").alias("head"))
+    both = placed.select("fk", "th", "text", "n").join(head, key)
     return both.withColumn("new", F.concat(F.expr("left(text, cast(n - n div 2 as int))"), F.col("head"))).drop("head", "n"), ids
 
 
@@ -100,26 +103,31 @@ def op9_weighted_fingerprints(spark, sf_dir: str) -> DataFrame:
 
     A null text is an empty one. A document repeated as a whole has its own copy as the next but for the last.
     """
-    texts, ids = edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    each = texts.select("r", F.explode(F.array(F.struct(F.lit(0).alias("k"), words(F.col("text")).alias("w")), F.struct(F.lit(1).alias("k"), words(F.col("new")).alias("w")))).alias("x"))
-    sketches = samples(each.select("r", F.col("x.k").alias("k"), F.explode("x.w").alias("word")), ["r", "k"])
-    sketches = saved(sketches, "sketches")
-    digest = texts.select("r", F.sha2("new", 256).alias("edited_sha256"), F.sha2(F.concat(F.expr("left(text, cast(length(text) - length(text) div 2 as int))"), F.expr("left(text, cast(length(text) div 2 as int))")), 256).alias("own_sha256"))
-    count = ids.count()
-    own = sketches.where("k = 0").select("r", F.col("sketch").alias("own"))
-    new = sketches.where("k = 1").select("r", F.col("sketch").alias("new"))
-    after = own.select(F.pmod(F.col("r") - 1, F.lit(max(count, 1))).alias("r"), F.col("own").alias("after"))
-    out = ids.join(own, "r").join(new, "r").join(after, "r").join(saved(digest, "digests"), "r")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts, ids = edited(docs)
+    part = lambda k, text, digest: F.struct(F.lit(k).alias("k"), words(text).alias("w"), digest.alias("sha"))
+    both = F.array(part(0, F.col("text"), F.lit(None).cast("binary")), part(1, F.col("new"), F.unhex(F.sha2("new", 256))))
+    each = texts.select("fk", "th", F.explode(both).alias("x")).select("fk", "th", F.col("x.k").alias("k"), F.col("x.sha").alias("sha"), F.explode("x.w").alias("word"))
+    # the rows of a text are already together, so neither count nor minimum shuffles
+    sketches = saved(samples(each, ["fk", "th", "k", "sha"]), "sketches")
+    key = ["fk", "th"]
+    count = F.lit(max(ids.count(), 1))
+    own = sketches.where("k = 0").select(*key, F.col("sketch").alias("own"))
+    new = sketches.where("k = 1").select(*key, F.col("sketch").alias("new"), F.lower(F.hex("sha")).alias("edited_sha256"))
+    own = saved(ids.join(own, key), "own")
+    after = own.select(F.pmod(F.col("r") - 1, count).alias("r"), F.col("own").alias("after"))
+    out = own.join(after, "r").join(new, key)
+    copies = saved(out.where("times > 1").select(*key, "doc_id", "times", "n", "own"), "copies")
     last = out.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("new")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"))
-    copies = out.where("times > 1").withColumn("i", F.explode(F.sequence(F.lit(2), F.col("times").cast("int"))))
-    # the edit of a copy by itself: its first half twice
     return last if copies.isEmpty() else last.unionByName(_copies(copies, texts))
 
 
 def _copies(copies: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of the repeated documents but for the last of each: the next document is the same text."""
+    """Rows of the repeated documents but for the last of each: the next document is the same text, the edit its first half twice."""
+    key = ["fk", "th"]
     half = F.concat(F.expr("left(text, cast(length(text) - length(text) div 2 as int))"), F.expr("left(text, cast(length(text) div 2 as int))"))
-    once = texts.join(F.broadcast(copies.select("r").distinct()) if copies.count() <= BROADCAST_ROWS else copies.select("r").distinct(), "r", "left_semi")
-    sketch = samples(once.select("r", F.explode(words(half)).alias("word")), ["r"]).withColumnRenamed("sketch", "half")
-    out = copies.join(sketch, "r")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.col("own_sha256").alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("half")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("half")).alias("near_edited"), F.lit(1.0).alias("near_next"))
+    wanted = copies.select(*key)
+    once = texts.join(sized_broadcast(wanted, wanted.count(), BROADCAST_ROWS), key, "left_semi").select(*key, half.alias("half"))
+    sketch = samples(once.select(*key, F.unhex(F.sha2("half", 256)).alias("sha"), F.explode(words(F.col("half"))).alias("word")), [*key, "sha"])
+    rows = copies.withColumn("i", F.explode(F.sequence(F.lit(2), F.col("times").cast("int")))).join(sketch, key)
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("sketch")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("sketch")).alias("near_edited"), F.lit(1.0).alias("near_next"))
