@@ -123,34 +123,37 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> tuple[int,
 def cutoff(weights: DataFrame, bins: int = 4096) -> int:
     """The log weight that best parts good from bad among rows(lw_, good, bad): most true less false acceptances.
 
-    Two rounds of counting, the second within the bins around the first's best; 0 where a label is missing.
+    The best edge between ever narrower bins is found by counting, then put half-way between the labelled documents on
+    its two sides, so that unlabelled ones near either side are not cut. 0 where a label is missing.
     """
     known = weights.where("good or bad")
     lo, hi, good, bad = known.agg(F.min("lw_"), F.max("lw_"), F.sum(F.col("good").cast("long")), F.sum((~F.col("good")).cast("long"))).first()
     if not good or not bad:
         return 0
-    best, start = 0, (0, 0)
-    for _ in range(3):
-        width = (hi - lo) // bins + 1
-        rows = known.where(F.col("lw_").between(lo, hi)).groupBy(F.expr(f"cast((lw_ - ({lo}L)) div {width}L as long)").alias("bin")).agg(F.sum(F.col("good").cast("long")).alias("g"), F.count("*").alias("n")).orderBy("bin").collect()
-        below_g, below_b, top, at = *start, -1.0, 0
-        held = start
+    best, hi, below = hi + 1, hi + 1, (0, 0)  # accept from best on; below: good and bad under lo
+    while lo < hi:
+        width = (hi - lo - 1) // bins + 1
+        rows = known.where((F.col("lw_") >= lo) & (F.col("lw_") < hi)).groupBy(F.expr(f"cast((lw_ - ({lo}L)) div {width}L as long)").alias("bin")).agg(F.sum(F.col("good").cast("long")).alias("g"), F.count("*").alias("n")).orderBy("bin").collect()
+        g, b = below
+        edges = []
         for row in rows:
-            gain = below_b / bad - below_g / good
-            if gain > top:
-                top, at, held = gain, row["bin"], (below_g, below_b)
-            below_g, below_b = below_g + row["g"], below_b + row["n"] - row["g"]
-        best = lo + at * width
+            edges.append((b / bad - g / good, lo + row["bin"] * width, g, b, row))
+            g, b = g + row["g"], b + row["n"] - row["g"]
+        top = max(edges, key=lambda e: e[0], default=None)
+        if top is None or b / bad - g / good > top[0]:
+            best = hi
+        else:
+            best = top[1]
         if width == 1:
             break
-        # the best edge is between the bin before and this one; look closer at this one's predecessor
-        before = [r for r in rows if r["bin"] < at][-1:]
+        before = [e for e in edges if e[1] < best]  # the true edge is within the last bin before it
         if not before:
             break
-        b = before[0]
-        start = (held[0] - b["g"], held[1] - (b["n"] - b["g"]))
-        lo, hi = lo + b["bin"] * width, best
-    return best
+        _, lo, g, b, _ = before[-1]
+        hi = best = min(best, lo + width)  # nothing lies between the end of that bin and the edge found
+        below = (g, b)
+    under, over = known.agg(F.max(F.when(F.col("lw_") < best, F.col("lw_"))), F.min(F.when(F.col("lw_") >= best, F.col("lw_")))).first()
+    return best if under is None or over is None else (under + over + 1) // 2
 
 
 def model(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> tuple[np.ndarray, int, int, DataFrame]:
