@@ -15,9 +15,10 @@ from .functions.fixed import GENERIC, TITLES
 from .functions.patterns import hits as shape_hits
 from .functions.patterns import pattern_hits
 from .functions.text import canonical, folded, label_name, needs_ocr, nhs_valid, url_decoded
-from .operators import admission, evaluate, findings, grouping, match, rects, terms
+from .operators import admission, evaluate, findings, grouping, match, rects, segments, terms
 from .operators.chunk import chunks
 from .plans.detect import detect, group_terms, pattern_candidates
+from .plans.extract import extract
 from .plans.redact import masked_units, output_name, redact
 from .sources import docx, events, files
 
@@ -198,6 +199,15 @@ def _(spark, sf):
     return masked_units(_units(spark, sf), _term_list(spark)).where("removed > 0").select("doc_id", "text", F.col("removed").cast("long").alias("removed"))
 
 
+@_query("segment_replace", _hits_sql(TERMS) + _MASK_SQL + " SELECT doc_id, text FROM k")
+def _(spark, sf):
+    units = _units(spark, sf)
+    cut = units.select("doc_id", F.lit(0).alias("run_id"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).alias("seg_ord", "text"))
+    spans = match.matched(units, _term_list(spark)).select("doc_id", F.lit(0).alias("run_id"), F.explode("spans").alias("x")).select("doc_id", "run_id", "x.*")
+    out = segments.replaced(cut.join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), spans)
+    return out.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
 _CONV = "(SELECT conv_id AS doc_id, turn AS unit_id, text FROM conversations)"
 
 
@@ -557,6 +567,22 @@ def _(spark, sf):
     return out.join(docx.docx_units(out), "doc_id").select("doc_id", "removed", "text")
 
 
+@_query(
+    "extracted_units",
+    rf"""SELECT c_custkey AS doc_id, 0 AS unit_id, 'Client ' || c_name || ' of' || chr(9) || c_mktsegment || '.' AS text FROM customer
+UNION ALL SELECT c_custkey, 1000000, c_name || '#' FROM customer""",
+)
+def _(spark, sf):
+    made = _word_files(spark, sf).select("doc_id", F.concat(F.lit("in/"), "name", F.lit("#.docx")).alias("file_name"), "content")
+    return extract(made)[0].select("doc_id", "unit_id", "text")
+
+
+@_query("progress_events", "SELECT '{\"doc_id\":' || doc_id || ',\"type\":\"progress\",\"stage\":\"detecting\",\"done\":0,\"total\":2}' AS value FROM documents WHERE length(text) <= 12000")
+def _(spark, sf):
+    units = _units(spark, sf).where("length(text) <= 12000")
+    return events.progress_events(chunks(units), recall=True)
+
+
 @_query("detected_findings")
 def _(spark, sf):
     units = _derived(spark, sf, _ALL, "customer").withColumn("page", F.lit(1))

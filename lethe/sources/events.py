@@ -22,6 +22,12 @@ def finding_events(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id").agg(own.alias("findings")).select(F.to_json(F.struct("doc_id", F.lit("findings").alias("type"), "findings")).alias("value"))
 
 
+def progress_events(chunks: DataFrame, recall: bool) -> DataFrame:
+    """(value): the event that opens a document's detection, with the number of chunks to be read in one or two passes."""
+    total = chunks.groupBy("doc_id").agg((F.count("*") * (2 if recall else 1)).cast("int").alias("total"))
+    return total.select(F.to_json(F.struct("doc_id", F.lit("progress").alias("type"), F.lit(STAGES[1]).alias("stage"), F.lit(0).alias("done"), "total")).alias("value"))
+
+
 def error_events(failed: DataFrame) -> DataFrame:
     """(value): the error event of failed(doc_id, error)."""
     return failed.select(F.to_json(F.struct("doc_id", F.lit("error").alias("type"), F.col("error").alias("message"))).alias("value"))

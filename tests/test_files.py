@@ -81,3 +81,23 @@ def test_streams(spark, tmp_path):
     (tmp_path / "u").mkdir()
     units = _stream(spark, tmp_path / "u", [(1, 0, "a@b.org")], "doc_id long, unit_id int, text string")
     assert [r["text"] for r in _all(spark, hits_stream(units), "hits")] == ["a@b.org"]
+
+
+def test_extract_sorts_out_what_it_cannot_read(spark):
+    from lethe.plans.config import Limits
+    from lethe.plans.extract import doc_meta, extract
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "in/Margaret Jo.docx", _file()), (2, "a.pdf", bytearray(b"%PDF-1.4")), (3, "b", bytearray(b"??")), (4, "c.docx", bytearray(b"PK\x03\x04"))], "doc_id long, file_name string, content binary")
+    units, refused = extract(rows)
+    assert [(r["page"], r["text"]) for r in units.orderBy("unit_id").collect()][-1] == (None, "Margaret Jo")
+    assert {r["doc_id"]: r["error"] for r in refused.collect()} == {2: "no_reader", 3: "unknown_type", 4: "damaged"}
+    meta = doc_meta(units.select("doc_id").distinct().withColumn("kind", F.lit("docx")), units).first()
+    assert (meta["pages"], meta["ocr_pages"]) == (0, 0)
+    assert Limits.of(spark).max_pages == 50
+    spark.conf.set("spark.lethe.per_hour", "x")
+    try:
+        Limits.of(spark)
+        raise AssertionError
+    except ValueError:
+        spark.conf.unset("spark.lethe.per_hour")
