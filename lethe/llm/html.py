@@ -81,7 +81,8 @@ class Page(HTMLParser):
         inner_header = tag == "header" and up[3]
         said = up[2] or (tag in SKIP and not inner_header) or "hidden" in values or values.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", values.get("style", "")))
         if not said and tag not in ("html", "body", "main", "article"):
-            said = bool(WORDS & set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))) and not inner_header
+            marks = WORDS - {"header"} if up[3] else WORDS  # an article's own header holds its title
+            said = bool(marks & set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))) and not inner_header
         if not said and tag == "article":  # readers' comments are often articles
             said = bool({"comment", "comments", "reply"} & set(re.findall(r"[a-z]+", names.lower())))
         main = not said and (up[3] or tag in ("article", "main") or values.get("role") in ("main", "article"))
