@@ -96,7 +96,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
 
 def disclosure(rows: DataFrame, contexts: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(entity, term, strength) of every pair with the support, from counts over all documents."""
-    own = contexts.select("entity", "context").distinct()
+    own = saved(contexts.select("entity", "context").distinct(), "own")  # written, so that a join can split a frequent entity
     often = saved(own.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= support), "entities")
     terms = own.join(often, "entity").select("entity", "ne", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(WORD), F.lit(0)))).alias("term")).where(~F.col("term").rlike("^[0-9]*$"))
     both = saved(terms.groupBy("entity", "ne", "term").agg(F.count("*").alias("nte")).where(F.col("nte") >= support), "pairs")
@@ -115,7 +115,7 @@ def found(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALIS
     contexts = saved(_contexts(rows.select("pi_id", "pi_hash", "pi_text", "pi_base")), "contexts")
     strong = disclosure(rows, contexts, support).where(F.col("strength") >= generalise)
     strong = saved(strong, "disclosing")
-    held = contexts.select("pi_id", "pi_hash", "entity").distinct().join(strong, "entity").groupBy("pi_id", "pi_hash", "term").agg(F.max("strength").alias("strength"))
+    held = saved(contexts.select("pi_id", "pi_hash", "entity").distinct(), "named").join(strong, "entity").groupBy("pi_id", "pi_hash", "term").agg(F.max("strength").alias("strength"))
     held = held.groupBy("pi_id", "pi_hash").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "strength")))).alias("pi_terms"))
     held = saved(held, "held")
     out = rows.join(sized_broadcast(held, held.count(), BROADCAST_ROWS), ["pi_id", "pi_hash"], "left")
