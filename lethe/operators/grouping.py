@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FAMILY_WORDS, NOT_NAMES, PARTICLES, TITLES
-from .findings import numbered
+from .findings import numbered, occurring
 from .match import masked, matched, term_lists
 
 GROUPS = "doc_id long, group_ord int, type string, texts array<string>"
@@ -109,8 +109,6 @@ def with_name_parts(groups: DataFrame, units: DataFrame) -> DataFrame:
     parts = groups.where("type = 'PERSON'").select("doc_id", "group_ord", part.alias("part")).withColumn("part", F.regexp_replace("part", r"^[^\p{L}]+|[^\p{L}]+$", ""))
     parts = parts.where((F.length("part") >= 3) & F.col("part").rlike(r"^\p{Lu}") & ~F.lower("part").isin(*TITLES, *NOT_NAMES)).distinct()
     asked = parts.select("doc_id", F.col("part").alias("text")).distinct()
-    from .findings import occurring
-
     seen = occurring(asked, hidden).withColumnRenamed("text", "part")
     more = parts.join(seen, ["doc_id", "part"], "left_semi").groupBy("doc_id", "group_ord").agg(F.sort_array(F.collect_set("part")).alias("parts"))
     out = groups.join(more, ["doc_id", "group_ord"], "left")
