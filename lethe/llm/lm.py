@@ -133,7 +133,7 @@ def _before(cls, bounds, start):
 
 def _add(target, ids, grads, rate, seen):
     """Adagrad step on the rows named by ids, gradients of one row summed first."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # there are fewer classes than that holds
     ids, grads = ids[order], grads[order]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     total = np.add.reduceat(grads, first, axis=0)
@@ -142,11 +142,20 @@ def _add(target, ids, grads, rate, seen):
     target[at] -= rate * total / np.sqrt(seen[at] + 1e-6)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; large negative scores give 0."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def train_part(p, lex, stream, rng):
     """One pass of noise-contrastive estimation over blocks of (classes, one before, two before); parameters change in place."""
     seen = {k: np.full_like(v, 0.1) for k, v in p.items()}
     cdf, log_noise = np.cumsum(lex.unigram), np.log(lex.unigram * NOISE).astype(np.float32)
-    n = 0
+    n, room = 0, np.empty((BATCH, NOISE), np.float32)
     for cls, one, two in stream:
         order = rng.permutation(len(cls))
         for lo in range(0, len(cls), BATCH):
@@ -155,9 +164,9 @@ def train_part(p, lex, stream, rng):
             ctx = p["r1"][a] + p["r2"][b]
             noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(cdf) - 1)
             good = np.einsum("ij,ij->i", ctx, p["q"][w]) + p["b"][w] - log_noise[w]
-            bad = ctx @ p["q"][noise].T + (p["b"][noise] - log_noise[noise])
-            up = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1).astype(np.float32)  # d loss / d score
-            down = (1 / (1 + np.exp(-np.clip(bad, -30, 30)))).astype(np.float32)
+            bad = np.matmul(ctx, p["q"][noise].T, out=room[: len(i)])
+            bad += p["b"][noise] - log_noise[noise]
+            up, down = _sigmoid(good.astype(np.float32)) - 1, _sigmoid(bad)  # d loss / d score
             grad = up[:, None] * p["q"][w] + down @ p["q"][noise]
             ids = np.concatenate([w, noise])
             size = np.float32(len(i))
@@ -209,18 +218,29 @@ def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 5) ->
     return p
 
 
-def class_scores(p, cls, one, two, block: int = 2048):
-    """Normalised log probability of each token's class: one matrix product for the distinct contexts of a block of them."""
+def class_scores(p, cls, one, two, block: int = 2048, cache: dict | None = None):
+    """Normalised log probability of each token's class: one matrix product for the distinct contexts of a block of them.
+
+    cache keeps the sums of the contexts seen so far, of which there are at most the square of the classes.
+    """
     m = len(p["q"])
+    cache = {} if cache is None else cache
+    known = cache.get("keys", np.zeros(0, np.int64))
     key, where = np.unique(one * (m + 1) + two, return_inverse=True)
     ctx = p["r1"][key // (m + 1)] + p["r2"][key % (m + 1)]
-    norm = np.empty(len(key))
-    for lo in range(0, len(key), block):
-        s = ctx[lo : lo + block] @ p["q"].T + p["b"]
+    at = np.searchsorted(known, key)
+    new = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != key) if len(known) else np.arange(len(key))
+    fresh, part = np.empty(len(new)), np.empty((min(block, len(new)), m), np.float32)
+    for lo in range(0, len(new), block):
+        s = np.matmul(ctx[new[lo : lo + block]], p["q"].T, out=part[: min(block, len(new) - lo)])
+        s += p["b"]
         top = s.max(1)
         s -= top[:, None]
         np.exp(s, out=s)
-        norm[lo : lo + block] = np.log(s.sum(1, dtype=np.float64)) + top
+        fresh[lo : lo + block] = np.log(s.sum(1, dtype=np.float64)) + top
+    cache["sums"] = np.insert(cache.get("sums", np.zeros(0)), at[new], fresh)
+    cache["keys"] = known = np.insert(known, at[new], key[new])
+    norm = cache["sums"][np.searchsorted(known, key)]
     dot = np.empty(len(cls), np.float64)
     for lo in range(0, len(cls), 1 << 16):
         sl = slice(lo, lo + (1 << 16))
@@ -235,11 +255,11 @@ def scored(rows: DataFrame, lex: Lexicon, p: dict[str, np.ndarray]) -> DataFrame
 
     def run(batches):
         lex, p = shared_lex.value, shared.value
-        start = len(p["q"])
+        start, cache = len(p["q"]), {}
         for batch in batches:
             for lo, hi, hashes, rare, bounds in _tokens(batch.column(1)):
                 count, cls = lex.find(hashes, rare)
-                logp = class_scores(p, cls, *_before(cls, bounds, start)) / np.log(10)
+                logp = class_scores(p, cls, *_before(cls, bounds, start), cache=cache) / np.log(10)
                 inner = (cls < RARE) & (count >= 0)
                 logp[inner] += np.log10((count[inner] + 1) / (lex.rare_n[cls[inner]] + lex.rare_v[cls[inner]] + 1))
                 out = (cls < RARE) & (count < 0)
