@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import saved, sized_broadcast
+from .work import parts, saved, sized_broadcast
 
 #: Pages (and share of the host's pages) on which a subtree must recur to be template, outside and inside an article.
 LEAST_PAGES, LEAST_SHARE = 3, 0.01
@@ -108,7 +108,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     """(page_id, url, host, blocks, trees) of every page."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             blocks, trees = [], []
             for html in batch.column(3).to_pylist():
                 page = Page(html or "")

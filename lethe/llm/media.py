@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import saved, sized_broadcast
+from .work import parts, saved, sized_broadcast
 
 SCALES = (1.0, 1.5, 2.25)
 #: Corners at a scale, half side of a patch, bits of a band and number of bands of the table.
@@ -108,7 +108,7 @@ def described(images: DataFrame) -> DataFrame:
     """FEATURE rows of images(media_id, image); a null or unreadable image has none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             out = {c: [] for c in ("media_id", "f", "x", "y", "s", "a", "d", "bands")}
             for media_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 img = decode(data)
@@ -195,7 +195,7 @@ def rendered(embeddings: DataFrame) -> DataFrame:
     source = rows.select(F.col("media_id").alias("shown"), F.col("v").alias("w"))
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             images = []
             for media_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rng = np.random.default_rng(np.frombuffer(np.asarray(v or [], np.float32).tobytes(), np.uint32))

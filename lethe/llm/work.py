@@ -37,3 +37,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only where the counted rows stay within the limit; a shuffled join beyond it."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def parts(batches, rows: int = 256):
+    """Arrow batches in slices of so many rows, which bounds what a task holds as Python objects."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
