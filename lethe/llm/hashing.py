@@ -1,7 +1,7 @@
 """Vectorised 64-bit hashes of words and shingles over Arrow string columns.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z are lower-cased. Texts are read straight from
-the Arrow buffer in blocks of a few megabytes, so memory does not depend on the number of rows in a batch.
+the Arrow buffer in blocks of half a megabyte, so memory does not depend on the number of rows in a batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
