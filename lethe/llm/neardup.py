@@ -30,6 +30,8 @@ BROADCAST_IDS = 1_000_000
 #: Members of a list whose cross-component pairs are listed; longer lists go through cells of two blocks.
 SMALL_LIST = 24
 BLOCK_CLASSES = 1024
+#: Flipped where hashes become signed, so that signed order is the order of the hashes.
+_SIGN = np.uint64(1 << 63)
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -38,7 +40,7 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, k: int = K, shingle: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, sketch) of every row; an empty or null text has an empty sketch."""
+    """(doc_id, n_shingles, key1, key2, sketch) of every row, the sketch in signed order; an empty or null text has an empty one."""
 
     def run(batches):
         for batch in batches:
@@ -49,7 +51,7 @@ def sketches(docs: DataFrame, k: int = K, shingle: int = 5) -> DataFrame:
                     own = hashing.shingles(hashes[bounds[i] : bounds[i + 1]], shingle)
                     n.append(len(own))
                     keys.append(set_key(own))
-                    sketch.append(own[:k].view(np.int64))
+                    sketch.append((own[:k] ^ _SIGN).view(np.int64))
                     sizes.append(min(k, len(own)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sketch)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), lists], ["doc_id", "n_shingles", "key1", "key2", "sketch"])

@@ -92,6 +92,18 @@ def test_near_duplicates_in_long_lists(spark):
 SHAPES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
+def test_near_duplicates_of_texts_and_their_beginnings(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        n = rng.randrange(65, 131)
+        words = [f"t{i}w{j}" for j in range(n + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: math.ceil(n * rng.uniform(0.75, 0.8)) + 4]))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(_docs(spark, rows)).collect()}
+    want = _components(rows)
+    assert got == {i: want[i, t][1] for i, t in rows} and set(got.values()) == set(range(0, 600, 2))
+
+
 def _luhn(d):
     s = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
     return sum(x - 9 if x > 9 else x for x in s) % 10 == 0
