@@ -2,8 +2,9 @@
 
 Each page is parsed once into blocks of text and element subtrees, a subtree being a hash of its tag, its names and
 everything in it, and the range of blocks it covers. Subtrees are counted per host in Spark; one that recurs
-on many pages of its host is template and its blocks go. Where a page marks its article, recurring
-text inside it is only template if most pages of the host have it, since articles quote and repeat. Elements that
+on many different pages of its host is template and its blocks go. Pages with the same article are one page, however
+often and under whatever URLs they are there. Where a page marks its article, recurring text inside it is only
+template if most pages of the host have it, since articles quote and repeat; what is around an article is none. Elements that
 say what they are (nav, footer, class="ad", ...) go too, so hosts of a few pages are cleaned as well.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from hashlib import blake2b
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .work import parts, saved, sized_broadcast
 
-#: Pages (and share of the host's pages) on which a subtree must recur to be template, outside and inside an article.
+#: Different pages (and share of the host's different pages) on which a subtree must recur to be template, outside and inside an article.
 LEAST_PAGES, LEAST_SHARE = 3, 0.01
 INNER_PAGES, INNER_SHARE = 10, 0.5
 BROADCAST_ROWS = 100_000
@@ -47,6 +49,16 @@ class Page(HTMLParser):
             self._end()
         self._flush()
 
+    def article(self) -> int:
+        """Hash of the text that may be the article: the marked blocks, or all that no element's name rules out."""
+        own = [t for t, _, m in self.blocks if m] or [t for t, said, _ in self.blocks if not said]
+        return int.from_bytes(blake2b(b"\x00".join(t.encode("utf-8", "replace") for t in own), digest_size=8).digest(), "big", signed=True)
+
+    def outside(self) -> list[tuple[int, bool, int, int]]:
+        """The subtrees but for those around an article."""
+        before = [0, *accumulate(m for _, _, m in self.blocks)]
+        return [t for t in self.trees if t[1] or before[t[2]] == before[t[3]]]
+
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
@@ -105,22 +117,23 @@ class Page(HTMLParser):
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks, trees) of every page."""
+    """(page_id, url, host, article, blocks, trees) of every page."""
 
     def run(batches):
         for batch in parts(batches):
-            blocks, trees = [], []
+            article, blocks, trees = [], [], []
             for html in batch.column(3).to_pylist():
                 page = Page(html or "")
+                article.append(page.article())
                 blocks.append([{"text": t, "said": s, "main": m} for t, s, m in page.blocks])
-                trees.append([{"h": h, "main": m, "a": a, "z": z} for h, m, a, z in page.trees])
+                trees.append([{"h": h, "main": m, "a": a, "z": z} for h, m, a, z in page.outside()])
             block = pa.list_(pa.struct([("text", pa.string()), ("said", pa.bool_()), ("main", pa.bool_())]))
             tree = pa.list_(pa.struct([("h", pa.int64()), ("main", pa.bool_()), ("a", pa.int32()), ("z", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blocks, block), pa.array(trees, tree)], ["page_id", "url", "host", "blocks", "trees"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(article, pa.int64()), pa.array(blocks, block), pa.array(trees, tree)], ["page_id", "url", "host", "article", "blocks", "trees"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<text:string,said:boolean,main:boolean>>, trees array<struct<h:long,main:boolean,a:int,z:int>>")
+    return rows.mapInArrow(run, "page_id long, url string, host string, article long, blocks array<struct<text:string,said:boolean,main:boolean>>, trees array<struct<h:long,main:boolean,a:int,z:int>>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -131,17 +144,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     columns are not read, an empty table gives an empty one.
     """
     rows = saved(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    trees = rows.select("row", "host", F.explode("trees").alias("t")).select("row", "host", "t.*")
-    size = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    # a subtree nested in its like counts once a page
+    trees = rows.select("row", "host", "article", F.explode("trees").alias("t")).select("row", "host", "article", "t.*")
+    size = rows.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    # a subtree counts once an article, nested in its like or on repeated pages
     seen = trees.groupBy("host", "h", "main").agg(F.count("*").alias("times")).where(F.col("times") >= LEAST_PAGES).select("host", "h", "main")
     seen = saved(seen, "seen")
-    often = trees.join(sized_broadcast(seen, seen.count(), BROADCAST_ROWS), ["host", "h", "main"], "left_semi").select("row", "host", "h", "main").distinct().groupBy("host", "h", "main").agg(F.count("*").alias("n"))
+    often = trees.join(sized_broadcast(seen, seen.count(), BROADCAST_ROWS), ["host", "h", "main"], "left_semi").select("article", "host", "h", "main").distinct().groupBy("host", "h", "main").agg(F.count("*").alias("n"))
     bound = lambda least, share: (F.col("n") >= least) & (F.col("n") >= F.col("pages") * share)
     template = often.join(saved(size, "hosts"), "host").where(F.when(F.col("main"), bound(INNER_PAGES, INNER_SHARE)).otherwise(bound(LEAST_PAGES, LEAST_SHARE))).select("host", "h", "main")
     template = saved(template, "templates")
     cut = trees.join(sized_broadcast(template, template.count(), BROADCAST_ROWS), ["host", "h", "main"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("cuts"))
-    out = rows.drop("trees").join(cut, "row", "left")
+    out = rows.drop("trees", "article").join(cut, "row", "left")
     kept = F.filter("blocks", lambda b, i: ~b["said"] & ~F.coalesce(F.exists("cuts", lambda c: (c["a"] <= i) & (i < c["z"])), F.lit(False)))
     out = out.withColumn("kept", kept)
     chosen = F.when(F.exists("blocks", lambda b: b["main"]), F.filter("kept", lambda b: b["main"])).otherwise(F.col("kept"))

@@ -31,6 +31,22 @@ def test_main_text(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+def test_main_text_of_repeated_pages(spark):
+    frame = "<html><body><nav>at %d</nav><div>Everywhere</div><div class=wrap>%s<h1>T%d</h1><p>Text %d</p>%s</div></body></html>"
+    rows, want = [], {}
+    for m, (a, z) in enumerate([("<article>", "</article>"), ("", ""), ("<div>", "</div>")]):
+        for i, copies in enumerate([1, 1, 2, 3, 5, 12]):
+            for c in range(copies):
+                for same, host in ((True, f"http://same{m}"), (False, f"http://other{m}")):
+                    rows.append((len(rows), f"{host}/{i}?utm={c}", frame % (0 if same else c, a, i, i, z)))
+                    want[len(rows) - 1] = f"T{i}\n\nText {i}"
+        for c in range(4):  # a host of one page
+            rows.append((len(rows), f"http://one{m}/{c}", frame % (c, a, 0, 0, z)))
+            want[len(rows) - 1] = "T0\n\nText 0" if m == 0 else "Everywhere\n\nT0\n\nText 0"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html.main_text(pages).collect()} == want
+
+
 def test_image_copies(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 60)], "vec_id long, embedding array<float>")
     images = media.rendered(vectors).unionByName(spark.createDataFrame([(500, None), (501, bytearray(b"P5 junk")), (None, bytearray(b"x"))], "media_id long, image binary"))
