@@ -1,17 +1,21 @@
 """Personal data: fixed-shape identifiers, and the terms that co-occurrence in the corpus ties to them.
 
-The identifiers found by shape are the protected entities. An entity's contexts are the distinct stretches
-of text around it, so that copies of a document count once. How strongly a term t reveals an entity e is
+The identifiers found by shape are the protected entities, each as its whole value and as what recurs of it: an
+address's domain and holder, a number's leading digits, a network. How strongly a term t reveals an entity e is
 
     PMI(t; e) / IC(e),   PMI = log2(N n(t, e) / (n(t) n(e))),   IC = -log2(n(e) / N),
 
-with N documents, n(t) of which hold t, n(e) contexts of e and n(t, e) of those that hold t. 1 means that whoever
-sees t knows e. In documents that hold e, terms above a threshold are generalised, above a higher one
-removed. Everything is DataFrame work; offsets are code points.
+with N documents, n(t) of which hold t, n(e) hold e and n(t, e) both, all counted over whole texts. 1 means that whoever
+sees t knows e. Whether the corpus shows that tie at all is a likelihood ratio: of the texts with t, the share that hold e
+against the share among all, which must be beyond chance for as many terms as the vocabulary has. Texts that are
+copies of each other, near ones as well, are one observation there. In documents that hold e, terms above a threshold
+are generalised, above a higher one removed. Everything is DataFrame work; offsets are code points.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +34,9 @@ SHAPES = {
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 WORD = r"[\p{L}\p{N}]+"
-#: Code points on either side of an entity that are its context.
-REACH = 100
-#: Contexts that must hold a term with an entity before their tie is judged, and the thresholds of disclosure.
-SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.9
-#: Rows of (document, terms) and candidate terms that may be broadcast.
+#: Chance that any term of the vocabulary is tied to an entity wrongly, and the thresholds of disclosure.
+ALPHA, GENERALISE, REMOVE = 0.01, 0.6, 0.9
+#: Rows (an entity, a term or an id each) that may be broadcast.
 BROADCAST_ROWS = 100_000
 LABELS = {"email": "[email]", "ip": "[ip]", "card": "[card]", "phone": "[phone]"}
 
@@ -80,45 +82,86 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(F.when(when[k], _spans(text, F.lit(SHAPES[k]), k)).otherwise(none) for k in SHAPES)))
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """(pi_id, pi_hash, entity, context) of every base span of rows(pi_id, pi_hash, pi_text, pi_base)."""
-    one = rows.where(F.size("pi_base") > 0).select("pi_id", "pi_hash", "pi_text", F.explode("pi_base").alias("x"))
-    text, s, e = F.col("pi_text"), F.col("x.s"), F.col("x.e")
-    value = F.substring(text, s + 1, e - s)
-    name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.k") + 1)
-    entity = F.concat(name, F.lit(":"), F.when(F.col("x.k") >= 2, _digits(value)).otherwise(F.lower(value)))
-    before = F.substring(text, F.greatest(s - REACH, F.lit(0)) + 1, F.least(s, F.lit(REACH)))
-    before = F.when(s > REACH, F.regexp_replace(before, rf"^{WORD}", "")).otherwise(before)
-    after = F.substring(text, e + 1, F.lit(REACH))
-    after = F.when(F.length(after) == REACH, F.regexp_replace(after, rf"{WORD}$", "")).otherwise(after)
-    return one.select("pi_id", "pi_hash", entity.alias("entity"), F.lower(F.concat_ws("\n", before, after)).alias("context"))
-
-
-def disclosure(rows: DataFrame, contexts: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, strength) of every pair with the support, from counts over all documents."""
-    own = saved(contexts.select("entity", "context").distinct(), "own")  # written, so that a join can split a frequent entity
-    often = saved(own.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= support), "entities")
-    terms = own.join(often, "entity").select("entity", "ne", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(WORD), F.lit(0)))).alias("term")).where(~F.col("term").rlike("^[0-9]*$"))
-    both = saved(terms.groupBy("entity", "ne", "term").agg(F.count("*").alias("nte")).where(F.col("nte") >= support), "pairs")
-    wanted = saved(both.select("term").distinct(), "terms")
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("pi_text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    counts = words.join(sized_broadcast(wanted, wanted.count(), BROADCAST_ROWS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
-    n = F.lit(float(rows.count()))
-    pmi = F.log2(n * F.col("nte") / (F.col("nt") * F.col("ne")))
-    return both.join(saved(counts, "counts"), "term").select("entity", "term", F.when(F.col("ne") >= n, F.lit(0.0)).otherwise(pmi / F.log2(n / F.col("ne"))).alias("strength"))
-
-
-def found(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with every span a space."""
+
+    def step(acc, x):
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.array_join(F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text))))), " ")
+
+
+def _entities(text: Column, spans: Column) -> Column:
+    """array<string> of the distinct entities of the spans: whole values and what recurs of them."""
+
+    def forms(x):
+        value = F.lower(F.substring(text, x["s"] + 1, x["e"] - x["s"]))
+        number = _digits(value)
+        domain, holder = F.regexp_extract(value, "@(.*)$", 1), F.regexp_replace(F.regexp_extract(value, "^([^@]*)@", 1), "[^a-z]", "")
+        of = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+        email = F.array(of("email", value), of("domain", domain), F.when(F.length(holder) > 1, of("holder", holder)))
+        ip = F.array(of("ip", value), of("network", F.regexp_extract(value, r"^(.*)\.", 1)))
+        card = F.array(of("card", number), of("issuer", F.substring(number, 1, 6)))
+        phone = F.array(of("phone", number), of("prefix", F.substring(number, 1, 6)))
+        return F.when(x["k"] == 0, email).when(x["k"] == 1, ip).when(x["k"] == 2, card).otherwise(phone)
+
+    return F.array_compact(F.array_distinct(F.flatten(F.transform(spans, forms))))
+
+
+def _terms(text: Column) -> Column:
+    """array<string> of the distinct words of a text, lower-case, numbers left out."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), lambda t: ~t.rlike("^[0-9]+$"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """(pi_id, pi_hash, family, entities, terms) of the rows(pi_id, pi_hash, pi_text, pi_base) with base spans.
+
+    family is the least hash of two neighbouring words, which copies and most near copies of a text share.
+    """
+    one = rows.where(F.size("pi_base") > 0).withColumn("outside", _outside(F.col("pi_text"), F.col("pi_base")))
+    words = F.regexp_extract_all(F.lower("outside"), F.lit(WORD), F.lit(0))
+    one = one.withColumn("words", words)
+    pairs = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
+    return one.select("pi_id", "pi_hash", F.coalesce(F.array_min(pairs), F.lit(0)).alias("family"), _entities(F.col("pi_text"), F.col("pi_base")).alias("entities"), _terms(F.col("outside")).alias("terms"))
+
+
+def disclosure(named: DataFrame, counts: DataFrame, n: int, vocabulary: int, alpha: float = ALPHA) -> DataFrame:
+    """(entity, term, strength) of every pair that the corpus shows beyond chance.
+
+    named(family, entities, terms), counts(term, nt), n documents. Entities and pairs in one family only are no evidence,
+    whatever the corpus, and go before anything is paired.
+    """
+    held = named.select("family", "terms", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity", "family").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("ne"), F.count("*").alias("fe")).where("fe > 1").select("entity", "ne")
+    entities = saved(entities, "entities")
+    held = held.join(sized_broadcast(entities, entities.count(), BROADCAST_ROWS), "entity")
+    pairs = held.select("entity", "ne", "family", F.explode("terms").alias("term")).groupBy("entity", "ne", "term", "family").agg(F.count("*").alias("n"))
+    pairs = saved(pairs.groupBy("entity", "ne", "term").agg(F.sum("n").alias("nte"), F.count("*").alias("k")).where("k > 1"), "pairs")
+    rows = pairs.join(counts, "term")
+    share, whole = F.col("nte") / F.col("nt"), F.col("ne") / F.lit(float(n))
+    independent = F.col("k") / share  # texts with the term, copies taken together as often as those with the entity are
+    ln = lambda x: F.when(x > 0, F.log(x)).otherwise(F.lit(0.0))
+    ratio = F.col("k") * F.log(share / whole) + (independent - F.col("k")) * (ln(F.lit(1.0) - share) - ln(F.lit(1.0) - whole))
+    shown = (share > whole) & (ratio >= math.log(max(vocabulary, 1) / alpha))
+    return rows.where(shown).select("entity", "term", (F.log(share / whole) / -F.log(whole)).alias("strength"))
+
+
+def found(docs: DataFrame, alpha: float = ALPHA, generalise: float = GENERALISE) -> DataFrame:
     """docs with pi_text, pi_base (shapes), pi_spans (all spans) and pi_terms (term to strength of what is added)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("pi_text", text).withColumn("pi_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("pi_hash", F.xxhash64("pi_text")).withColumn("pi_base", base_spans(F.col("pi_text")))
-    contexts = saved(_contexts(rows.select("pi_id", "pi_hash", "pi_text", "pi_base")), "contexts")
-    strong = disclosure(rows, contexts, support).where(F.col("strength") >= generalise)
-    strong = saved(strong, "disclosing")
-    held = saved(contexts.select("pi_id", "pi_hash", "entity").distinct(), "named").join(strong, "entity").groupBy("pi_id", "pi_hash", "term").agg(F.max("strength").alias("strength"))
-    held = held.groupBy("pi_id", "pi_hash").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "strength")))).alias("pi_terms"))
+    named = saved(_named(rows.select("pi_id", "pi_hash", "pi_text", "pi_base")), "named")
+    counts = saved(rows.select(F.explode(_terms(F.col("pi_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("nt")), "counts")
+    strong = saved(disclosure(named, counts, rows.count(), counts.count(), alpha).where(F.col("strength") >= generalise), "disclosing")
+    each = named.select("pi_id", "pi_hash", "terms", F.explode("entities").alias("entity"))
+    of = strong.select("entity").distinct()
+    each = each.join(sized_broadcast(of, of.count(), BROADCAST_ROWS), "entity", "left_semi").select("pi_id", "pi_hash", "entity", F.explode("terms").alias("term"))
+    held = each.join(sized_broadcast(strong, strong.count(), BROADCAST_ROWS), ["entity", "term"]).groupBy("pi_id", "pi_hash", "term").agg(F.max("strength").alias("strength"))
     held = saved(held, "held")
-    out = rows.join(sized_broadcast(held, held.count(), BROADCAST_ROWS), ["pi_id", "pi_hash"], "left")
+    terms = held.groupBy("pi_id", "pi_hash").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "strength")))).alias("pi_terms"))
+    out = rows.join(sized_broadcast(terms, held.count(), BROADCAST_ROWS), ["pi_id", "pi_hash"], "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("pi_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     added = F.filter(_spans(F.col("pi_text"), pattern, "term"), lambda t: ~F.exists("pi_base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     return out.withColumn("pi_spans", F.when(F.col("pi_terms").isNull(), F.col("pi_base")).otherwise(F.array_sort(F.concat("pi_base", added))))
@@ -130,14 +173,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitised(docs: DataFrame, alpha: float = ALPHA, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with identifiers replaced by their kind's label, disclosing terms generalised to [detail] or removed.
 
     Overlapping spans are replaced together, under the label of the first. A null text stays null, an empty one empty;
     null doc_ids and repeated rows are treated like others; an empty table gives an empty one. n_chars, where
     docs has it as a number, is that of the new text.
     """
-    rows = found(docs, support, generalise)
+    rows = found(docs, alpha, generalise)
     text, label = F.col("pi_text"), F.array(*(F.lit(LABELS[k]) for k in KINDS[:4]))
 
     def step(acc, x):

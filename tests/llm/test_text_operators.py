@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lethe.llm import fingerprint, lm, mixing, neardup, packing, pii, quality, sharding
@@ -128,17 +129,95 @@ def test_personal_data_spans(spark):
     assert got == sorted((str(i), _spans(t)) for i, t in rows)
 
 
+def _disclosing_rows():
+    rng = random.Random(8)
+    words = [f"w{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    fill = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, f"{fill(9)} Zorblax {fill(5)} ann.{i}@quux.org {fill(6)} 10.2.{i}.7") for i in range(12)]
+    rows += [(20 + i, f"Quantum {fill(12)} +44 20 7946 0{i:03d} {fill(3)}") for i in range(6)]
+    rows += [(30 + i, "only copies tie Plonk to " + f"{fill(4)} bob@solo.net") for i in range(1)] * 9
+    return rows + [(100 + i, fill(20)) for i in range(250)] + [(99, None), (98, ""), (None, "null@id.org Zorblax " + fill(4))]
+
+
 def test_terms_that_disclose_an_entity(spark):
-    rows = [(i, f"text {i} Zorblax{'' if i < 4 else i} wrote from mail a@b.org about the {i * 37} matter number {i * 91}") for i in range(4)]
-    rows += [(10 + i, f"text {i} and the matter about mail from elsewhere wrote number") for i in range(40)] + [(99, None)]
+    rows = _disclosing_rows()
     out = {r["doc_id"]: r["text"] for r in pii.sanitised(_docs(spark, rows)).collect()}
-    for i in range(4):
-        assert "a@b.org" not in out[i] and "Zorblax" not in out[i] and "matter" in out[i] and "[email]" in out[i]
-    assert out[10] == rows[4][1] and out[99] is None
+    for i, t in rows[:12]:
+        assert "@" not in out[i] and "Zorblax" not in out[i] and "[email]" in out[i] and "[ip]" in out[i]
+        assert [w for w in out[i].split() if w[0] == "w"] == [w for w in t.split() if w[0] == "w"]
+    assert all("Quantum" not in out[20 + i] and "[phone]" in out[20 + i] for i in range(6))
+    assert out[30] == rows[18][1].replace("bob@solo.net", "[email]")  # nine copies are one observation
+    assert out[150] == dict(rows[27:])[150] and out[99] is None and out[98] == ""
     assert pii.sanitised(_docs(spark, [])).count() == 0
     assert pii.sanitised(_docs(spark, rows)).columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
+def _disclosure(rows, generalise):
+    """Strong (entity, term) pairs by plain counting."""
+
+    def family(words):
+        out = []
+        for a, b in zip(words, [*words[1:], None], strict=True):
+            h = xxhash.xxh64_intdigest(a.encode(), 42)
+            h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+            out.append(h - (1 << 64) if h >> 63 else h)
+        return min(out, default=0)
+
+    docs, count = [], collections.Counter()
+    for _, text in rows:
+        text = text or ""
+        words = lambda t: re.findall(r"[^\W_]+", t.lower())
+        count.update({w for w in words(text) if not w.isdigit()})
+        entities, outside, at = set(), [], 0
+        for span in filter(None, _spans(text).split(",")):
+            kind, a, z = span.split(":")
+            a, z = int(a), int(z)
+            v = text[a:z].lower()
+            d = re.sub("[^0-9]", "", v)
+            if kind == "email":
+                holder = re.sub("[^a-z]", "", v.split("@")[0])
+                entities |= {"email:" + v, "domain:" + v.split("@")[1]} | ({"holder:" + holder} if len(holder) > 1 else set())
+            else:
+                entities |= {"ip": {"ip:" + v, "network:" + v.rsplit(".", 1)[0]}, "card": {"card:" + d, "issuer:" + d[:6]}, "phone": {"phone:" + d, "prefix:" + d[:6]}}[kind]
+            outside.append(text[at:a] if a > at else "")
+            at = max(at, z)
+        plain = " ".join([*outside, text[at:]])
+        if entities:
+            docs.append((family(words(plain)), entities, {w for w in words(plain) if not w.isdigit()}))
+    n, out = len(rows), {}
+    for e in {e for _, es, _ in docs for e in es}:
+        own = [d for d in docs if e in d[1]]
+        for t in {t for d in own for t in d[2]}:
+            both = [d for d in own if t in d[2]]
+            k = len({d[0] for d in both})
+            share, whole = len(both) / count[t], len(own) / n
+            if k < 2 or len({d[0] for d in own}) < 2 or share <= whole:
+                continue
+            size = k / share
+            ln = lambda x: math.log(x) if x > 0 else 0.0
+            ratio = k * math.log(share / whole) + (size - k) * (ln(1 - share) - ln(1 - whole))
+            strength = math.log(share / whole) / -math.log(whole)
+            if ratio >= math.log(len(count) / pii.ALPHA) and strength >= generalise:
+                out[e, t] = round(strength, 9)
+    return out
+
+
+def test_disclosure_against_plain_counting(spark):
+    rows = _disclosing_rows()
+    want = _disclosure(rows, pii.GENERALISE)
+    docs = _docs(spark, rows)
+    held = pii.found(docs).where("pi_terms is not null").select("doc_id", "pi_terms", pii.listed(F.col("pi_spans")).alias("s")).collect()
+    assert {("domain:quux.org", "zorblax"), ("prefix:442079", "quantum")} <= set(want) and len(held) >= 18
+    by_term = collections.defaultdict(float)
+    for (_, t), x in want.items():
+        by_term[t] = max(by_term[t], x)
+    for r in held:
+        text = dict(rows)[r["doc_id"]]
+        assert {t: round(x, 9) for t, x in r["pi_terms"].items()} == {t: x for t, x in by_term.items() if t in re.findall(r"[^\W_]+", text.lower())}
+        assert [x for x in r["s"].split(",") if not x.startswith("term")] == _spans(text).split(",")
+        assert {text[int(x.split(":")[1]) : int(x.split(":")[2])].lower() for x in r["s"].split(",") if x.startswith("term")} == set(r["pi_terms"])
+
+
 def test_fingerprints(spark, rows):
     docs = [r for r in rows if r[0] is not None][:40] + [(1000, None), (1001, "a B a b"), (1001, "a B a b")]
     texts, ids = fingerprint.edited(_docs(spark, docs))
