@@ -47,6 +47,20 @@ def test_main_text_of_repeated_pages(spark):
     assert {r["page_id"]: r["text"] for r in html.main_text(pages).collect()} == want
 
 
+def test_templates_without_names(spark):
+    """Pages that name nothing come right by the counts alone, menus with labels of their own as well."""
+    rows, want = [], {}
+    for i in range(30):
+        menu = "".join(f"<li><a href=/{i}{j}>label {i} {j}</a></li>" for j in range(5))
+        rows.append((i, f"http://plain.org/{i}", f"<html><head><title>x</title></head><body><div><ul id=m{i}>{menu}</ul></div><div>We use cookies</div><div><h1>Title {i}</h1><p>Text {i} about this <a href=x>one</a> thing</p></div><div><p>&copy; nobody<p>Imprint</div></body></html>"))
+        want[i] = f"Title {i}\n\nText {i} about this one thing"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for names in (False, True):
+        got = html.main_text(pages, names).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want and {(r["n_template"], r["n_named"]) for r in got} == {(9, 0)}
+    assert {r["page_id"]: r["text"] for r in html.main_text(pages, held=0).collect()} == want  # templates joined instead of held
+
+
 def test_image_copies(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 60)], "vec_id long, embedding array<float>")
     images = media.rendered(vectors).unionByName(spark.createDataFrame([(500, None), (501, bytearray(b"P5 junk")), (None, bytearray(b"x"))], "media_id long, image binary"))
