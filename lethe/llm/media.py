@@ -1,6 +1,7 @@
 """Cropped and edited copies of images by local descriptors.
 
-Corners are found at several scales; around each, the direction from corner to centre of intensity turns a fixed pattern of
+Corners are found at scales from the image's own down to the size of a patch, the strongest of each cell of a grid, so
+their number grows with the area; around each, the direction from corner to centre of intensity turns a fixed pattern of
 brightness comparisons into a 256-bit descriptor. Bands of its bits are the keys of a Hamming table in which the
 query images' descriptors meet all others; what is near enough in Hamming distance votes, and an image is a copy if
 enough of its votes agree on one shift, turn and scaling.
@@ -14,19 +15,23 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .work import parts, saved, sized_broadcast
 
-SCALES = (1.0, 1.5, 2.25)
-#: Corners at a scale, half side of a patch, bits of a band and number of bands of the table.
-CORNERS, RADIUS, BAND_BITS, BANDS = 40, 11, 20, 12
+#: Step between scales, side of a grid's cell and corners in one at a scale, half side of a patch.
+STEP, CELL, CORNERS, RADIUS = 1.5, 16, 2, 11
+#: Bits of a band of the table and bands in each 64 bits of a descriptor.
+BAND_BITS, BANDS = 21, 3
 #: Hamming distance that is a vote; votes that must agree, within so many pixels, radians and log scale.
 NEAR, LEAST, PIXELS, TURN, SCALING = 40, 6, 4.0, 0.35, 0.45
-BROADCAST_ROWS = 500_000
+#: Ids and classes, and features of queries, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_FEATURES = 500_000, 1_000_000
 _PATTERN = np.clip(np.random.default_rng(9).normal(0, 3.6, (256, 2, 2)), -7, 7)
-FEATURE = "media_id long, f int, x float, y float, s float, a float, d array<long>, bands array<long>"
+FEATURE = "media_id long, f int, x float, y float, s float, a float, d array<long>"
+#: Votes that one step of the geometric check holds against all others.
+VOTES = 256
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -69,12 +74,11 @@ def _box(img: np.ndarray, r: int) -> np.ndarray:
 
 def features(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, scale, angle) of each corner in the image's own pixels, and its descriptor as four 64-bit integers."""
-    places, bits = [], []
-    for scale in SCALES:
+    places, bits, scale = [], [], 1.0
+    while min(img.shape) / scale > 2 * RADIUS + 3:
         h, w = int(img.shape[0] / scale), int(img.shape[1] / scale)
-        if min(h, w) <= 2 * RADIUS + 2:
-            continue
-        level = _box(resized(img, h, w) if scale != 1 else img, 1)
+        at_scale, scale = scale, scale * STEP
+        level = _box(resized(img, h, w) if at_scale > 1 else img, 1)
         gy, gx = np.gradient(level)
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
@@ -85,7 +89,10 @@ def features(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y, x = np.nonzero(good)
         if not len(y):
             continue
-        order = np.lexsort((x, y, -r[y, x]))[:CORNERS]
+        cell = y // CELL * (w // CELL + 1) + x // CELL
+        order = np.lexsort((x, y, -r[y, x], cell))
+        first = np.searchsorted(cell[order], cell[order])  # where the cell of each begins
+        order = order[np.arange(len(order)) - first < CORNERS]
         y, x = y[order], x[order]
         at = np.arange(-7, 8)
         disc = (at[:, None] ** 2 + at[None, :] ** 2 <= 49).astype(float)
@@ -97,7 +104,7 @@ def features(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         py = np.rint(sin * _PATTERN[..., 0] + cos * _PATTERN[..., 1]).astype(int) + y[:, None, None]
         value = smooth[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
         bits.append(value[..., 0] < value[..., 1])
-        places.append(np.stack([x * scale, y * scale, np.full(len(x), scale), angle], 1))
+        places.append(np.stack([(x + 0.5) * at_scale, (y + 0.5) * at_scale, np.full(len(x), at_scale), angle], 1))
     if not places:
         return np.zeros((0, 4), np.float32), np.zeros((0, 4), np.int64)
     packed = np.packbits(np.concatenate(bits), axis=1).view(">i8").astype(np.int64)
@@ -109,39 +116,77 @@ def described(images: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in parts(batches):
-            out = {c: [] for c in ("media_id", "f", "x", "y", "s", "a", "d", "bands")}
+            out = {c: [] for c in ("media_id", "f", "x", "y", "s", "a", "d")}
             for media_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 img = decode(data)
                 if img is None:
                     continue
                 place, d = features(img)
-                flat = np.unpackbits(d.astype(">i8").view(np.uint8).reshape(len(d), 32), axis=1)[:, : BAND_BITS * BANDS].reshape(len(d), BANDS, BAND_BITS)
-                bands = flat.astype(np.int64) @ (1 << np.arange(BAND_BITS)) + (np.arange(BANDS) << BAND_BITS)
                 out["media_id"] += [media_id] * len(d)
                 out["f"] += range(len(d))
                 for i, c in enumerate("xysa"):
                     out[c] += place[:, i].tolist()
                 out["d"] += d.tolist()
-                out["bands"] += bands.tolist()
-            types = [pa.int64(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
     return images.select(F.col("media_id").cast("long"), F.col("image").cast("binary")).mapInArrow(run, FEATURE)
 
 
+def keys(d: Column) -> Column:
+    """The bands of a descriptor, each with its place."""
+    band = lambda i, j: F.shiftrightunsigned(d[i], BAND_BITS * j).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) + F.lit((i * BANDS + j) << BAND_BITS)
+    return F.array(*(band(i, j) for i in range(4) for j in range(BANDS)))
+
+
 def consensus(one: np.ndarray, two: np.ndarray) -> int:
     """Most votes (rows x, y, scale, angle of the one and the other) that agree on one similarity transform."""
     turn, scale = two[:, 3] - one[:, 3], two[:, 2] / one[:, 2]
-    cos, sin = np.cos(turn) * scale, np.sin(turn) * scale
-    x = cos[:, None] * one[None, :, 0] - sin[:, None] * one[None, :, 1]
-    y = sin[:, None] * one[None, :, 0] + cos[:, None] * one[None, :, 1]
-    dx, dy = two[:, 0] - np.diagonal(x), two[:, 1] - np.diagonal(y)
-    near = np.hypot(x + dx[:, None] - two[None, :, 0], y + dy[:, None] - two[None, :, 1]) <= PIXELS
-    near &= np.abs(np.angle(np.exp(1j * (turn[None, :] - turn[:, None])))) <= TURN
-    near &= np.abs(np.log(scale[None, :] / scale[:, None])) <= SCALING
-    # votes from one place count once
-    spots = np.unique(np.rint(one[:, :2] / 2), axis=0, return_inverse=True)[1].ravel()
-    return max(len(np.unique(spots[row])) for row in near)
+    spots = np.unique(np.rint(one[:, :2] / 2), axis=0, return_inverse=True)[1].ravel()  # votes from one place count once
+    best = 0
+    for lo in range(0, len(one), VOTES):
+        own = slice(lo, lo + VOTES)
+        cos, sin = np.cos(turn[own]) * scale[own], np.sin(turn[own]) * scale[own]
+        x = cos[:, None] * (one[None, :, 0] - one[own, 0, None]) - sin[:, None] * (one[None, :, 1] - one[own, 1, None])
+        y = sin[:, None] * (one[None, :, 0] - one[own, 0, None]) + cos[:, None] * (one[None, :, 1] - one[own, 1, None])
+        near = np.hypot(x + two[own, 0, None] - two[None, :, 0], y + two[own, 1, None] - two[None, :, 1]) <= PIXELS * np.maximum(1, two[own, 2, None])
+        near &= np.abs(np.angle(np.exp(1j * (turn[None, :] - turn[own, None])))) <= TURN
+        near &= np.abs(np.log(scale[None, :] / scale[own, None])) <= SCALING
+        best = max(best, *(len(np.unique(spots[row])) for row in near))
+    return best
+
+
+def _once(rows: DataFrame, keys: list[str], counted: DataFrame) -> DataFrame:
+    """One of the rows of each key; only those of keys that counted(keys..., times) names as repeated are shuffled."""
+    twice = saved(counted.where("times > 1").select(*keys), "twice")
+    small = sized_broadcast(twice, twice.count(), BROADCAST_ROWS)
+    return rows.join(small, keys, "left_anti").unionByName(rows.join(small, keys, "left_semi").dropDuplicates(keys))
+
+
+def votes(found: DataFrame, asked: DataFrame, n_asked: int) -> DataFrame:
+    """(q, g, media_id, one, two): of every feature g of an asked picture the nearest one of each other picture, if near enough.
+
+    Only the asked pictures' descriptors are spread over the table's bands beforehand. While they are few they go to the tasks and all
+    others stream past them; else both sides are shuffled by key without their descriptors, which are fetched for what meets.
+    """
+    own = found.join(sized_broadcast(asked, n_asked, BROADCAST_ROWS), "media_id", "left_semi")
+    words = [F.col("d")[i].alias(f"e{i}") for i in range(4)]
+    own = saved(own.select(F.col("media_id").alias("q"), F.col("f").alias("g"), *words, F.explode(keys(F.col("d"))).alias("key")), "asked")
+    n_own = own.count()
+    bits = sum((F.bit_count(F.col("d")[i].bitwiseXOR(F.col(f"e{i}"))) for i in range(4)), F.lit(0))
+    near = (F.col("q") != F.col("media_id")) & (bits <= NEAR)
+    if n_own <= BROADCAST_FEATURES:
+        rows = found.select("media_id", "f", "d", F.explode(keys(F.col("d"))).alias("key")).join(F.broadcast(own), "key").where(near)
+    else:
+        spread = found.select("media_id", "f", F.explode(keys(F.col("d"))).alias("key"))
+        met = spread.join(own.select("q", "g", "key"), "key").where("q <> media_id").select("q", "g", "media_id", "f").distinct()
+        rows = met.join(found.select("media_id", "f", "d"), ["media_id", "f"]).join(own.drop("key").distinct(), ["q", "g"]).where(near)
+    best = saved(rows.groupBy("q", "g", "media_id").agg(F.min(F.struct(bits.alias("b"), "f")).alias("m")).select("q", "g", "media_id", "m.f"), "near")
+    n_best = best.count()
+    place = lambda: F.array("x", "y", "s", "a")
+    best = found.select("media_id", "f", place().alias("two")).join(sized_broadcast(best, n_best, BROADCAST_FEATURES), ["media_id", "f"])
+    ones = saved(found.join(sized_broadcast(asked, n_asked, BROADCAST_ROWS), "media_id", "left_semi").select(F.col("media_id").alias("q"), F.col("f").alias("g"), place().alias("one")), "places")
+    return best.join(sized_broadcast(ones, n_own // (4 * BANDS), BROADCAST_FEATURES), ["q", "g"]).select("q", "g", "media_id", "one", "two")
 
 
 def copies(images: DataFrame, query) -> DataFrame:
@@ -156,31 +201,29 @@ def copies(images: DataFrame, query) -> DataFrame:
     ids = saved(rows.select("media_id", "hash", query(F.col("media_id")).alias("is_query")), "ids")
     classes = saved(ids.where("hash is not null").groupBy("hash").agg(F.min("media_id").alias("class_id"), F.max("is_query").alias("asked")), "classes")
     first = classes.where("class_id is not null").select(F.col("class_id").alias("media_id"), "hash", "asked")
-    own = rows.join(first.select("media_id", "hash"), ["media_id", "hash"], "left_semi").dropDuplicates(["media_id"])
+    n_first, key = first.count(), ["media_id", "hash"]
+    own = rows.join(sized_broadcast(first.select(*key), n_first, BROADCAST_ROWS), key, "left_semi")
+    own = _once(own, key, ids.where("media_id is not null").groupBy(*key).agg(F.count("*").alias("times")))
     found = saved(described(own.select("media_id", "image")), "features")
-    asked = saved(first.where("asked").select("media_id"), "asked")
-    table = found.select("media_id", "f", "d", F.explode("bands").alias("key"))
-    queries = table.join(sized_broadcast(asked, asked.count(), BROADCAST_ROWS), "media_id", "left_semi").select(F.col("media_id").alias("q"), F.col("f").alias("g"), F.col("d").alias("e"), "key")
-    bits = sum((F.bit_count(F.col("d")[i].bitwiseXOR(F.col("e")[i])) for i in range(4)), F.lit(0))
-    votes = table.join(queries, "key").where((F.col("q") != F.col("media_id")) & (bits <= NEAR)).groupBy("q", "g", "media_id").agg(F.min(F.struct(bits.alias("b"), "f")).alias("m"))
-    votes = saved(votes.select("q", "g", "media_id", F.col("m.f").alias("f")), "votes")
-    enough = votes.groupBy("q", "media_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("q", "media_id")
-    votes = votes.join(saved(enough, "enough"), ["q", "media_id"], "left_semi")
-    place = lambda: F.array("x", "y", "s", "a")
-    votes = votes.join(found.select("media_id", "f", place().alias("two")), ["media_id", "f"])
-    votes = votes.join(found.select(F.col("media_id").alias("q"), F.col("f").alias("g"), place().alias("one")), ["q", "g"])
-    pairs = votes.groupBy("q", "media_id").agg(F.array_sort(F.collect_list(F.struct("g", "one", "two"))).alias("votes"))  # at most a query's corners
+    asked = saved(first.where("asked").select("media_id"), "queries")
+    n_asked = asked.count()
+    met = saved(votes(found, asked, n_asked), "votes")
+    enough = met.groupBy("q", "media_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("q", "media_id")
+    met = met.join(saved(enough, "enough"), ["q", "media_id"], "left_semi")
+    pairs = met.groupBy("q", "media_id").agg(F.array_sort(F.collect_list(F.struct("g", "one", "two"))).alias("votes"))  # at most a query's corners
 
     def run(batches):
         for batch in batches:
-            n = [consensus(np.array([v["one"] for v in votes]), np.array([v["two"] for v in votes])) for votes in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], ["q", "media_id", "n"])
+            for part in parts([batch]):
+                n = [consensus(np.array([v["one"] for v in votes]), np.array([v["two"] for v in votes])) for votes in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32())], ["q", "media_id", "n"])
 
     agreed = pairs.mapInArrow(run, "q long, media_id long, n int").where(F.col("n") >= LEAST)
     matches = agreed.groupBy(F.col("q").alias("class_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("media_id", "n"))), lambda m: F.concat_ws(":", m["media_id"].cast("string"), m["n"].cast("string"))), ",").alias("matches"))
-    asked = asked.withColumnRenamed("media_id", "class_id").join(matches, "class_id", "left").select("class_id", F.coalesce("matches", F.lit("")).alias("matches"))
-    out = ids.join(classes.select("hash", "class_id"), "hash", "left")
-    return out.join(saved(asked, "matches"), "class_id", "left").select("media_id", "class_id", F.coalesce("is_query", F.lit(False)).alias("is_query"), "matches")
+    matched = asked.withColumnRenamed("media_id", "class_id").join(matches, "class_id", "left").select("class_id", F.coalesce("matches", F.lit("")).alias("matches"))
+    out = ids.join(sized_broadcast(classes.select("hash", "class_id"), classes.count(), BROADCAST_ROWS), "hash", "left")
+    matched = saved(matched, "matches")
+    return out.join(sized_broadcast(matched, n_asked, BROADCAST_ROWS), "class_id", "left").select("media_id", "class_id", F.coalesce("is_query", F.lit(False)).alias("is_query"), "matches")
 
 
 def rendered(embeddings: DataFrame) -> DataFrame:
