@@ -1,9 +1,9 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-A group is the rows of equal texts. Groups of at least a 64th of a shard's capacity are packed one by one; the
-smaller ones are dealt by hash to bundles much smaller than a shard, which are packed as wholes. So what is
-packed is bounded by the number of shards, not of rows, however the data is skewed. Items enter, by falling
-size, the shard of tightest remaining capacity that holds them, found in a balanced tree.
+A group is the rows of equal texts. Groups of equal size are interchangeable, so the driver packs sizes with
+their counts, of which there are at most the square root of twice the total size (250,000 for 30 GB), and every group is packed as
+if alone. Items enter, by falling size, the shard of tightest remaining capacity that holds them, found in a balanced
+tree; which groups of a size go where is then settled in Spark by their rank.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from .work import saved, sized_broadcast
 SHARDS = 40
 #: A row's size beside its text's bytes.
 ROW_BYTES = 16
-#: Groups of at least a shard's capacity over this are items of their own; bundles to a shard.
-HEAVY, BUNDLES = 64, 128
 BROADCAST_ROWS = 100_000
 
 
@@ -65,53 +63,58 @@ class Tree:
         return [b[0], b[1], self._join(a, b[2]), b[3]]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """(bin of each size, number of bins); a size beyond the capacity has a bin of its own."""
-    tree, bins, out = Tree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        got = tree.take((sizes[i], -1))
-        if got is None:
-            got, bins = (max(capacity, sizes[i]), bins), bins + 1
-        out[i] = got[1]
-        tree.add((got[0] - sizes[i], got[1]))
+def best_fit_decreasing(items: list[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """(runs (size, bin, how many), number of bins) of items (size, count) by falling size; a size beyond the capacity has a bin of its own.
+
+    A bin that takes one of a size stays the tightest for the next, so it takes as many as it holds at once. Given
+    ``most``, packing stops with the first bin beyond it.
+    """
+    tree, bins, out = Tree(), 0, []
+    for size, count in items:
+        while count:
+            got = tree.take((size, -1))
+            if got is None:
+                got, bins = (max(capacity, size), bins), bins + 1
+                if most is not None and bins > most:
+                    return out, bins
+            n = min(count, got[0] // size)
+            count -= n
+            out.append((size, got[1], n))
+            if got[0] > n * size:
+                tree.add((got[0] - n * size, got[1]))
     return out, bins
 
 
-def into(sizes: list[int], shards: int) -> list[int]:
-    """A bin of each size: best-fit-decreasing at the least capacity (to a ten-thousandth) that needs no more bins.
+def into(items: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Runs (size, bin, how many): best-fit-decreasing at the least capacity (to a ten-thousandth) that needs no more bins.
 
     A size above the fair share has a bin of its own and the others share the rest.
     """
-    out, alone = [0] * len(sizes), []
-    rest = set(range(len(sizes)))
-    for i in sorted(rest, key=lambda i: (-sizes[i], i)):
-        left = shards - len(alone)
-        if left <= 1 or sizes[i] * left <= sum(sizes[j] for j in rest):
-            break
-        out[i] = len(alone)
-        alone.append(i)
-        rest.discard(i)
-    rest_ids = sorted(rest)
-    part = [sizes[i] for i in rest_ids]
-    left = shards - len(alone)
-    if not part:
+    out, rest, total = [], list(items), sum(s * n for s, n in items)
+    while rest and shards - len(out) > 1 and rest[0][0] * (shards - len(out)) > total:
+        size, n = rest[0]
+        out.append((size, len(out), 1))
+        total -= size
+        rest[0] = (size, n - 1)
+        if n == 1:
+            rest.pop(0)
+    if not rest:
         return out
-    fair = -(-sum(part) // left)
-    low, high = fair, fair + max(part)
-    best, n = best_fit_decreasing(part, high)
+    alone, left = len(out), shards - len(out)
+    fair = -(-total // left)
+    low, high = fair - 1, fair + rest[0][0]  # low never fits, and at high it is below the fair share that a bin closes
+    best, n = best_fit_decreasing(rest, high)
     while n > left:
-        high *= 2
-        best, n = best_fit_decreasing(part, high)
+        low, high = high, high * 2
+        best, n = best_fit_decreasing(rest, high)
     while high - low > max(1, fair // 10000):
         mid = (low + high) // 2
-        got, n = best_fit_decreasing(part, mid)
+        got, n = best_fit_decreasing(rest, mid, left)
         if n <= left:
             best, high = got, mid
         else:
             low = mid
-    for i, b in zip(rest_ids, best, strict=True):
-        out[i] = len(alone) + b
-    return out
+    return out + [(size, alone + b, n) for size, b, n in best]
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -121,25 +124,40 @@ def sized(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("text").cast("long") + ROW_BYTES).alias("size"), F.crc32("text").alias("text_crc32"), F.xxhash64("text", F.length("text")).alias("sh_group"), F.pmod(F.monotonically_increasing_id(), F.lit(1024)).alias("sh_salt"))
 
 
-def _placed(rows: DataFrame, shards: int | None, capacity: int | None) -> DataFrame:
-    """rows with their shard."""
-    spark = rows.sparkSession
-    groups = saved(rows.groupBy("sh_group", "text_crc32").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    capacity = capacity or max(1, -(-total // shards))
-    bundles = BUNDLES * max(1, -(-total // capacity))
-    heavy = F.col("bytes") * HEAVY >= capacity
-    large = groups.where(heavy)
-    light = groups.where(~heavy).groupBy(F.pmod("sh_group", F.lit(bundles)).alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-    items = [(r["sh_group"], r["text_crc32"], None, r["bytes"]) for r in large.collect()]  # no more than HEAVY a shard
-    items = sorted(items) + sorted((None, None, r["bundle"], r["bytes"]) for r in light.collect())
-    sizes = [i[3] for i in items]
-    at = into(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)[0]
-    placed = [(*i[:3], b) for i, b in zip(items, at, strict=True)]
-    one = spark.createDataFrame([(p[0], p[1], p[3]) for p in placed if p[2] is None], "sh_group long, text_crc32 long, own int")
-    many = spark.createDataFrame([(p[2], p[3]) for p in placed if p[2] is not None], "sh_bundle long, shared int")
-    rows = rows.withColumn("sh_bundle", F.pmod("sh_group", F.lit(bundles)))
-    return rows.join(F.broadcast(one), ["sh_group", "text_crc32"], "left").join(F.broadcast(many), "sh_bundle", "left").withColumn("shard", F.coalesce("own", "shared")).drop("own", "shared", "sh_bundle")
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], n: int, name: str) -> DataFrame:
+    """rows with ``name``, a gapless number from 0 within the keys; a key is numbered in about sqrt(n) parts, none of which grows with it alone."""
+    parts = max(1, round(n**0.5))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    counts = dealt.groupBy(*keys, "part").count()
+    first = (F.sum("count").over(Window.partitionBy(*keys).orderBy("part")) - F.col("count")).alias("first")
+    first = saved(counts.select(*keys, "part", first), "first")
+    within = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))
+    out = dealt.withColumn("within", within).join(sized_broadcast(first, first.count(), BROADCAST_ROWS), [*keys, "part"])
+    return out.withColumn(name, (F.col("first") + F.col("within") - 1).cast("long")).drop("part", "within", "first")
+
+
+def _placed(groups: DataFrame, shards: int | None, capacity: int | None) -> DataFrame:
+    """(sh_group, text_crc32, shard) of groups(sh_group, text_crc32, bytes)."""
+    items = groups.groupBy("bytes").count().toPandas().sort_values("bytes", ascending=False)
+    items = list(zip(items["bytes"].tolist(), items["count"].tolist(), strict=True))
+    runs = into(items, shards) if shards else best_fit_decreasing(items, capacity)[0]
+    upto: dict[int, int] = {}
+    placed = []
+    for size, b, n in runs:
+        at = upto.get(size, 0)
+        placed.append((size, at, at + n, b))
+        upto[size] = at + n
+    counts = dict(items)
+    one = [(size, b) for size, lo, hi, b in placed if hi - lo == counts[size]]
+    many = [p for p in placed if p[2] - p[1] != counts[p[0]]]
+    spark, key = groups.sparkSession, ["sh_group", "text_crc32", "shard"]
+    whole = groups.join(sized_broadcast(spark.createDataFrame(one, "bytes long, shard int"), len(one), BROADCAST_ROWS), "bytes").select(*key)
+    if not many:
+        return whole
+    runs = spark.createDataFrame(many, "bytes long, lo long, hi long, shard int")
+    cut = groups.join(sized_broadcast(runs.select("bytes").distinct(), len(many), BROADCAST_ROWS), "bytes", "left_semi")
+    cut = _numbered(cut, ["bytes"], ["sh_group", "text_crc32"], groups.count(), "nth")
+    return whole.unionByName(cut.join(sized_broadcast(runs, len(many), BROADCAST_ROWS), "bytes").where("nth >= lo and nth < hi").select(*key))
 
 
 def sharded(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None) -> DataFrame:
@@ -151,14 +169,12 @@ def sharded(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None =
     like any others, other columns are not read; an empty table gives an empty one.
     """
     rows = saved(sized(docs), "sized")
-    placed = saved(_placed(rows, shards, capacity), "placed")
-    parts = max(1, round((placed.count() / (shards or SHARDS)) ** 0.5))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "sh_group", "sh_salt"), F.lit(parts)))
-    counts = placed.groupBy("shard", "part").count()
-    first = saved(counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("first")), "first")
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "sh_group", "sh_salt"))
-    out = placed.withColumn("w", within).join(sized_broadcast(first, first.count(), BROADCAST_ROWS), ["shard", "part"])
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("w") - 1).cast("long").alias("slot"))
+    groups = saved(rows.groupBy("sh_group", "text_crc32").agg(F.sum("size").alias("bytes")), "groups")
+    where = saved(_placed(groups, shards, capacity), "where")
+    n_groups = where.count()
+    placed = saved(rows.join(sized_broadcast(where, n_groups, BROADCAST_ROWS), ["sh_group", "text_crc32"]), "placed")
+    out = _numbered(placed, ["shard"], ["doc_id", "sh_group", "sh_salt"], -(-placed.count() // (shards or SHARDS)), "slot")
+    return out.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op7_balanced_shards(spark, sf_dir: str) -> DataFrame:

@@ -249,34 +249,61 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
 
 
 def test_shards(spark, rows):
-    got = sharding.sharded(_docs(spark, rows), 5).collect()
-    assert sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 16 for _, t in rows)
-    assert sorted(r["text_crc32"] for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
-    slots = collections.defaultdict(list)
-    where = collections.defaultdict(set)
-    for r in got:
-        slots[r["shard"]].append(r["slot"])
-        where[r["text_crc32"]].add(r["shard"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
+    hot = rows + [(3000 + i, "hot " * 40) for i in range(80)] + [(4000 + i, f"same size {i % 10}") for i in range(60)]
+    for rows in (rows, hot):
+        got = sharding.sharded(_docs(spark, rows), 5).collect()
+        assert sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 16 for _, t in rows)
+        assert sorted(r["text_crc32"] for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
+        slots = collections.defaultdict(list)
+        where = collections.defaultdict(set)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+            where[r["text_crc32"]].add(r["shard"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
     assert sharding.sharded(_docs(spark, []), 5).count() == 0
     fixed = sharding.sharded(_docs(spark, rows), None, 3000).groupBy("shard").agg(F.sum("size").alias("s"), F.countDistinct("text_crc32").alias("n")).collect()
     assert all(r["s"] <= 3000 or r["n"] == 1 for r in fixed)
+    groups = collections.Counter()
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 16
+    assert sorted(r["s"] for r in fixed) == sorted(map(sum, _plain_bins(list(groups.values()), 3000)))
+
+
+def _plain_bins(sizes, capacity):
+    """Contents of the bins of best-fit-decreasing, by looking at every bin for every item."""
+    free, bins = [], []
+    for s in sorted(sizes, reverse=True):
+        fits = [(f, b) for b, f in enumerate(free) if f >= s]
+        b = min(fits)[1] if fits else len(free)
+        if not fits:
+            free.append(max(capacity, s))
+            bins.append([])
+        free[b] -= s
+        bins[b].append(s)
+    return bins
+
+
+def _bins(runs):
+    out = collections.defaultdict(list)
+    for size, b, n in runs:
+        out[b] += [size] * n
+    return list(out.values())
 
 
 def test_best_fit_decreasing_against_a_plain_search():
     rng = random.Random(4)
-    for _ in range(50):
-        sizes, capacity = [rng.randint(1, 30) for _ in range(rng.randint(0, 40))], rng.randint(10, 60)
-        free, want = [], {}
-        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            fits = [(f, b) for b, f in enumerate(free) if f >= sizes[i]]
-            b = min(fits)[1] if fits else len(free)
-            if not fits:
-                free.append(max(capacity, sizes[i]))
-            free[b] -= sizes[i]
-            want[i] = b
-        got, n = sharding.best_fit_decreasing(sizes, capacity)
-        assert n == len(free) and got == [want[i] for i in range(len(sizes))]
+    for _ in range(80):
+        sizes, capacity = [rng.randint(1, 30) for _ in range(rng.randint(0, 60))], rng.randint(10, 60)
+        items = sorted(collections.Counter(sizes).items(), reverse=True)
+        runs, n = sharding.best_fit_decreasing(items, capacity)
+        assert n == len(_bins(runs)) and sorted(map(sorted, _bins(runs))) == sorted(map(sorted, _plain_bins(sizes, capacity)))
+        shards = rng.randint(1, 7)
+        even = _bins(sharding.into(items, shards))
+        assert len(even) <= shards and sorted(sum(even, [])) == sorted(sizes)
+        if sizes and max(sizes) * shards <= sum(sizes):
+            least = next(c for c in range(max(sizes), sum(sizes) + 1) if len(_plain_bins(sizes, c)) <= shards)
+            assert max(map(sum, even)) <= 2 * least
+    assert sorted(map(sum, _bins(sharding.into([(100, 1), (1, 30)], 4)))) == [10, 10, 10, 100]
 
 
 def test_packing(spark, rows):
