@@ -1,7 +1,7 @@
 """Variable-capacity best-fit packing of documents into training sequences of several permitted lengths.
 
-Documents are dealt by hash to groups of about GROUP pieces, so a group's size does not depend on the size of
-the input, and each group is packed on its own; all that the split costs is one part-filled bin a group. In
+Documents are dealt by hash, and repeated rows by their number, to groups of about GROUP pieces, so a group's size does
+not depend on the size of the input, and each group is packed on its own; all that the split costs is one part-filled bin a group. In
 a group, pieces go by falling length into the fullest bin that has room. A bin is opened at the
 permitted length of least cost that holds the piece, at or above a floor; the floors compete, each is packed
 in full, and the one of least total cost after every bin has been reduced to the cheapest length that
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .mixing import n_tokens
+from .work import saved
 
 #: Permitted sequence lengths in tokens, and what a sequence costs beside its length.
 CAPACITIES = (256, 512, 1024, 2048, 4096)
@@ -70,13 +71,15 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...], costs: tuple[float,
 
 
 def pieces(docs: DataFrame, longest: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, ..., [text]): a document's words and one end token, cut at the longest length."""
+    """(doc_id, row, piece, start, n_tokens, [text]): a document's words and one end token, cut at the longest length; row numbers the rows of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("total", n_tokens(F.col("text")) + 1)
+    # written, so that texts are read once and a row keeps its number
+    rows = saved(rows.select("doc_id", "total", F.monotonically_increasing_id().alias("row"), *(["text"] if "text" in carry else [])), "pieces")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((total - 1) div {longest} as int)"))))
     rows = rows.withColumn("start", F.col("piece").cast("long") * longest).withColumn("n_tokens", F.least(F.col("total") - F.col("start"), F.lit(longest)).cast("long"))
     if "text" not in carry:
-        return rows.drop("text", "total")
+        return rows.drop("total")
     words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(words, (F.col("start") + 1).cast("int"), F.lit(longest)), "")
     return rows.withColumn("text", F.when(F.col("total") <= longest, F.col("text")).otherwise(cut)).drop("total")
@@ -87,18 +90,18 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, costs: tuple
 
     Returns doc_id, piece, start (token of the document it begins at), n_tokens, bin_id, bin_length, bin_tokens
     and bin_offset; with carry=("text",) also the piece's text. A null or empty text is one end token. Repeated
-    rows and null doc_ids are packed like any others; other columns are not read. An empty table gives
+    rows and null doc_ids are packed like any others, each in a group by its number; other columns are not read. An empty table gives
     an empty one. costs: of a sequence of each capacity; its length and OVERHEAD unless given.
     """
     capacities = tuple(sorted(capacities))
     costs = costs or tuple(float(c + OVERHEAD) for c in capacities)
     rows = pieces(docs, capacities[-1], carry)
-    groups = max(1, -(-(rows.count() if not carry else pieces(docs, capacities[-1]).count()) // group))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))
+    groups = max(1, -(-rows.count() // group))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(groups)))
     texts = ["text"] if "text" in carry else []
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("n_tokens", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         sizes = table["n_tokens"].to_pylist()
         bins, lengths = best_fit(sizes, capacities, costs)
         used, offsets = [0] * len(lengths), []
@@ -110,7 +113,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, costs: tuple
         return pa.table(dict(zip(schema.names, [*columns, *(table[c] for c in texts)], strict=True)))
 
     schema = T.StructType.fromDDL("doc_id long, piece int, start long, n_tokens long, bin_id long, bin_length long, bin_tokens long, bin_offset long" + ", text string" * bool(texts))
-    return rows.select("group", "doc_id", "piece", "start", "n_tokens", *texts).groupBy("group").applyInArrow(run, schema)
+    return rows.select("group", "doc_id", "row", "piece", "start", "n_tokens", *texts).groupBy("group").applyInArrow(run, schema)
 
 
 def sequences(packed: DataFrame, end: str = "\n") -> DataFrame:
