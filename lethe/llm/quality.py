@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,40 +120,28 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> tuple[int,
     return lo, above
 
 
-def cutoff(weights: DataFrame, bins: int = 4096) -> int:
+def cutoff(weights: DataFrame) -> int:
     """The log weight that best parts good from bad among rows(lw_, good, bad): most true less false acceptances.
 
-    The best edge between ever narrower bins is found by counting, then put half-way between the labelled documents on
-    its two sides, so that unlabelled ones near either side are not cut. 0 where a label is missing.
+    Every distinct weight of a labelled document is tried as the least that is accepted, of equally good ones the lowest
+    is taken. Running counts are made in ranges of weights and summed over the ranges, so no task sees all. The cutoff lies
+    half-way between the labelled documents on its two sides, so that unlabelled ones near either are not cut.
+    0 where a label is missing.
     """
-    known = weights.where("good or bad")
-    lo, hi, good, bad = known.agg(F.min("lw_"), F.max("lw_"), F.sum(F.col("good").cast("long")), F.sum((~F.col("good")).cast("long"))).first()
+    each = weights.where("good or bad").groupBy("lw_").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
+    each = saved(each.repartitionByRange("lw_").withColumn("range", F.spark_partition_id()), "edges")
+    good, bad = each.agg(F.sum("g"), F.sum("b")).first()
     if not good or not bad:
         return 0
-    best, hi, below = hi + 1, hi + 1, (0, 0)  # accept from best on; below: good and bad under lo
-    while lo < hi:
-        width = (hi - lo - 1) // bins + 1
-        rows = known.where((F.col("lw_") >= lo) & (F.col("lw_") < hi)).groupBy(F.expr(f"cast((lw_ - ({lo}L)) div {width}L as long)").alias("bin")).agg(F.sum(F.col("good").cast("long")).alias("g"), F.count("*").alias("n")).orderBy("bin").collect()
-        g, b = below
-        edges = []
-        for row in rows:
-            edges.append((b / bad - g / good, lo + row["bin"] * width, g, b, row))
-            g, b = g + row["g"], b + row["n"] - row["g"]
-        top = max(edges, key=lambda e: e[0], default=None)
-        if top is None or b / bad - g / good > top[0]:
-            best = hi
-        else:
-            best = top[1]
-        if width == 1:
-            break
-        before = [e for e in edges if e[1] < best]  # the true edge is within the last bin before it
-        if not before:
-            break
-        _, lo, g, b, _ = before[-1]
-        hi = best = min(best, lo + width)  # nothing lies between the end of that bin and the edge found
-        below = (g, b)
-    under, over = known.agg(F.max(F.when(F.col("lw_") < best, F.col("lw_"))), F.min(F.when(F.col("lw_") >= best, F.col("lw_")))).first()
-    return best if under is None or over is None else (under + over + 1) // 2
+    ranges = each.groupBy("range").agg(F.sum("g").alias("gs"), F.sum("b").alias("bs"), F.max("lw_").alias("top"))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = ranges.select("range", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("gs", "bs")), F.max("top").over(upto).alias("top"))
+    own = Window.partitionBy("range").orderBy("lw_")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c, s: F.col(s) + F.coalesce(F.sum(c).over(before), F.lit(0))
+    rows = each.join(F.broadcast(ranges), "range").select("lw_", below("g", "gs").alias("g"), below("b", "bs").alias("b"), F.coalesce(F.lag("lw_").over(own), "top").alias("under"))
+    best = rows.select((F.col("b") * good - F.col("g") * bad).alias("gain"), (-F.col("lw_")).alias("low"), "under").agg(F.max(F.struct("gain", "low", "under")).alias("m")).first()["m"]
+    return -best["low"] if best["under"] is None else (best["under"] - best["low"] + 1) // 2
 
 
 def model(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> tuple[np.ndarray, int, int, DataFrame]:

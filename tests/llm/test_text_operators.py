@@ -332,6 +332,44 @@ def test_packing_takes_the_cheapest_floor():
     assert packing.best_fit([3], (4, 8), (9.0, 2.0))[1] == [8]
 
 
+def _plain_best_fit(sizes, capacities, costs):
+    """Total cost of the cheapest packing over the opening floors, by looking at every bin for every piece."""
+    price = dict(zip(capacities, costs, strict=True))
+    cheapest = lambda n: min((price[c], c) for c in capacities if c >= n)[1]
+    totals = []
+    for floor in capacities:
+        bins = []
+        for s in sorted(sizes, reverse=True):
+            fits = [b for b in bins if b[0] >= s]
+            b = min(fits, key=lambda b: b[0]) if fits else [cheapest(max(s, floor)), 0]
+            if not fits:
+                bins.append(b)
+            b[0] -= s
+            b[1] += s
+        totals.append(sum(price[cheapest(b[1])] for b in bins))
+    return min(totals)
+
+
+def test_packing_against_a_plain_search():
+    rng = random.Random(12)
+    for _ in range(100):
+        capacities = tuple(sorted(rng.sample(range(8, 80), 3)))
+        costs = tuple(float(rng.randint(1, 90)) for _ in capacities)
+        sizes = [rng.randint(1, capacities[-1]) for _ in range(rng.randint(1, 50))]
+        bins, lengths = packing.best_fit(sizes, capacities, costs)
+        held = collections.Counter()
+        for b, s in zip(bins, sizes, strict=True):
+            held[b] += s
+        assert all(held[b] <= lengths[b] for b in held) and len(held) == len(lengths)
+        assert sum(costs[capacities.index(c)] for c in lengths) == _plain_best_fit(sizes, capacities, costs)
+
+
+def test_packing_splits_repeated_rows(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("three words here").alias("text"))
+    got = packing.pack(docs, (16, 64)).groupBy(F.shiftright("bin_id", 20).alias("g")).count().collect()
+    assert len(got) == 3 and max(r["count"] for r in got) < 1400 and sum(r["count"] for r in got) == 3000
+
+
 def test_mixing_budgets(spark):
     weights = (F.when(F.col("mx_domain") == "a", 3).otherwise(1), F.lit(1), F.lit(1))
     docs = [(i, "t " * 10, "en", "a1") for i in range(4)] + [(10 + i, "t " * 10, "de", "a2") for i in range(20)] + [(50 + i, "t " * 10, None, None) for i in range(30)] + [(99, None, "en", "a1"), (98, "", "en", "b")]
@@ -374,6 +412,22 @@ def test_quality(spark):
     assert quality.resample(frame, labels.limit(0)).count() >= 0
 
 
+def test_cutoff_against_all_edges(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 7, 60, 300):
+        rows = [(round(rng.gauss(g * 40, 60)), bool(g), not g) for g in (rng.randrange(2) for _ in range(n))] + [(10**9, True, False), (-5, False, True), (3, False, False)]
+        rows = rows[:-2] + [(rows[0][0], True, False)] + rows[-2:]
+        labelled = [(w, g) for w, g, b in rows if g or b]
+        good, bad = sum(g for _, g in labelled), sum(not g for _, g in labelled)
+        gain = lambda e: sum(not g for w, g in labelled if w < e) * good - sum(g for w, g in labelled if w < e) * bad
+        best = min({w for w, _ in labelled}, key=lambda e: (-gain(e), e))
+        under = [w for w, _ in labelled if w < best]
+        want = (max(under) + best + 1) // 2 if under else best
+        frame = spark.createDataFrame(rows, "lw_ long, good boolean, bad boolean").repartition(3)
+        assert quality.cutoff(frame) == want
+    assert quality.cutoff(frame.where("not bad")) == 0 and quality.cutoff(frame.limit(0)) == 0
+
+
 def test_quality_weights_by_hand(spark):
     docs = spark.createDataFrame([(1, "aab aab"), (2, "zz zz top"), (3, "aab")], "doc_id long, text string")
     rows = docs.select("doc_id", "text", (F.col("doc_id") == 1).alias("good"), F.lit(False).alias("bad"))
