@@ -15,12 +15,21 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near-duplicates; of rows that repeat a doc_id, one."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("nd_id")).distinct()
-    kept = saved(kept, "kept")
-    small = neardup.sized_broadcast(kept, kept.count(), neardup.BROADCAST_IDS)
-    named = docs.where("doc_id is not null").join(small, F.col("doc_id").cast("long") == F.col("nd_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Keep of each group of near-duplicates the document of the smallest doc_id (nulls last); of rows equal in doc_id and text one.
+
+    Rows are told apart by doc_id and text, so neither a doc_id that several texts share nor a null one loses a text.
+    """
+    keyed = docs.withColumn("nd_key", F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()))
+    second = F.xxhash64(F.lit(1), "doc_id", "text", F.length("text"))
+    ids = saved(keyed.groupBy("nd_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("nd_id"), F.min(second) == F.max(second), F.count("*").alias("times")).toDF("nd_key", "nd_id", "one", "times"), "ids")
+    groups = neardup.near_duplicates(keyed.select(F.col("nd_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("nd_key"), "component_id").distinct()
+    first = groups.join(ids, "nd_key").groupBy("component_id").agg(F.min(F.struct("nd_id", "nd_key")).alias("first")).select(F.col("first.nd_key").alias("nd_key"))
+    # a key of two texts (their hashes being equal by chance) keeps all its rows
+    kept = saved(ids.join(first.union(ids.where("not one").select("nd_key")).distinct(), "nd_key").select("nd_key", (F.col("one") & (F.col("times") > 1)).alias("again")), "kept")
+    again = saved(kept.where("again").select("nd_key"), "again")
+    once = kept.where("not again").select("nd_key")
+    held = lambda keys: keyed.join(neardup.sized_broadcast(keys, keys.count(), neardup.BROADCAST_IDS), "nd_key", "left_semi")
+    return held(once).unionByName(held(again).dropDuplicates(["nd_key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +55,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The first two stages cannot be stated in SQL; tests compare each stage with a brute-force version.
+#: The first two stages cannot be stated in SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
