@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lethe.llm import html, media
 from lethe.llm.components import components
+from lethe.llm.quality import op3_quality_resampling as quality_op
+from lethe.llm.work import saved
+from test_text_operators import WORD, _components, _spans
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body class="page"><header><h2>Site</h2></header><nav><ul><li>Home</ul></nav>
 <div class="notice-bar">We use cookies</div><div class=ad>Buy</div><div><span>Everywhere</span></div>
@@ -95,3 +98,39 @@ def test_pipeline_stages_keep_their_promises(spark):
         out = stage(spark, odd, sf)
         assert out.columns == columns or i == 4, name
         assert out.count() > 0 and stage(spark, empty, sf).count() == 0, name
+
+
+def test_pipeline_keeps_documents_that_share_an_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "one text of an id that two sources gave away", "a"), (1, "and quite another text under the same id", "b"), (2, long, "a"), (3, long + " end", "a"), (3, "a third text that looks like neither of them", "b"), (None, long, "c"), (None, "text without an id", "c"), (None, "text without an id", "c"), (5, "same row", "a"), (5, "same row", "a"), (6, None, "a"), (7, "", "a")]
+    frame = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], docs.schema).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()), key=repr)
+    assert got == sorted({(i, t) for i, t, _ in rows} - {(3, long + " end"), (None, long)}, key=repr)
+
+
+def test_pipeline_against_plain_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pairs = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(saved(stage(spark, out[-1], sf), "plain"))
+    chosen = {r["doc_id"] for r in quality_op(spark, sf).where("selected").collect()}
+    assert sorted(pairs(out[1])) == sorted((i, t) for i, t in pairs(docs) if i in chosen)
+    groups = _components(pairs(out[1]))
+    assert sorted(pairs(out[2])) == sorted((i, t) for i, t in pairs(out[1]) if groups[i, t][1] == i)
+    before = dict(pairs(out[2]))
+    for i, t in pairs(out[3]):
+        assert _spans(t) == "" and (t == before[i]) == (_spans(before[i]) == "")
+    words = lambda rows: sum(len(WORD.findall(t or "")) for _, t in rows)
+    clean, drawn = dict(pairs(out[3])), pairs(out[4])
+    assert words(drawn) == words(clean.items()) // 2 and all(clean[i].startswith(t) for i, t in drawn)
+    packed = out[5].collect()
+    assert sum(r["n_tokens"] for r in packed) == words(drawn) + len(drawn)
+    joined = {}
+    for r in sorted(packed, key=lambda r: r["piece"]):
+        joined.setdefault(r["doc_id"], []).append(r["text"])
+    twice = {i for i, _ in drawn if sum(j == i for j, _ in drawn) > 1}
+    assert {i: "".join(t) for i, t in joined.items() if i not in twice} == {i: t for i, t in drawn if i not in twice}
+    assert sorted(corpus_pipeline.run(spark, sf).drop("bin_id", "bin_length", "bin_tokens", "bin_offset").collect()) == sorted(out[5].drop("bin_id", "bin_length", "bin_tokens", "bin_offset").collect())
