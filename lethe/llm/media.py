@@ -20,18 +20,31 @@ from pyspark.sql import functions as F
 
 from .work import parts, saved, sized_broadcast
 
-#: Step between scales, side of a grid's cell and corners in one at a scale, half side of a patch.
-STEP, CELL, CORNERS, RADIUS = 1.5, 16, 2, 11
+#: Step between scales, side of a grid's cell and corners in one at a scale, distance of corners from the edge.
+STEP, CELL, CORNERS, RADIUS = 1.25, 16, 2, 11
 #: Bits of a band of the table and bands in each 64 bits of a descriptor.
 BAND_BITS, BANDS = 21, 3
 #: Hamming distance that is a vote; votes that must agree, within so many pixels, radians and log scale.
-NEAR, LEAST, PIXELS, TURN, SCALING = 40, 6, 4.0, 0.35, 0.45
+NEAR, LEAST, PIXELS, TURN, SCALING = 32, 6, 4.0, 0.35, 0.45
 #: Ids and classes, and features of queries, that may be broadcast.
 BROADCAST_ROWS, BROADCAST_FEATURES = 500_000, 1_000_000
-_PATTERN = np.clip(np.random.default_rng(9).normal(0, 3.6, (256, 2, 2)), -7, 7)
+
+
+def _pattern(spread: float = 9, reach: float = 14, seed: int = 9) -> np.ndarray:
+    """256 pairs of places to compare, mostly across the direction of the patch, along which brightness rises by its very choice."""
+    pairs = np.clip(np.random.default_rng(seed).normal(0, spread, (4096, 2, 2)), -reach, reach)
+    along, across = np.abs(pairs[:, 0] - pairs[:, 1]).T
+    return pairs[(along <= 0.4 * across) & (across > 2)][:256]
+
+
+#: Directions that the pattern is turned to, the places of each in whole pixels, and how far they reach.
+TURNS = 64
+_AT = 2 * np.pi * np.arange(TURNS)[:, None, None] / TURNS
+_X, _Y = (np.rint(a * _pattern()[None, ..., 0] + b * _pattern()[None, ..., 1]).astype(np.int32) for a, b in ((np.cos(_AT), -np.sin(_AT)), (np.sin(_AT), np.cos(_AT))))
+REACH = int(max(np.abs(_X).max(), np.abs(_Y).max()))
 FEATURE = "media_id long, f int, x float, y float, s float, a float, d array<long>"
-#: Votes that one step of the geometric check holds against all others.
-VOTES = 256
+#: Pixels that are described at once, and votes that one step of the geometric check holds against all others.
+PIXELS_AT_ONCE, VOTES = 1 << 19, 256
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -52,85 +65,103 @@ def encode(pixels: np.ndarray) -> bytes:
 
 
 def resized(img: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear sampling at the centres of h x w cells."""
-    y, x = ((np.arange(n) + 0.5) * m / n - 0.5 for n, m in ((h, img.shape[0]), (w, img.shape[1])))
-    y, x = np.clip(y, 0, img.shape[0] - 1), np.clip(x, 0, img.shape[1] - 1)
-    y0, x0 = np.minimum(y.astype(int), max(0, img.shape[0] - 2)), np.minimum(x.astype(int), max(0, img.shape[1] - 2))
-    y1, x1 = np.minimum(y0 + 1, img.shape[0] - 1), np.minimum(x0 + 1, img.shape[1] - 1)
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    rows0, rows1 = img[y0], img[y1]
-    return ((rows0[:, x0] * (1 - fx) + rows0[:, x1] * fx) * (1 - fy) + (rows1[:, x0] * (1 - fx) + rows1[:, x1] * fx) * fy).astype(np.float32)
+    """Bilinear sampling of the last two axes at the centres of h x w cells."""
+
+    def along(img: np.ndarray, n: int, axis: int) -> np.ndarray:
+        m = img.shape[axis]
+        at = np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
+        low = np.minimum(at.astype(int), max(0, m - 2))
+        part = (at - low).astype(np.float32).reshape((-1, 1) if axis == -2 else (-1,))
+        return np.take(img, low, axis) * (1 - part) + np.take(img, np.minimum(low + 1, m - 1), axis) * part
+
+    return along(along(img, h, -2), w, -1).astype(np.float32)
 
 
 def _box(img: np.ndarray, r: int) -> np.ndarray:
-    """Mean over squares of side 2 r + 1, edges repeated."""
-    n = 2 * r + 1
-    p = np.pad(img, r, mode="edge").cumsum(0, dtype=np.float64)
-    p = np.concatenate([np.zeros((1, p.shape[1])), p])
-    p = (p[n:] - p[:-n]).cumsum(1)
-    p = np.concatenate([np.zeros((p.shape[0], 1)), p], 1)
-    return (p[:, n:] - p[:, :-n]) / (n * n)
-
-
-def features(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, scale, angle) of each corner in the image's own pixels, and its descriptor as four 64-bit integers."""
-    places, bits, scale = [], [], 1.0
-    while min(img.shape) / scale > 2 * RADIUS + 3:
-        h, w = int(img.shape[0] / scale), int(img.shape[1] / scale)
+    """Mean over squares of side 2 r + 1 in the last two axes, edges repeated."""
+    n, (h, w) = 2 * r + 1, img.shape[-2:]
+    p = np.pad(img.astype(np.float32, copy=False), [*[(0, 0)] * (img.ndim - 2), (r, r), (r, r)], mode="edge")
+    out = p[..., :h, :].copy()
+    for i in range(1, n):
+        out += p[..., i : i + h, :]
+    p, out = out, out[..., :w].copy()
+    for i in range(1, n):
+        out += p[..., i : i + w]
+    out /= n * n
+    return out
+
+
+def _peaks(r: np.ndarray) -> np.ndarray:
+    """Where a value is the largest of the 5 x 5 around it, and more than a trace."""
+    h, w = r.shape[-2:]
+    top = np.pad(r, [(0, 0), (2, 2), (0, 0)], constant_values=-np.inf)
+    top = np.maximum.reduce([top[:, i : i + h] for i in range(5)])
+    top = np.pad(top, [(0, 0), (0, 0), (2, 2)], constant_values=-np.inf)
+    good = (r >= np.maximum.reduce([top[:, :, i : i + w] for i in range(5)])) & (r > 1e-3)
+    good[:, :RADIUS], good[:, -RADIUS:], good[:, :, :RADIUS], good[:, :, -RADIUS:] = False, False, False, False
+    return good
+
+
+def features(imgs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the corners of imgs (n x height x width): the image's number, (x, y, scale, angle) in its own pixels, the descriptor as four 64-bit integers."""
+    own, places, bits, scale = [], [], [], 1.0
+    while min(imgs.shape[1:]) / scale > 2 * RADIUS + 3:
+        h, w = int(imgs.shape[1] / scale), int(imgs.shape[2] / scale)
         at_scale, scale = scale, scale * STEP
-        level = _box(resized(img, h, w) if at_scale > 1 else img, 1)
-        gy, gx = np.gradient(level)
+        level = _box(resized(imgs, h, w) if at_scale > 1 else imgs, 1)
+        gy, gx = np.gradient(level, axis=(1, 2))
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        top = np.pad(r, 2, constant_values=-np.inf)
-        top = np.max([top[i : i + h, j : j + w] for i in range(5) for j in range(5)], axis=0)
-        good = (r >= top) & (r > 1e-3)
-        good[:RADIUS], good[-RADIUS:], good[:, :RADIUS], good[:, -RADIUS:] = False, False, False, False
-        y, x = np.nonzero(good)
+        i, y, x = np.nonzero(_peaks(r))
         if not len(y):
             continue
-        cell = y // CELL * (w // CELL + 1) + x // CELL
-        order = np.lexsort((x, y, -r[y, x], cell))
+        cell = (i * (h // CELL + 1) + y // CELL) * (w // CELL + 1) + x // CELL
+        order = np.lexsort((x, y, -r[i, y, x], cell))
         first = np.searchsorted(cell[order], cell[order])  # where the cell of each begins
         order = order[np.arange(len(order)) - first < CORNERS]
-        y, x = y[order], x[order]
+        i, y, x = i[order], y[order], x[order]
         at = np.arange(-7, 8)
-        disc = (at[:, None] ** 2 + at[None, :] ** 2 <= 49).astype(float)
-        patch = level[y[:, None, None] + at[None, :, None], x[:, None, None] + at[None, None, :]] * disc
-        angle = np.arctan2((patch * at[:, None]).sum((1, 2)), (patch * at[None, :]).sum((1, 2)))
-        smooth = _box(level, 2)
-        cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        px = np.rint(cos * _PATTERN[..., 0] - sin * _PATTERN[..., 1]).astype(int) + x[:, None, None]
-        py = np.rint(sin * _PATTERN[..., 0] + cos * _PATTERN[..., 1]).astype(int) + y[:, None, None]
-        value = smooth[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
+        disc = (at[:, None] ** 2 + at[None, :] ** 2 <= 49).astype(np.float32)
+        patch = level[i[:, None, None], y[:, None, None] + at[None, :, None], x[:, None, None] + at[None, None, :]] * disc
+        angle = np.arctan2((patch.sum(2) * at).sum(1), (patch.sum(1) * at).sum(1))
+        smooth = np.pad(_box(level, 2), [(0, 0), (REACH, REACH), (REACH, REACH)], mode="edge")
+        turned = np.rint(angle * (TURNS / (2 * np.pi))).astype(np.int64) % TURNS
+        wide = w + 2 * REACH
+        spot = (i * (h + 2 * REACH) + y + REACH) * wide + x + REACH
+        value = smooth.ravel()[spot[:, None, None] + (_Y * wide + _X)[turned]]
+        own.append(i)
         bits.append(value[..., 0] < value[..., 1])
         places.append(np.stack([(x + 0.5) * at_scale, (y + 0.5) * at_scale, np.full(len(x), at_scale), angle], 1))
     if not places:
-        return np.zeros((0, 4), np.float32), np.zeros((0, 4), np.int64)
+        return np.zeros(0, np.int64), np.zeros((0, 4), np.float32), np.zeros((0, 4), np.int64)
     packed = np.packbits(np.concatenate(bits), axis=1).view(">i8").astype(np.int64)
-    return np.concatenate(places).astype(np.float32), packed
+    own = np.concatenate(own)
+    order = np.argsort(own, kind="stable")
+    return own[order], np.concatenate(places).astype(np.float32)[order], packed[order]
 
 
 def described(images: DataFrame) -> DataFrame:
-    """FEATURE rows of images(media_id, image); a null or unreadable image has none."""
+    """FEATURE rows of images(media_id, image); a null or unreadable image has none. Images of one shape are worked on together."""
 
     def run(batches):
         for batch in parts(batches):
-            out = {c: [] for c in ("media_id", "f", "x", "y", "s", "a", "d")}
-            for media_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            shapes: dict[tuple, list] = {}
+            for at, data in enumerate(batch.column(1).to_pylist()):
                 img = decode(data)
-                if img is None:
-                    continue
-                place, d = features(img)
-                out["media_id"] += [media_id] * len(d)
-                out["f"] += range(len(d))
-                for i, c in enumerate("xysa"):
-                    out[c] += place[:, i].tolist()
-                out["d"] += d.tolist()
-            types = [pa.int64(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
-
-    return images.select(F.col("media_id").cast("long"), F.col("image").cast("binary")).mapInArrow(run, FEATURE)
+                if img is not None:
+                    shapes.setdefault(img.shape, []).append((at, img))
+            for (h, w), found in shapes.items():
+                size = max(1, PIXELS_AT_ONCE // (h * w))
+                for lo in range(0, len(found), size):
+                    rows = found[lo : lo + size]
+                    own, place, d = features(np.stack([img for _, img in rows]))
+                    f = np.arange(len(own)) - np.searchsorted(own, own)
+                    media = ids[np.array([at for at, _ in rows])][own] if len(own) else np.zeros(0, np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(own) + 1, 4, dtype=np.int32)), pa.array(d.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(media, pa.int64()), pa.array(f, pa.int32()), *(pa.array(np.ascontiguousarray(place[:, c])) for c in range(4)), lists], ["media_id", "f", "x", "y", "s", "a", "d"])
+
+    return images.select(F.col("media_id").cast("long"), F.col("image").cast("binary")).where("media_id is not null").mapInArrow(run, FEATURE)
 
 
 def keys(d: Column) -> Column:

@@ -76,6 +76,42 @@ def test_image_copies(spark):
     assert media.copies(images.limit(0), lambda c: c % 50 == 0).count() == 0
 
 
+def _pictures():
+    """Large pictures and, from each, a crop of a quarter, one of half the side enlarged, a strong reduction and a darker copy."""
+    out = {}
+    for i in range(6):
+        rng = np.random.default_rng(i)
+        img = sum(media.resized(rng.uniform(0, 255, (n, n)).astype(np.float32), 260, 320) * w for n, w in ((12, 0.3), (30, 0.4), (70, 0.3)))
+        edits = [img, img[40:180, 60:220], media.resized(img[60:200, 50:210], 210, 240), media.resized(img, 120, 148), img * 0.6 + 10]
+        out |= {10 * i + k: media.decode(media.encode(e)) for k, e in enumerate(edits)}
+    return out
+
+
+def test_image_table_against_all_pairs(spark):
+    pictures = _pictures()
+    found = {}
+    for k, img in pictures.items():
+        _, place, d = media.features(img[None])
+        found[k] = place, np.unpackbits(d.astype(">i8").view(np.uint8).reshape(len(d), 32), axis=1).astype(np.float32)
+    want = set()
+    for q in range(0, 60, 10):
+        for k in pictures:
+            (one, a), (two, b) = found[q], found[k]
+            far = a @ (1 - b).T + (1 - a) @ b.T
+            near = far.min(1) <= media.NEAR
+            if k != q and near.any() and media.consensus(one[near], two[far.argmin(1)[near]]) >= media.LEAST:
+                want.add((q, k))
+    planted = {(q, q + k) for q in range(0, 60, 10) for k in range(1, 5)}
+    assert want == planted
+    images = spark.createDataFrame([(k, media.encode(p)) for k, p in pictures.items()], "media_id long, image binary").repartition(3)
+    for limit in (media.BROADCAST_FEATURES, 0):  # the table in the tasks, and by shuffle
+        before, media.BROADCAST_FEATURES = media.BROADCAST_FEATURES, limit
+        rows = media.copies(images, lambda c: c % 10 == 0).where("is_query").collect()
+        media.BROADCAST_FEATURES = before
+        got = {(r["media_id"], int(m.split(":")[0])) for r in rows for m in r["matches"].split(",") if m}
+        assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_image_formats():
     img = np.arange(12, dtype=np.float32).reshape(3, 4) * 20
     assert (media.decode(media.encode(img)) == img).all()
