@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import GENERIC
@@ -23,10 +23,8 @@ def leak_terms(text: Column) -> Column:
 def leaks(truth: DataFrame, outputs: DataFrame) -> DataFrame:
     """(doc_id, ord, type, text, leaked) of truth(doc_id, ord, type, text) in outputs(doc_id, unit_id, text)."""
     parts = truth.select("doc_id", F.col("ord").alias("t"), F.explode(leak_terms(F.col("text"))).alias("text"))
-    asked = parts.select("doc_id", "text").distinct().withColumn("label", F.col("text"))
-    asked = asked.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    lists = term_lists(asked.withColumn("ord", F.col("n") % 500).withColumn("part", F.floor(F.col("n") / 500)), ("doc_id", "part"))
-    seen = matched(outputs, lists).select("doc_id", F.explode("hits").alias("h")).select("doc_id", F.col("h.label").alias("text")).distinct()
+    asked = parts.select("doc_id", F.lit(0).alias("ord"), "text", F.col("text").alias("label"))
+    seen = matched(outputs, term_lists(asked)).select("doc_id", F.explode("hits").alias("h")).select("doc_id", F.col("h.label").alias("text")).distinct()
     leaked = parts.join(seen, ["doc_id", "text"], "left_semi").select("doc_id", F.col("t").alias("ord"), F.lit(True).alias("leaked")).distinct()
     return truth.join(leaked, ["doc_id", "ord"], "left").withColumn("leaked", F.coalesce("leaked", F.lit(False))).select("doc_id", "ord", "type", "text", "leaked")
 

@@ -11,12 +11,8 @@ from .match import matched, term_lists
 
 def occurring(candidates: DataFrame, units: DataFrame) -> DataFrame:
     """(doc_id, text) of the candidates(doc_id, ord, text) that occur in some unit of their document."""
-    # far more candidates than terms may be asked about: each is a list of its own chunk of a document's
-    chunk = F.floor((F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) - 1) / 500)
-    rows = candidates.select("doc_id", "text").distinct().withColumn("chunk", chunk)
-    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "chunk").orderBy("text"))).withColumn("label", F.col("text"))
-    lists = term_lists(rows, ("doc_id", "chunk"))
-    found = matched(units, lists).select("doc_id", F.explode("hits").alias("h"))
+    rows = candidates.select("doc_id", F.lit(0).alias("ord"), "text", F.col("text").alias("label"))
+    found = matched(units, term_lists(rows)).select("doc_id", F.explode("hits").alias("h"))
     return found.select("doc_id", F.col("h.label").alias("text")).distinct()
 
 

@@ -1,107 +1,197 @@
 """Finding, merging and masking the occurrences of terms.
 
-A document's terms are one bounded array (MAX_TERMS), joined to its text units by doc_id, or one array for all units.
-Finding, merging and masking are then expressions over a single row: nothing is multiplied out and nothing is
-shuffled but the join on doc_id itself.
+A document's terms are one array joined to its text units by doc_id, or one list for all units, which then travels with
+the function. A unit is searched for all its terms at once in Arrow batches: nothing is multiplied out, nothing is shuffled
+but the join on doc_id, and the time is that of one search a term, whatever is found. There is no limit to
+a document's terms: a refusal must know all of them. The search of one string is also what Word files are searched with.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import MAX_TERMS, SPACE
-from ..functions.text import ALNUM, is_number_like, nfkc, trimmed, words
+from ..functions.fixed import SPACE
+from ..functions.text import trimmed
 
-TERM = "array<struct<ord:int,text:string,label:string,pat:string>>"
-HITS = "array<struct<s:int,neg:int,ord:int,e:int,label:string>>"
+TERM = "array<struct<ord:int,text:string,label:string>>"
 SPANS = "array<struct<s:int,e:int,label:string>>"
+FOUND = "struct<hits:array<struct<s:int,neg:int,ord:int,e:int,label:string>>,spans:array<struct<s:int,e:int,label:string>>>"
+MASKED = "struct<text:string,removed:int>"
+LEFT = "array<struct<text:string,label:string,reason:string>>"
+WHITE = f"[{SPACE}]"
+#: Letters that other than ASCII ones equal without regard to case.
+_FOLDS = re.compile("[İıſK]")
 
 
-def _escaped(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}-])", r"\\$1")
+@lru_cache(maxsize=1 << 14)
+def _compiled(term: str) -> tuple[re.Pattern, str, bool, bool, bool] | None:
+    """(expression, a part every match holds, whether a letter or digit begins and ends it, whether it must be capital); None if blank.
 
+    Any white space between words; in numbers at most one separator between digits.
+    """
+    raw = re.sub(rf"^{WHITE}+|{WHITE}+$", "", term)
+    plain = unicodedata.normalize("NFKC", raw)
+    words = [w for w in re.split(f"{WHITE}+", plain) if w]
+    if not words:
+        return None
+    digits, solid = len(re.findall("[0-9]", plain)), len(re.sub(WHITE, "", plain))
+    if digits >= 6 and digits * 10 >= solid * 6:
+        chars = re.sub(rf"[{SPACE}.\-]", "", plain)
+        shape, part = rf"[{SPACE}.\-]?".join(map(re.escape, chars)), ""
+    else:
+        shape, part = f"{WHITE}+".join(map(re.escape, words)), max(words, key=len)
+    strict = unicodedata.category(raw[0]) == "Lu" and not re.search(rf"[{SPACE}0-9@]", raw)
+    return re.compile(shape, re.I), part.lower() if part.isascii() else "", raw[0].isalnum(), raw[-1].isalnum(), strict
 
-def pattern(term: Column) -> Column:
-    """Regular expression of a trimmed and normalised term: any white space between words; in numbers at most one separator."""
-    chars = F.filter(F.split(F.regexp_replace(term, rf"[{SPACE}.\-]", ""), ""), lambda c: c != "")
-    number = F.array_join(F.transform(chars, _escaped), rf"[{SPACE}.\-]?")
-    plain = F.array_join(F.transform(words(term), _escaped), f"[{SPACE}]+")
-    return F.concat(F.lit("(?iu)"), F.when(is_number_like(term), number).otherwise(plain))
 
+def occurrences(text: str, terms: list[tuple[int, str, str]]) -> list[tuple[int, int, int, int, str]]:
+    """(start, minus length, ord, end, label) of every occurrence of the terms (ord, text, label), by start, then longest, then ord.
 
-def term_lists(terms: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys..., terms TERM) of terms(keys..., ord, text, label): the first MAX_TERMS non-blank ones of each key, by ord."""
-    bare = terms.withColumn("text", trimmed("text")).where("text is not null and text <> ''")
-    ready = bare.withColumn("pat", pattern(nfkc(F.col("text"))))
-    listed = F.slice(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), "text", "label", "pat"))), 1, MAX_TERMS)
-    return ready.groupBy(*keys).agg(listed.alias("terms"))
+    Matches of a term are left-most and do not overlap; one refused for its neighbours or its case has still used its text.
+    """
+    out, lower = [], None if _FOLDS.search(text) else text.lower()
+    for order, term, label in terms:
+        ready = _compiled(term)
+        if ready is None or (lower is not None and ready[1] not in lower):
+            continue
+        expression, _, starts, ends, strict = ready
+        for m in expression.finditer(text):
+            s, e = m.span()
+            if s == e or (starts and s and text[s - 1].isalnum()) or (ends and text[e : e + 1].isalnum()):
+                continue
+            if not strict or unicodedata.category(text[s]) == "Lu":
+                out.append((s, s - e, order, e, label))
+    return sorted(out)
+
+
+def islands(hits: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, label): overlapping hits (not touching ones) are one span under the label of the longest."""
+    out: list[list] = []
+    for s, neg, _, e, label in hits:
+        if out and s < out[-1][1]:
+            if neg < out[-1][3]:
+                out[-1][2:] = [label, neg]
+            out[-1][1] = max(e, out[-1][1])
+        else:
+            out.append([s, e, label, neg])
+    return [(s, e, label) for s, e, label, _ in out]
+
+
+def spliced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with every span replaced by its label."""
+    out, at = [], 0
+    for s, e, label in spans:
+        out += [text[at:s], label]
+        at = e
+    return "".join([*out, text[at:]])
 
 
-def _occurrences(text: Column, t: Column) -> Column:
-    """HITS of one term: left-most matches without overlap; one refused for its neighbours or its case has still used its text."""
-    gaps, found = F.split(text, t["pat"], -1), F.regexp_extract_all(text, t["pat"], F.lit(0))
-    pairs = F.zip_with(gaps, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    letter = rf"^{ALNUM}"
-    starts, ends = t["text"].rlike(letter), F.substring(t["text"], -1, 1).rlike(letter)
-    strict = t["text"].rlike(rf"^\p{{Lu}}[^{SPACE}0-9@]*$")
+def _found(text: str, terms: list) -> dict:
+    hits = occurrences(text, terms)
+    return {"hits": [dict(zip(("s", "neg", "ord", "e", "label"), h, strict=True)) for h in hits], "spans": _spans(text, terms, hits)}
 
-    def step(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        inside = (starts & F.substr(text, s, F.lit(1)).rlike(letter) & (s > 0)) | (ends & F.substr(text, e + 1, F.lit(1)).rlike(letter))
-        good = x["m"].isNotNull() & (x["m"] != "") & ~inside & (~strict | x["m"].rlike(r"^\p{Lu}"))
-        hit = F.array(F.struct(s.alias("s"), (s - e).alias("neg"), t["ord"].alias("ord"), e.alias("e"), t["label"].alias("label")))
-        return F.struct(e.alias("at"), F.when(good, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(HITS).alias("out")), step, lambda acc: acc["out"])
+def _spans(text: str, terms: list, hits: list | None = None) -> list[dict]:
+    return [{"s": s, "e": e, "label": label} for s, e, label in islands(occurrences(text, terms) if hits is None else hits)]
 
 
-def hits(text: Column, terms: Column) -> Column:
-    """HITS of all terms, by start, then longest, then order of terms."""
-    found = F.filter(terms, lambda t: F.rlike(text, t["pat"]))
-    return F.coalesce(F.array_sort(F.flatten(F.transform(found, lambda t: _occurrences(text, t)))), F.array().cast(HITS))
+def _masked(text: str, terms: list) -> dict:
+    spans = islands(occurrences(text, terms))
+    return {"text": spliced(text, spans), "removed": len(spans)}
 
 
-def merged(found: Column) -> Column:
-    """SPANS of sorted HITS: overlapping hits (not touching ones) are one span under the label of the longest."""
-    none = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit("").alias("label"), F.lit(0).alias("neg"), F.array().cast(SPANS).alias("out"))
-    shown = lambda a: F.when(a["s"] < 0, a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"), a["label"].alias("label")))))
+def _left(text: str, terms: list) -> list[dict]:
+    """The terms that occur, each tested alone, and whether a label of the list holds them itself."""
+    still = {h[2] for h in occurrences(text, terms)}
+    out = []
+    for order, term, label in terms:
+        if order in still:
+            expression = _compiled(term)[0]
+            out.append({"text": term, "label": label, "reason": "label_collision" if any(expression.search(x) for _, _, x in terms) else "present"})
+    return out
 
-    def step(a, h):
-        on = h["s"] < a["e"]
-        longer = on & (h["neg"] < a["neg"])
-        return F.struct(F.when(on, a["s"]).otherwise(h["s"]).alias("s"), F.when(on, F.greatest(a["e"], h["e"])).otherwise(h["e"]).alias("e"), F.when(on & ~longer, a["label"]).otherwise(h["label"]).alias("label"), F.when(on & ~longer, a["neg"]).otherwise(h["neg"]).alias("neg"), F.when(on, a["out"]).otherwise(shown(a)).alias("out"))
 
-    return F.aggregate(found, none, step, shown)
+def _search(work, kind: str, text: Column, terms: Column | list[tuple[int, str, str]]) -> Column:
+    """work(text, terms) of each row; a null text is an empty one. terms is a column of TERM or one list for all rows."""
+    if isinstance(terms, list):
+
+        def same(texts: pa.Array) -> pa.Array:
+            return pa.array([work(t or "", terms) for t in texts.to_pylist()], _TYPES[kind])
+
+        return F.arrow_udf(same, kind)(text)
+
+    def own(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out, last, ready = [], None, []
+        for t, given in zip(texts.to_pylist(), lists, strict=True):
+            if last is None or not given.equals(last):
+                last, ready = given, [(x["ord"], x["text"], x["label"]) for x in given.as_py() or []]
+            out.append(work(t or "", ready))
+        return pa.array(out, _TYPES[kind])
+
+    return F.arrow_udf(own, kind)(text, terms)
+
+
+_SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("label", pa.string())]))
+_TYPES = {
+    FOUND: pa.struct([("hits", pa.list_(pa.struct([("s", pa.int32()), ("neg", pa.int32()), ("ord", pa.int32()), ("e", pa.int32()), ("label", pa.string())]))), ("spans", _SPAN)]),
+    SPANS: _SPAN,
+    MASKED: pa.struct([("text", pa.string()), ("removed", pa.int32())]),
+    LEFT: pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("reason", pa.string())])),
+}
+
+
+def term_lists(terms: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys..., terms TERM) of terms(keys..., ord, text, label): all non-blank ones of each key by ord, of equal texts and labels the first."""
+    bare = terms.withColumn("text", trimmed("text")).where("text is not null and text <> ''")
+    once = bare.groupBy(*keys, "text", "label").agg(F.min(F.col("ord").cast("int")).alias("ord"))
+    return once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "label"))).alias("terms"))
+
+
+def spans(text: Column, terms: Column) -> Column:
+    """SPANS of all terms (TERM) in the text."""
+    return _search(_spans, SPANS, text, terms)
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its label."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, x["s"] - a["at"]), x["label"]).alias("out"))
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0)))))
+    """The text with every one of its sorted SPANS replaced by its label."""
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.coalesce(F.get(spans, i - 1)["e"], F.lit(0)))
+    pieces = F.transform(spans, lambda x, i: F.concat(F.substr(text, before(i) + 1, x["s"] - before(i)), x["label"]))
+    end = F.coalesce(F.try_element_at(spans, F.lit(-1))["e"], F.lit(0))
+    return F.concat(F.array_join(pieces, ""), F.substr(text, end + 1, F.greatest(F.length(text) - end, F.lit(0))))
 
 
-def matched(units: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    """units with hits HITS and spans SPANS; lists is keyed by doc_id, or has one row for all units without a key."""
+def _listed(units: DataFrame, lists: DataFrame, how: str) -> tuple[DataFrame, Column | list[tuple[int, str, str]]]:
+    """units with what is searched for: the column of the join on doc_id, or the one list for all, which has no doc_id."""
     if "doc_id" in lists.columns:
-        rows = units.join(lists, "doc_id", how)
-    else:
-        rows = units.withColumn("one_", F.lit(1)).join(F.broadcast(lists.withColumn("one_", F.lit(1))), "one_", how).drop("one_")
-    rows = rows.withColumn("hits", hits(F.coalesce("text", F.lit("")), F.coalesce("terms", F.array().cast(TERM))))
-    return rows.withColumn("spans", merged(F.col("hits"))).drop("terms")
+        return units.join(lists, "doc_id", how), F.col("terms")
+    row = lists.first()
+    return units, [(t["ord"], t["text"], t["label"]) for t in (row["terms"] if row else [])]
+
+
+def matched(units: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """units with hits (s, neg, ord, e, label) and SPANS; lists is keyed by doc_id, or has one row for all units without a key."""
+    rows, terms = _listed(units, lists, how)
+    rows = rows.withColumn("found_", _search(_found, FOUND, F.col("text"), terms))
+    return rows.withColumns({"hits": F.col("found_.hits"), "spans": F.col("found_.spans")}).drop("found_", "terms")
+
+
+def redacted(units: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
+    """units with their text masked and ``removed``, the number of spans."""
+    rows, terms = _listed(units, lists, how)
+    rows = rows.withColumn("masked_", _search(_masked, MASKED, F.col("text"), terms))
+    return rows.withColumns({"text": F.col("masked_.text"), "removed": F.col("masked_.removed")}).drop("masked_", "terms")
 
 
 def leftovers(units: DataFrame, lists: DataFrame) -> DataFrame:
     """(doc_id, text, label, reason) of terms that still occur in some unit, each tested alone.
 
-    The reason is label_collision where the term is only found inside a label of the list.
+    The reason is label_collision where a label of the list holds the term.
     """
-    rows = matched(units, lists)
-    found = rows.select("doc_id", F.explode("hits").alias("h")).groupBy("doc_id", F.col("h.ord").alias("ord")).agg(F.count("*").alias("n"))
-    keyed = lists if "doc_id" in lists.columns else None
-    named = (keyed or lists).select(*(["doc_id"] if keyed is not None else []), F.explode("terms").alias("t"), F.col("terms.label").alias("labels")).select(*(["doc_id"] if keyed is not None else []), "t.ord", "t.text", "t.label", "t.pat", "labels")
-    out = found.join(named, ["doc_id", "ord"] if keyed is not None else "ord")
-    within = F.exists("labels", lambda label: F.rlike(label, F.col("pat")))
-    return out.select("doc_id", "text", "label", F.when(within, "label_collision").otherwise("present").alias("reason"))
+    rows, terms = _listed(units, lists, "inner")
+    return rows.select("doc_id", F.explode(_search(_left, LEFT, F.col("text"), terms)).alias("x")).select("doc_id", "x.*").distinct()

@@ -11,7 +11,7 @@ from ..functions.patterns import pattern_hits
 from ..operators.chunk import chunks
 from ..operators.findings import findings, verified
 from ..operators.grouping import grouped, with_name_parts
-from ..operators.match import masked, matched, term_lists
+from ..operators.match import matched, redacted, term_lists
 from ..operators.terms import worth_looking_for
 
 
@@ -53,7 +53,7 @@ def detect(units: DataFrame, detector: Callable[[DataFrame], DataFrame] | None =
         model = fit(detector(parts))
         groups = grouped(candidates(model, patterns))
         if recall:
-            hidden = matched(parts, term_lists(group_terms(groups)), "left").select("doc_id", "chunk_id", masked(F.col("text"), F.col("spans")).alias("text"))
+            hidden = redacted(parts, term_lists(group_terms(groups))).select("doc_id", "chunk_id", "text")
             groups = grouped(candidates(model, patterns, fit(detector(hidden))))
     groups = with_name_parts(groups, units)
     return findings(groups, matched(units, term_lists(group_terms(groups))))

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
-from ..operators.match import hits, leftovers, masked, matched, merged, term_lists
+from ..operators.match import leftovers, masked, redacted, spans, term_lists
 
 
 def masked_units(units: DataFrame, lists: DataFrame) -> DataFrame:
     """(doc_id, unit_id, text, removed) of units(doc_id, unit_id, text)."""
-    rows = matched(units, lists, "left")
-    return rows.select("doc_id", "unit_id", masked(F.coalesce("text", F.lit("")), F.col("spans")).alias("text"), F.size("spans").alias("removed"))
+    return redacted(units, lists).select("doc_id", "unit_id", "text", "removed")
 
 
 def redact(units: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,6 +29,6 @@ def redact(units: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
 def output_name(file_name: Column, terms: Column, ext: Column) -> Column:
     """The name without what the terms name: labels without brackets, other signs spaces, and a suffix."""
     base = base_name(file_name)
-    spans = F.transform(merged(hits(base, terms)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.regexp_replace(x["label"], r"[\[\]]", "").alias("label")))
-    name = F.trim(F.regexp_replace(F.regexp_replace(masked(base, spans), r"[^\p{L}\p{N} ._()-]+", " "), r"\s+", " "))
+    found = F.transform(spans(base, terms), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.regexp_replace(x["label"], r"[\[\]]", "").alias("label")))
+    name = F.trim(F.regexp_replace(F.regexp_replace(masked(base, found), r"[^\p{L}\p{N} ._()-]+", " "), r"\s+", " "))
     return F.concat(F.when(name == "", "document").otherwise(name), F.lit(" - anonymised."), ext)

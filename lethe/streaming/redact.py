@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..functions.patterns import pattern_hits
-from ..operators.match import masked, matched
+from ..operators.match import redacted
 
 
 def hits_stream(units: DataFrame) -> DataFrame:
@@ -16,5 +14,4 @@ def hits_stream(units: DataFrame) -> DataFrame:
 
 def masked_stream(units: DataFrame, lists: DataFrame) -> DataFrame:
     """(doc_id, unit_id, text, removed) of a stream of units, by static term lists."""
-    rows = matched(units, lists, "left")
-    return rows.select("doc_id", "unit_id", masked(F.coalesce("text", F.lit("")), F.col("spans")).alias("text"), F.size("spans").alias("removed"))
+    return redacted(units, lists).select("doc_id", "unit_id", "text", "removed")
