@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+from pyspark.sql import functions as F
+
 from lethe.sources import docx, events
 from lethe.streaming.admission import daily_budget_stream, hourly_counts
 from lethe.streaming.redact import hits_stream
@@ -43,6 +45,29 @@ def test_redaction(spark):
     assert texts == ["Mrs [Client 1]\t", "[Client 1]\n, again", "Photo of [Client 1]", "Plan for [Client 1]"]
 
 
+def test_a_rewritten_part_keeps_its_declarations(spark):
+    head = f'<w:document {W} xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="urn:w14" xmlns:w15="urn:w15" mc:Ignorable="w14 w15">'
+    doc = head + '<w:body xmlns:own="urn:own"><w:p w14:paraId="1"><w:r><w:t>Ann &amp; Bob</w:t></w:r></w:p><x:p xmlns:x="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><x:r><x:t>Ann</x:t></x:r></x:p></w:body></w:document>'
+    rows = spark.createDataFrame([(1, _file(**{"word/document.xml": doc}))], "doc_id long, content binary")
+    terms = spark.createDataFrame([(1, 0, "Ann", "[P 1]")], "doc_id long, ord int, text string, label string")
+    r = docx.docx_redacted(rows, terms).first()
+    with zipfile.ZipFile(io.BytesIO(r["content"])) as z:
+        new = z.read("word/document.xml").decode()
+    want = doc.replace("<w:t>Ann", '<w:t xml:space="preserve">[P 1]').replace("<x:t>Ann", '<x:t xml:space="preserve">[P 1]')
+    assert new.partition("?>\n")[2] == want and r["removed"] == 2
+
+
+def test_damaged_parts_are_reported(spark):
+    cut = bytearray(_file())
+    cut[60:70] = b"0123456789"
+    rows = spark.createDataFrame([(1, _file(**{"word/document.xml": "<w:p"})), (2, _file(**{"docProps/core.xml": "<a><b></a>"})), (3, _file(**{"word/_rels/document.xml.rels": ""})), (4, cut), (5, _file())], "doc_id long, content binary")
+    terms = spark.createDataFrame([(i, 0, "Margaret Jo", "[Client 1]") for i in range(6)], "doc_id long, ord int, text string, label string")
+    got = {r["doc_id"]: (r["error"], r["content"] is None) for r in docx.docx_redacted(rows, terms).collect()}
+    assert [got[i] for i in (1, 2, 3, 5)] == [("damaged", True)] * 3 + [(None, False)] and got[4][1]
+    units = docx.docx_units(rows.withColumn("size", F.length("content")), ("size",)).where("error is not null").collect()
+    assert {r["doc_id"] for r in units} >= {1, 2} and all(r["size"] > 0 for r in units)
+
+
 def test_a_label_word_is_refused(spark):
     rows = spark.createDataFrame([(1, _file())], "doc_id long, content binary")
     terms = spark.createDataFrame([(1, 0, "Margaret", "[Margaret 1]")], "doc_id long, ord int, text string, label string")
