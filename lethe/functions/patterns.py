@@ -14,15 +14,14 @@ from .text import nhs_valid
 _S = f"[{SPACE}]"
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
-# Fixed shapes: type, name, expression, group that is the hit. The order is that of the hits.
-_AREA = "[A-PR-UWYZ]"
-_INNER = "[A-HK-Y]"
+# Fixed shapes: type, name, expression, group that is the hit. The order is that of the hits. The e-mail expression starts
+# where a run of its characters does or where the last hit ended, which finds the same hits without trying every place of a run.
 DETECTORS = (
     ("ID", "ten_digits", rf"(?<![0-9])[0-9]{{3}}(?:{_S}|-)?[0-9]{{3}}(?:{_S}|-)?[0-9]{{4}}(?![0-9])", 0),
     ("PHONE", "phone", rf"(?<![A-Za-z0-9_])(?:(?:\+44{_S}?(?:\(0\){_S}?)?[0-9]|0[0-9])(?:(?:{_S}|-)?[0-9]){{8,9}}|\(0[0-9]{{2,4}}\){_S}?[0-9]{{3,4}}(?:{_S}|-)?[0-9]{{3,4}})(?![0-9])", 0),
-    ("EMAIL", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0),
+    ("EMAIL", "email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0),
     ("ID", "ni_number", rf"(?i){_B}[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]{_S}?[0-9]{{2}}{_S}?[0-9]{{2}}{_S}?[0-9]{{2}}{_S}?[A-D]{_E}", 0),
-    ("ADDRESS", "postcode", rf"(?i){_B}{_AREA}(?:[0-9]{{1,2}}|{_INNER}[0-9]{{1,2}}|[0-9][A-HJKPSTUW]|{_INNER}[0-9][ABEHMNPRV-Y]){_S}?[0-9][ABD-HJLNP-UW-Z]{{2}}{_E}", 0),
+    ("ADDRESS", "postcode", rf"(?i){_B}[A-PR-UWYZ](?:[0-9]{{1,2}}|[A-HK-Y][0-9]{{1,2}}|[0-9][A-HJKPSTUW]|[A-HK-Y][0-9][ABEHMNPRV-Y]){_S}?[0-9][ABD-HJLNP-UW-Z]{{2}}{_E}", 0),
     ("ID", "sort_code", r"(?<![0-9-])[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])", 0),
     ("DATE_OF_BIRTH", "dob", rf"(?i)(?:{_B}D\.?{_S}?O\.?{_S}?B\.?|{_B}date of birth|{_B}born(?:{_S}+on)?){_S}*[:\-\u2013]?{_S}*([0-9]{{1,2}}[/.\- ][0-9]{{1,2}}[/.\- ][0-9]{{2,4}}|[0-9]{{1,2}}(?:st|nd|rd|th)?{_S}+[A-Z][a-z]+\.?,?{_S}+[0-9]{{4}})", 1),
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,26 +18,27 @@ def rate_limited(requests: DataFrame, per_hour: int = PER_HOUR, per_day: int = P
     return requests.withColumn("admitted", (n("hour") <= per_hour) & (n("day") <= per_day))
 
 
-def _day_fold(pages):
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(a, p):
-        fits = a["used"] + p["pages"] <= F.col("budget_")
-        return F.struct((a["used"] + F.when(fits, p["pages"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(a["ok"], F.array(fits)).alias("ok"))
-
-    return F.aggregate(pages, start, step, lambda a: a["ok"])
-
-
 def daily_budget(requests: DataFrame, budget: int = DAY_PAGES) -> DataFrame:
     """(req_id, day, pages, admitted) of requests(req_id, ts, pages) in order of time, then req_id.
 
-    Greedy by UTC day: what does not fit is refused and uses nothing, so that a smaller request may still follow. A day is
-    one ordered list. Only the first ``budget`` admissible requests of at least a page matter, and requests larger than
-    the budget are refused beforehand, which bounds the list that can be admitted, not the one that is looked at.
+    Greedy by UTC day: what does not fit is refused and uses nothing, so that a smaller request may still follow. Null pages
+    are refused. Requests that cannot fit are decided where they are; the others are sorted by day and time and read in one pass
+    that holds nothing but the pages used, so a day is one ordered stream but never a list.
     """
-    rows = requests.select("req_id", F.to_date("ts").alias("day"), "ts", F.col("pages").cast("long").alias("pages")).withColumn("budget_", F.lit(budget).cast("long"))
-    small = rows.where("pages <= budget_")
-    listed = small.groupBy("day", "budget_").agg(F.array_sort(F.collect_list(F.struct("ts", "req_id", "pages"))).alias("p"))
-    out = listed.withColumn("ok", _day_fold(F.col("p"))).select("day", F.explode(F.arrays_zip("p", "ok")).alias("x"))
-    out = out.select(F.col("x.p.req_id").alias("req_id"), "day", F.col("x.p.pages").alias("pages"), F.col("x.ok").alias("admitted"))
-    return out.unionByName(rows.where("pages > budget_").select("req_id", "day", "pages", F.lit(False).alias("admitted")))
+    rows = requests.select("req_id", F.to_date("ts").alias("day"), "ts", F.col("pages").cast("long").alias("pages"))
+
+    def run(batches):
+        last, used = None, 0
+        for batch in batches:
+            days, ok = batch.column(1).to_pylist(), []
+            for day, pages in zip(days, batch.column(2).to_pylist(), strict=True):
+                if day != last:
+                    last, used = day, 0
+                ok.append(used + pages <= budget)
+                used += pages if ok[-1] else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], ["req_id", "day", "pages", "admitted"])
+
+    req = rows.schema["req_id"].dataType.simpleString()
+    small = rows.where(F.col("pages") <= budget).repartition("day").sortWithinPartitions("day", "ts", "req_id").select("req_id", "day", "pages")
+    out = small.mapInArrow(run, f"req_id {req}, day date, pages long, admitted boolean")
+    return out.unionByName(rows.where(F.coalesce(F.col("pages") > budget, F.lit(True))).select("req_id", "day", "pages", F.lit(False).alias("admitted")))

@@ -10,15 +10,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FAMILY_WORDS, NOT_NAMES, PARTICLES, TITLES
 from .findings import numbered, occurring
-from .match import masked, matched, term_lists
-
-GROUPS = "doc_id long, group_ord int, type string, texts array<string>"
+from .match import redacted, term_lists
 
 
 def _norm(s: str) -> str:
@@ -77,12 +75,15 @@ def group_document(rows: list[tuple[str, str, str]]) -> list[tuple[str, list[str
 def grouped(candidates: DataFrame) -> DataFrame:
     """GROUPS with label of candidates(doc_id, ord, type, text, refers_to); empty groups go and leave their order number."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        out = group_document(list(zip(pdf["type"], pdf["text"], pdf["refers_to"], strict=True)))
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], i, kind, texts) for i, (kind, texts) in enumerate(out) if texts], columns=["doc_id", "group_ord", "type", "texts"])
+    shape = pa.list_(pa.struct([("group_ord", pa.int32()), ("type", pa.string()), ("texts", pa.list_(pa.string()))]))
+
+    def run(lists: pa.Array) -> pa.Array:
+        each = ([(x["type"], x["text"], x["refers_to"]) for x in rows] for rows in lists.to_pylist())
+        return pa.array([[{"group_ord": i, "type": kind, "texts": texts} for i, (kind, texts) in enumerate(group_document(rows)) if texts] for rows in each], shape)
 
-    return numbered(candidates.select("doc_id", "ord", "type", "text", "refers_to").groupBy("doc_id").applyInPandas(run, GROUPS))
+    listed = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "text", "refers_to"))).alias("c"))
+    groups = listed.select("doc_id", F.explode(F.arrow_udf(run, "array<struct<group_ord:int,type:string,texts:array<string>>>")("c")).alias("g"))
+    return numbered(groups.select("doc_id", "g.*"))
 
 
 def canonical_groups(candidates: DataFrame, key) -> DataFrame:
@@ -104,7 +105,7 @@ def with_name_parts(groups: DataFrame, units: DataFrame) -> DataFrame:
     """groups whose people also own the single words of their names that are still readable once all texts are masked."""
     terms = groups.select("doc_id", "group_ord", "label", F.posexplode("texts").alias("i", "text"))
     terms = terms.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("group_ord", "i")))
-    hidden = matched(units, term_lists(terms), "left").select("doc_id", "unit_id", masked(F.col("text"), F.col("spans")).alias("text"))
+    hidden = redacted(units, term_lists(terms)).select("doc_id", "unit_id", "text")
     part = F.explode(F.flatten(F.transform("texts", lambda t: F.split(t, r"[\s,]+"))))
     parts = groups.where("type = 'PERSON'").select("doc_id", "group_ord", part.alias("part")).withColumn("part", F.regexp_replace("part", r"^[^\p{L}]+|[^\p{L}]+$", ""))
     parts = parts.where((F.length("part") >= 3) & F.col("part").rlike(r"^\p{Lu}") & ~F.lower("part").isin(*TITLES, *NOT_NAMES)).distinct()

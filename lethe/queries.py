@@ -284,8 +284,9 @@ _NAME_TERMS = [("BUILDING", "[Place 1]"), ("plan", "[Detail 1]")]
 FROM (SELECT c_custkey, regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '\.[A-Za-z0-9]{{1,5}}$', '') AS b FROM ({_sql(_NAMES, 'customer')}))""",
 )
 def _(spark, sf):
-    rows = _derived(spark, sf, _NAMES, "customer").withColumn("one_", F.lit(1)).join(F.broadcast(_term_list(spark, _NAME_TERMS).withColumn("one_", F.lit(1))), "one_")
-    return rows.select("c_custkey", output_name(F.col("file_name"), F.col("terms"), F.lit("pdf")).alias("name"))
+    rows = _derived(spark, sf, _NAMES, "customer")
+    terms = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(t).alias("text"), F.lit(label).alias("label")) for i, (t, label) in enumerate(_NAME_TERMS)))
+    return rows.select("c_custkey", output_name(F.col("file_name"), terms, F.lit("pdf")).alias("name"))
 
 
 @_query("file_name_units", rf"SELECT c_custkey AS doc_id, regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '\.[A-Za-z0-9]{{1,5}}$', '') AS text FROM ({_sql(_NAMES, 'customer')})")
@@ -564,7 +565,7 @@ def _(spark, sf):
     made = _word_files(spark, sf)
     names = made.select("doc_id", F.lit(0).alias("ord"), F.col("name").alias("text"), F.lit("[Person 1]").alias("label"))
     out = docx.docx_redacted(made.select("doc_id", "content"), names)
-    return out.join(docx.docx_units(out), "doc_id").select("doc_id", "removed", "text")
+    return docx.docx_units(out, ("removed",)).select("doc_id", "removed", "text")
 
 
 @_query(
@@ -602,8 +603,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     units = _units(spark, sf)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_id", "ord"))
     hit = pattern_hits(units).withColumn("ord", order).withColumn("label", F.concat(F.lit("["), label_name(F.col("type")), F.lit("]")))
-    masked = match.matched(units, match.term_lists(hit))
-    return masked.select("doc_id", F.size("spans").alias("removed"), match.masked(F.col("text"), F.col("spans")).alias("text"))
+    return match.redacted(units, match.term_lists(hit), "inner").select("doc_id", "removed", "text")
 
 
 QUERIES["flagship"] = flagship
