@@ -35,3 +35,6 @@ SPACE = r"\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u300
 MAX_TERMS, MAX_TERM, MAX_CHUNK = 500, 200, 12_000
 MAX_FILE, MAX_PAGES, MAX_ENTRIES, MAX_UNPACKED = 20 * 1024 * 1024, 50, 3000, 100 * 1024 * 1024
 REDACTED = "[Redacted]"
+
+# Requests of a connection an hour and a day, and all pages a day.
+PER_HOUR, PER_DAY, DAY_PAGES = 15, 40, 3000

@@ -1,4 +1,7 @@
-"""Limits that can be set on the session as spark.lethe.*; each is a whole number of at least 0."""
+"""Limits that can be set on the session as spark.lethe.*; each is a whole number of at least 0.
+
+Operators take them from the session of their table unless they are passed one.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +9,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
 
-from ..functions.fixed import MAX_CHUNK, MAX_FILE, MAX_PAGES, MAX_TERM, MAX_TERMS
-from ..operators.admission import DAY_PAGES, PER_DAY, PER_HOUR
+from .fixed import DAY_PAGES, MAX_CHUNK, MAX_FILE, MAX_PAGES, MAX_TERM, MAX_TERMS, PER_DAY, PER_HOUR
 
 
 @dataclass(frozen=True)

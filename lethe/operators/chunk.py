@@ -2,50 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from ..functions.fixed import MAX_CHUNK
-from ..functions.text import is_blank
-
-_STATE = "struct<cur:string,out:array<string>>"
-
-
-def _cut(c: Column, limit: int) -> Column:
-    """Slices of at most limit characters."""
-    return F.transform(F.sequence(F.lit(0), F.expr("0") + F.floor((F.length(c) - 1) / limit).cast("int")), lambda i: F.substr(c, i * limit + 1, F.lit(limit)))
-
-
-def pieces(text: Column, limit: int = MAX_CHUNK) -> Column:
-    """array<string>: the text itself, or if longer its lines gathered up to the limit, longer lines cut; blank pieces dropped."""
-    start = F.from_json(F.lit('{"cur":"","out":[]}'), _STATE)
-    flush = lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"])))
-
-    def step(a, line):
-        over = F.length(a["cur"]) + F.length(line) + 1 > limit
-        joined = F.when(a["cur"] == "", line).otherwise(F.concat(a["cur"], F.lit("\n"), line))
-        long = F.length(line) > limit
-        out = F.when(long, F.concat(flush(a), _cut(line, limit))).when(over, flush(a)).otherwise(a["out"])
-        return F.struct(F.when(long, F.lit("")).when(over, line).otherwise(joined).alias("cur"), out.alias("out"))
-
-    many = F.aggregate(F.split(text, "\n"), start, step, flush)
-    return F.filter(F.when(F.length(text) <= limit, F.array(text)).otherwise(many), lambda p: ~is_blank(p))
-
-
-def packed(parts: Column, limit: int = MAX_CHUNK) -> Column:
-    """array<string>: pieces joined by an empty line while they fit."""
-    start = F.from_json(F.lit('{"cur":"","out":[]}'), _STATE)
-
-    def step(a, p):
-        fits = (a["cur"] != "") & (F.length(a["cur"]) + F.length(p) + 2 <= limit)
-        out = F.when(fits | (a["cur"] == ""), a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"])))
-        return F.struct(F.when(fits, F.concat(a["cur"], F.lit("\n\n"), p)).otherwise(p).alias("cur"), out.alias("out"))
-
-    return F.aggregate(parts, start, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
+import re
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def chunks(units: DataFrame, limit: int = MAX_CHUNK) -> DataFrame:
-    """(doc_id, chunk_id, text) of units(doc_id, unit_id, text) in order of unit_id."""
-    rows = units.select("doc_id", "unit_id", pieces(F.coalesce("text", F.lit("")), limit).alias("p"))
-    whole = rows.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "p"))), lambda x: x["p"])).alias("p"))
-    return whole.select("doc_id", F.posexplode(packed(F.col("p"), limit)).alias("chunk_id", "text"))
+from ..functions.fixed import SPACE
+from ..functions.limits import Limits
+
+
+def pieces(text: str, limit: int) -> list[str]:
+    """The text itself, or if longer its lines gathered up to the limit, longer lines cut; blank pieces dropped."""
+    out, held, size = [], [], 0
+    if len(text) <= limit:
+        out.append(text)
+    else:
+        for line in text.split("\n"):
+            if held and (len(line) > limit or size + 1 + len(line) > limit):
+                out.append("\n".join(held))
+                held, size = [], 0
+            if len(line) > limit:
+                out += [line[i : i + limit] for i in range(0, len(line), limit)]
+            elif held or line:  # an empty line begins no piece
+                size += len(line) + bool(held)
+                held.append(line)
+        out += ["\n".join(held)] if held else []
+    return [p for p in out if re.search(f"[^{SPACE}]", p)]
+
+
+def chunks(units: DataFrame, limit: int | None = None) -> DataFrame:
+    """(doc_id, chunk_id, text) of units(doc_id, unit_id, text) in order of unit_id: pieces joined by an empty line while they fit.
+
+    The units are sorted by document and place and read in one pass that holds no more than a chunk, so a document may be of any length.
+    """
+    limit = Limits.of(units.sparkSession).max_chunk if limit is None else limit
+    rows = units.select("doc_id", "unit_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        none = object()
+        doc, number, held, size = none, 0, [], 0
+        for batch in batches:
+            out = []
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != doc or doc is none:
+                    out += [(doc, number, "\n\n".join(held))] if held else []
+                    doc, number, held, size = own, 0, [], 0
+                for piece in pieces(text, limit):
+                    if held and size + len(piece) + 2 > limit:
+                        out.append((doc, number, "\n\n".join(held)))
+                        number, held, size = number + 1, [], 0
+                    size += len(piece) + 2 * bool(held)
+                    held.append(piece)
+            ids = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((ids, pa.int32(), pa.string()))], ["doc_id", "chunk_id", "text"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((doc, number, "\n\n".join(held)), (ids, pa.int32(), pa.string()), strict=True)], ["doc_id", "chunk_id", "text"])
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "unit_id").mapInArrow(run, f"doc_id {kind}, chunk_id int, text string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import MAX_TERM, MAX_TERMS, REDACTED, TYPES
+from ..functions.fixed import REDACTED, TYPES
+from ..functions.limits import Limits
 from ..functions.text import is_label, is_searchable, is_recent_date, trimmed
 
 
@@ -16,16 +17,17 @@ def _string(field: str) -> Column:
 
 
 def approved_terms(lists: DataFrame, raw: str = "terms_json") -> DataFrame:
-    """(doc_id, ord, text, label) of lists(doc_id, raw): the first MAX_TERMS items, then those valid, then the first of equals.
+    """(doc_id, ord, text, label) of lists(doc_id, raw): the first max_terms items, then those valid, then the first of equals.
 
-    A text is valid if it is not blank and has at most MAX_TERM characters; an invalid label becomes REDACTED. What is not
+    A text is valid if it is not blank and has at most max_term characters; an invalid label becomes REDACTED. What is not
     a JSON list gives no rows.
     """
+    limits = Limits.of(lists.sparkSession)
     items = F.from_json(raw, "array<string>")
-    rows = lists.select("doc_id", F.posexplode(F.slice(items, 1, MAX_TERMS)).alias("ord", "item"))
+    rows = lists.select("doc_id", F.posexplode(F.slice(items, 1, limits.max_terms)).alias("ord", "item"))
     rows = rows.select("doc_id", "ord", F.try_parse_json("item").alias("v"))
     rows = rows.select("doc_id", "ord", trimmed(_string("text")).alias("text"), _string("label").alias("label"))
-    rows = rows.where((F.length("text") > 0) & (F.length("text") <= MAX_TERM))
+    rows = rows.where((F.length("text") > 0) & (F.length("text") <= limits.max_term))
     first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("ord"))
     return rows.withColumn("n", first).where("n = 1").select("doc_id", "ord", "text", F.when(is_label(F.col("label")), F.col("label")).otherwise(REDACTED).alias("label"))
 
@@ -50,10 +52,10 @@ def worth_looking_for(kind: Column, text: Column, as_of_year: int) -> Column:
 def selected_terms(findings: DataFrame, ticked: DataFrame, manual: DataFrame) -> DataFrame:
     """(doc_id, ord, text, label): texts of the findings whose label is ticked, then the manual terms.
 
-    findings(doc_id, label, texts), ticked(doc_id, label), manual(doc_id, ord, text) of 2 to MAX_TERM characters.
+    findings(doc_id, label, texts), ticked(doc_id, label), manual(doc_id, ord, text) of 2 to max_term characters.
     """
     own = findings.join(ticked, ["doc_id", "label"], "left_semi").select("doc_id", "label", F.posexplode("texts").alias("i", "text"))
     own = own.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("label", "i")) - 1).select("doc_id", "ord", "text", "label")
-    added = manual.withColumn("text", trimmed(F.col("text"))).where(F.length("text").between(2, MAX_TERM))
+    added = manual.withColumn("text", trimmed(F.col("text"))).where(F.length("text").between(2, Limits.of(findings.sparkSession).max_term))
     added = added.join(own, ["doc_id", "text"], "left_anti").select("doc_id", (F.col("ord") + 1_000_000).alias("ord"), "text", F.lit(REDACTED).alias("label"))
     return own.unionByName(added)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import MAX_PAGES
+from ..functions.limits import Limits
 from ..functions.text import is_blank, needs_ocr
 from ..sources import files
 from ..sources.docx import docx_units
@@ -15,15 +15,18 @@ def extract(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units, refused) of inputs(doc_id, file_name, content).
 
     units(doc_id, unit_id, page, text) holds Word files, what registered readers give for other kinds, and last each
-    file's name, without a page. refused(doc_id, error) holds what cannot be read, has too many pages or no text at all.
+    file's name, without a page. refused(doc_id, error) holds what cannot be read, is too large, has too many pages or no text at all.
     """
-    rows = inputs.withColumn("x", files.sniffed(F.col("content"))).select("doc_id", "file_name", "content", "x.kind", "x.error")
+    limits = Limits.of(inputs.sparkSession)
+    large = F.length("content") > limits.max_file
+    refused_large = inputs.where(large).select("doc_id", F.lit("too_large").alias("error"))
+    rows = inputs.where(~F.coalesce(large, F.lit(False))).withColumn("x", files.sniffed(F.col("content"))).select("doc_id", "file_name", "content", "x.kind", "x.error")
     word = docx_units(rows.where("kind = 'docx'").select("doc_id", "content"))
     units = word.where("error is null").select("doc_id", "unit_id", F.lit(None).cast("int").alias("page"), "text")
-    refused = rows.where("error is not null").select("doc_id", "error").unionByName(word.where("error is not null").select("doc_id", "error"))
+    refused = rows.where("error is not null").select("doc_id", "error").unionByName(word.where("error is not null").select("doc_id", "error")).unionByName(refused_large)
     for kind, reader in files.READERS.items():
         pages = rows.where(F.col("kind") == kind).select("doc_id", reader(F.col("content")).alias("p"))
-        fits = F.size("p") <= MAX_PAGES
+        fits = F.size("p") <= limits.max_pages
         units = units.unionByName(pages.where(fits).select("doc_id", F.posexplode("p").alias("unit_id", "q")).select("doc_id", "unit_id", "q.page", "q.text"))
         refused = refused.unionByName(pages.where(~fits).select("doc_id", F.lit("too_many_pages").alias("error")))
     unread = rows.where(F.col("kind").isin("pdf", "image") & ~F.col("kind").isin(list(files.READERS)))

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.fixed import GENERIC, TITLES
+from .functions.fixed import GENERIC, NOT_NAMES, TITLES, TYPES
 from .functions.patterns import hits as shape_hits
 from .functions.patterns import pattern_hits
-from .functions.text import canonical, folded, label_name, needs_ocr, nhs_valid, url_decoded
+from .functions.text import canonical, folded, is_name_shaped, is_recent_date, is_searchable, label_name, needs_ocr, nhs_valid, normalised, url_decoded
 from .operators import admission, evaluate, findings, grouping, match, rects, segments, terms
 from .operators.chunk import chunks
 from .plans.detect import detect, group_terms, pattern_candidates
@@ -95,9 +95,10 @@ def _two(by: int, plus: int = 0) -> str:
 _NI = f"concat('Client ', c_name, ' NI ', {_letter('ABCEGDJKQM', 10)}, {_letter('ABDPOST', 7)}, ' ', {_two(97)}, {_two(89)}, ' ', {_two(83)}, {_letter('ABCDEF', 6)}, ' end')"
 _POST = f"concat('at ', {_letter('CSQAZBV', 7)}, {_letter('FWAIM', 5)}, cast(c_custkey % 100 AS string), ' ', cast(c_custkey % 10 AS string), {_letter('ABCDL', 5)}, {_letter('ABMXv', 5)}, ', town')"
 _DOB = f"concat('x ', CASE c_custkey % 4 WHEN 0 THEN 'DOB: ' WHEN 1 THEN 'born on ' WHEN 2 THEN 'review on ' ELSE 'Date of birth ' END, {_two(28, 1)}, '/', {_two(12, 1)}, '/', cast(1930 + c_custkey % 70 AS string), ' y')"
-_PHONE = "concat(CASE c_custkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '+44 ' ELSE '1' END, lpad(cast(7000000000 + c_custkey * 7919 AS string), 10, '0'))"
-_SORT = f"concat({_two(91)}, '-', {_two(87)}, CASE c_custkey % 2 WHEN 0 THEN '-' ELSE '/' END, {_two(79)})"
-_TEN = "concat('no ', cast(c_custkey * 7919 + 4000000007 AS string), ' end')"
+_PHONE = "concat(CASE c_custkey % 5 WHEN 0 THEN 'ring ' WHEN 1 THEN 'x' WHEN 2 THEN '(' ELSE 'tel. ' END, CASE c_custkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '+44 ' ELSE '1' END, lpad(cast(7000000000 + c_custkey * 7919 AS string), 10, '0'), CASE c_custkey % 7 WHEN 0 THEN '5' WHEN 1 THEN ', or 0117 496 0123 today' ELSE ' now' END)"
+_SORT = f"concat(CASE c_custkey % 3 WHEN 0 THEN 'code ' WHEN 1 THEN '7' ELSE '' END, {_two(91)}, '-', {_two(87)}, CASE c_custkey % 2 WHEN 0 THEN '-' ELSE '/' END, {_two(79)}, CASE c_custkey % 11 WHEN 0 THEN '-1' WHEN 1 THEN '8' ELSE ' and 11-22-33' END)"
+_TEN_N = "cast(c_custkey * 7919 + 4000000007 AS string)"
+_TEN = f"concat('no ', CASE c_custkey % 6 WHEN 0 THEN '1' ELSE '' END, substr({_TEN_N}, 1, 3), CASE c_custkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '' END, substr({_TEN_N}, 4, 3), CASE c_custkey % 4 WHEN 0 THEN '-' ELSE '' END, substr({_TEN_N}, 7, 4), CASE c_custkey % 9 WHEN 0 THEN '4' ELSE '' END, ' end')"
 _ALL = f"SELECT c_custkey AS doc_id, 0 AS unit_id, concat({_NI}, '; ', {_POST}, '; ', {_DOB}, '; mail ', lower(c_mktsegment), cast(c_custkey AS string), '@example.org') AS text FROM {{customer}}"
 
 
@@ -121,10 +122,10 @@ def _shape(name: str, detector: str, expression: str, oracle: str) -> None:
 _shape("ni_hits", "ni_number", _NI, "SELECT c_custkey, unnest(regexp_extract_all(s, '" + _NI_RE.replace("{", "{{").replace("}", "}}") + "')) AS hit FROM {rows}")
 _shape("postcode_hits", "postcode", _POST, "SELECT * FROM (SELECT c_custkey, unnest(regexp_extract_all(s, '" + _POST_RE.replace("{", "{{").replace("}", "}}") + "')) AS hit FROM {rows}) WHERE hit = upper(hit)")
 _shape("dob_hits", "dob", _DOB, "SELECT c_custkey, unnest(regexp_extract_all(s, '" + _DOB_RE.replace("{", "{{").replace("}", "}}") + "', 1)) AS hit FROM {rows}")
-_shape("phone_hits", "phone", _PHONE, "SELECT c_custkey, s AS hit FROM {rows} WHERE regexp_full_match(s, '(?:[+]44 ?[0-9]|0[0-9])(?:[ -]?[0-9]){{8,9}}')")
-_shape("sort_code_hits", "sort_code", _SORT, "SELECT c_custkey, s AS hit FROM {rows} WHERE regexp_full_match(s, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}')")
+_shape("phone_hits", "phone", _PHONE, r"SELECT c_custkey, unnest(regexp_extract_all(s, '(?:^|[^A-Za-z0-9_])((?:[+]44\s?(?:[(]0[)]\s?)?[0-9]|0[0-9])(?:[\s-]?[0-9]){{8,9}}|[(]0[0-9]{{2,4}}[)]\s?[0-9]{{3,4}}[\s-]?[0-9]{{3,4}})(?:[^0-9]|$)', 1)) AS hit FROM {rows}")
+_shape("sort_code_hits", "sort_code", _SORT, "SELECT c_custkey, unnest(regexp_extract_all(s, '(?:^|[^0-9-])([0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})(?:[^0-9-]|$)', 1)) AS hit FROM {rows}")
 _TEN_DIGIT = _DIGIT.replace("number", "n")
-_shape("ten_digit_hits", "ten_digits", _TEN, f"SELECT c_custkey, n AS hit FROM (SELECT c_custkey, substr(s, 4, 10) AS n FROM {{rows}}) WHERE (11 - ({_TEN_DIGIT}) % 11) % 11 = cast(substr(n, 10, 1) AS int) AND (11 - ({_TEN_DIGIT}) % 11) <> 10")
+_shape("ten_digit_hits", "ten_digits", _TEN, rf"SELECT c_custkey, hit FROM (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS n FROM (SELECT c_custkey, unnest(regexp_extract_all(s, '(?:^|[^0-9])([0-9]{{{{3}}}}[\s-]?[0-9]{{{{3}}}}[\s-]?[0-9]{{{{4}}}})(?:[^0-9]|$)', 1)) AS hit FROM {{rows}})) WHERE substr(n, 1, 1) <> '0' AND (11 - ({_TEN_DIGIT}) % 11) % 11 = cast(substr(n, 10, 1) AS int) AND (11 - ({_TEN_DIGIT}) % 11) <> 10")
 
 
 @_query(
@@ -249,10 +250,17 @@ def _(spark, sf):
     return match.leftovers(_units(spark, sf), _term_list(spark)).select("doc_id", "text", "label")
 
 
-@_query("leftovers_after_mask", "SELECT doc_id, text, '' AS label FROM documents WHERE false")
+_COLLIDING = [("Street", "[Street 1]"), *TERMS[1:3], ("ing", "[ing]")]
+
+
+@_query(
+    "leftovers_after_mask",
+    _hits_sql([(t, label) for t, label in _COLLIDING])
+    + """ SELECT DISTINCT doc_id, term AS text, label, 'label_collision' AS reason FROM h WHERE term IN ('Street', 'ing')""",
+)
 def _(spark, sf):
-    out = masked_units(_units(spark, sf), _term_list(spark))
-    return match.leftovers(out, _term_list(spark)).select("doc_id", "text", "label")
+    lists = _term_list(spark, _COLLIDING)
+    return match.leftovers(masked_units(_units(spark, sf), lists), lists)
 
 
 # --- text functions ------------------------------------------------------------------------------------------
@@ -264,9 +272,47 @@ def _(spark, sf):
     return rows.where("token <> ''").groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
-@_query("scanned_pages", r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) < 25 AS needs_ocr FROM documents")
+_UNDECODED = "SELECT doc_id, replace(text, CASE doc_id % 3 WHEN 0 THEN 'e' WHEN 1 THEN 'q' ELSE 'th' END, '�') AS text FROM {documents}"
+
+
+@_query("scanned_pages", rf"SELECT doc_id, n < 25 OR bad * 10 > n AS needs_ocr FROM (SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS n, length(text) - length(replace(text, '�', '')) AS bad FROM ({_sql(_UNDECODED, 'documents')}))")
+def _(spark, sf):
+    return _derived(spark, sf, _UNDECODED, "documents").select("doc_id", needs_ocr(F.col("text")).alias("needs_ocr"))
+
+
+@_query(
+    "searchable_words",
+    r"""SELECT doc_id, w, length(w) BETWEEN 2 AND 200 AND NOT regexp_full_match(w, '\[[^\]]*\]') AND NOT regexp_full_match(w, '[0-9]{1,3}') AS searchable FROM (
+ SELECT doc_id, unnest([text, substr(text, 1, 201), substr(text, 1, 200), '[' || lang || ']', '[' || lang, cast(doc_id AS VARCHAR), substr(text, 1, 1), substr(text, 1, 2)]) AS w FROM documents)""",
+)
+def _(spark, sf):
+    made = F.array("text", F.substring("text", 1, 201), F.substring("text", 1, 200), F.concat(F.lit("["), "lang", F.lit("]")), F.concat(F.lit("["), "lang"), F.col("doc_id").cast("string"), F.substring("text", 1, 1), F.substring("text", 1, 2))
+    rows = _table(spark, sf, "documents").select("doc_id", F.explode(made).alias("w"))
+    return rows.withColumn("searchable", is_searchable(F.col("w")))
+
+
+_DATES = "SELECT o_orderkey, concat(CASE o_orderkey % 3 WHEN 0 THEN 'review ' WHEN 1 THEN '' ELSE 'on 1/' END, cast(1880 + o_orderkey % 190 AS string), CASE o_orderkey % 5 WHEN 0 THEN 'x 2026' WHEN 1 THEN ', 2031' ELSE '' END) AS s FROM {orders}"
+
+
+@_query("recent_dates", rf"SELECT o_orderkey, coalesce(try_cast(nullif(regexp_extract(s, '(?:^|[^0-9A-Za-z_])((?:19|20)[0-9]{{2}})(?:[^0-9A-Za-z_]|$)', 1), '') AS INT) >= 2025, false) AS recent FROM ({_sql(_DATES, 'orders')})")
+def _(spark, sf):
+    return _derived(spark, sf, _DATES, "orders").select("o_orderkey", is_recent_date(F.col("s"), 2026).alias("recent"))
+
+
+_SHAPED = "SELECT c_custkey, concat(CASE c_custkey % 5 WHEN 0 THEN 'Anna ' WHEN 1 THEN 'van der ' WHEN 2 THEN 'the ' WHEN 3 THEN 'A B C D ' ELSE 'Éva ' END, c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN ', Mr' WHEN 1 THEN ' Lee' ELSE '' END) AS s FROM {customer}"
+
+
+@_query("name_shapes", f"SELECT c_custkey, c_custkey % 5 <> 2 AND c_custkey % 4 <> 0 AND NOT (c_custkey % 5 = 3 AND c_custkey % 4 = 1) AS shaped FROM customer")
+def _(spark, sf):
+    return _derived(spark, sf, _SHAPED, "customer").select("c_custkey", is_name_shaped(F.col("s")).alias("shaped"))
+
+
+_WIDE = "SELECT c_custkey, concat('Ａﬁ ', c_name, '--① ', upper(c_mktsegment), '² ') AS s FROM {customer}"
+
+
+@_query("normalised_names", "SELECT c_custkey, 'afi ' || lower(replace(c_name, '#', ' ')) || ' 1 ' || lower(c_mktsegment) || '2' AS s FROM customer")
 def _(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", needs_ocr(F.col("text")).alias("needs_ocr"))
+    return _derived(spark, sf, _WIDE, "customer").select("c_custkey", normalised(F.col("s")).alias("s"))
 
 
 @_query("decoded_urls", "SELECT page_id, url_decode(replace(replace(url, '/', '%2F'), '+', '%2B')) AS url FROM pages")
@@ -349,34 +395,85 @@ def _(spark, sf):
     return grouping.merge_fits(_derived(spark, sf, _WORDSETS, "customer").withColumn("words", F.split("name", " ")))
 
 
-@_query("entity_groups")
+_SEGMENT = "concat(substr(c_mktsegment, 1, 1), lower(substr(c_mktsegment, 2)))"
+_GROUPED = f"SELECT c_nationkey AS doc_id, cast(c_custkey AS int) AS ord, 'PERSON' AS type, CASE c_custkey % 7 WHEN 0 THEN concat('Anna ', {_SEGMENT}) WHEN 1 THEN concat('Mr Anna ', {_SEGMENT}, ' Smith') WHEN 2 THEN concat('anna ', lower(c_mktsegment), '-smith') WHEN 3 THEN 'Grandma' WHEN 4 THEN concat('Dr. Q. ', {_SEGMENT}) WHEN 5 THEN concat(CASE c_nationkey % 2 WHEN 0 THEN 'Quinn ' ELSE 'Anna ' END, {_SEGMENT}, CASE c_nationkey % 2 WHEN 0 THEN '' ELSE ' Jones' END) ELSE concat('Mrs Anna ', {_SEGMENT}) END AS text FROM {{customer}}"
+
+
+@_query(
+    "entity_groups",
+    rf"""WITH c AS (SELECT *, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm FROM ({_sql(_GROUPED, 'customer')})),
+k AS (SELECT *, array_to_string(list_filter(string_split(norm, ' '), lambda w: w NOT IN ({_TITLE_SQL})), ' ') AS key FROM c WHERE norm <> 'grandma'),
+d AS (SELECT doc_id, key, text, min(ord) AS o FROM k GROUP BY doc_id, key, text),
+g AS (SELECT doc_id, key, min(o) AS o, string_agg(text, '|' ORDER BY o) AS texts, bool_or(text NOT LIKE '%-%') AS shaped FROM d GROUP BY doc_id, key),
+s AS (SELECT *, CASE WHEN shaped THEN list_filter(string_split(key, ' '), lambda x: length(x) > 1) ELSE []::VARCHAR[] END AS w, list_filter(string_split(key, ' '), lambda x: length(x) = 1) AS i, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INT) AS group_ord FROM g),
+m AS (SELECT a.doc_id, a.key AS source, any_value(a.texts) AS texts, any_value(a.o) AS o, any_value(b.key) AS target FROM s a JOIN s b ON a.doc_id = b.doc_id AND len(a.w) > 0 AND len(b.w) > len(a.w) AND list_has_all(b.w, a.w)
+ AND len(list_filter(a.i, lambda x: NOT list_contains(list_transform(b.w, lambda y: y[1]), x))) = 0 GROUP BY a.doc_id, a.key HAVING count(*) = 1),
+t AS (SELECT doc_id, target, string_agg(texts, '|' ORDER BY o) AS more FROM m GROUP BY doc_id, target),
+f AS (SELECT s.doc_id, group_ord, s.texts || coalesce('|' || more, '') AS texts FROM s LEFT JOIN t ON t.doc_id = s.doc_id AND target = key WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = s.doc_id AND source = key))
+SELECT doc_id, group_ord, 'PERSON' AS type, '[Person ' || row_number() OVER (PARTITION BY doc_id ORDER BY group_ord) || ']' AS label, texts FROM f""",
+)
 def _(spark, sf):
-    rows = _derived(spark, sf, _PEOPLE, "customer").withColumn("refers_to", F.col("text"))
+    rows = _derived(spark, sf, _GROUPED, "customer").withColumn("refers_to", F.col("text"))
     return grouping.grouped(rows).select("doc_id", "group_ord", "type", "label", F.array_join("texts", "|").alias("texts"))
 
 
 @_query(
-    "type_labels",
-    "SELECT event_type, CASE event_type WHEN 'PERSON' THEN 'Person' ELSE 'Detail' END AS label_name, count(*) AS n FROM events GROUP BY event_type",
+    "name_parts",
+    f"""SELECT c_custkey AS doc_id, 'Anna ' || {_SEGMENT} || CASE WHEN c_custkey % 2 = 0 THEN '|Anna' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '|' || {_SEGMENT} ELSE '' END AS texts FROM customer""",
 )
 def _(spark, sf):
-    return _table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("label_name", label_name(F.col("event_type")))
+    rows = _table(spark, sf, "customer").withColumn("name", F.expr(f"concat('Anna ', {_SEGMENT})"))
+    groups = rows.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("group_ord"), F.lit("PERSON").alias("type"), F.array("name").alias("texts"), F.lit("[Person 1]").alias("label"))
+    extra = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit(" Then Anna came.")).otherwise(" then anna came."), F.when(F.col("c_custkey") % 3 == 0, F.expr(f"concat(' Ask ', {_SEGMENT}, '!')")).otherwise(""))
+    units = rows.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("unit_id"), F.concat(F.lit("Mrs "), "name", F.lit(" lives here."), extra).alias("text"))
+    return grouping.with_name_parts(groups, units).select("doc_id", F.array_join("texts", "|").alias("texts"))
 
 
-# --- chunks, JSON, terms -------------------------------------------------------------------------------------
+@_query(
+    "findings_by_type",
+    """WITH g AS (SELECT user_id AS doc_id, event_type AS label, CASE WHEN length(event_type) % 2 = 0 THEN 'PERSON' ELSE 'ID' END AS type, count(*) AS n FROM events GROUP BY user_id, event_type)
+SELECT doc_id, type, string_agg(label, '|' ORDER BY n, label) AS labels, CASE type WHEN 'PERSON' THEN 'People' ELSE 'ID and reference numbers' END AS type_name FROM g GROUP BY doc_id, type""",
+)
+def _(spark, sf):
+    rows = _table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id"), F.col("event_type").alias("label")).agg(F.count("*").alias("count"))
+    rows = rows.withColumn("type", F.when(F.length("label") % 2 == 0, "PERSON").otherwise("ID"))
+    return findings.by_type(rows).select("doc_id", "type", F.array_join("labels", "|").alias("labels"), "type_name")
+
+
+_TYPE_CASE = "CASE event_id % 11 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " ELSE event_type END"
 
 
 @_query(
-    "chunk_packing",
-    """WITH p AS (SELECT doc_id % 50 AS doc_id, doc_id AS unit_id, text FROM documents WHERE length(text) <= 12000 AND regexp_matches(text, '\\S')),
-l AS (SELECT doc_id, list_prepend({'cur': '', 'out': []::VARCHAR[]}, list({'cur': text, 'out': []::VARCHAR[]} ORDER BY unit_id)) AS u FROM p GROUP BY doc_id),
-r AS (SELECT doc_id, list_reduce(u, lambda a, x: CASE WHEN a.cur = '' THEN {'cur': x.cur, 'out': a.out} WHEN length(a.cur) + length(x.cur) + 2 <= 12000 THEN {'cur': a.cur || chr(10) || chr(10) || x.cur, 'out': a.out} ELSE {'cur': x.cur, 'out': list_append(a.out, a.cur)} END) AS z FROM l),
-c AS (SELECT doc_id, unnest(list_append(z.out, z.cur)) AS text, unnest(range(len(z.out) + 1)) AS chunk_id FROM r)
-SELECT doc_id, CAST(chunk_id AS INT) AS chunk_id, md5(text) AS digest, length(text) AS n_chars FROM c""",
+    "type_labels",
+    f"""WITH t AS (SELECT {_TYPE_CASE} AS type FROM events)
+SELECT type, coalesce(max(a), 'Detail') AS label_name, coalesce(max(b), 'Other identifying details') AS list_name, count(*) AS n
+FROM t LEFT JOIN (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in TYPES.items())}) n(k, a, b) ON k = type GROUP BY type""",
 )
 def _(spark, sf):
-    units = _table(spark, sf, "documents").where("length(text) <= 12000").select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("unit_id"), "text")
-    return chunks(units).select("doc_id", "chunk_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+    rows = _table(spark, sf, "events").groupBy(F.expr(_TYPE_CASE).alias("type")).agg(F.count("*").alias("n"))
+    return rows.select("type", label_name(F.col("type")).alias("label_name"), label_name(F.col("type"), 1).alias("list_name"), "n")
+
+
+# --- chunks, JSON, terms -------------------------------------------------------------------------------------
+
+
+_CHUNKS_SQL = """p AS (SELECT doc_id, i, j, substr(line, 12000 * j + 1, 12000) AS text FROM (SELECT *, unnest(range(1 + greatest(length(line) - 1, 0) // 12000)) AS j
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) WHERE regexp_matches(substr(line, 12000 * j + 1, 12000), '\\S')),
+l AS (SELECT doc_id, list_prepend({'at': 0::BIGINT, 'n': 0::BIGINT, 'k': 0::BIGINT, 'out': []::BIGINT[]}, list({'at': 0::BIGINT, 'n': length(text)::BIGINT, 'k': 0::BIGINT, 'out': []::BIGINT[]} ORDER BY i, j)) AS u, list(text ORDER BY i, j) AS t FROM p GROUP BY doc_id),
+r AS (SELECT doc_id, t, list_reduce(u, lambda a, x: CASE WHEN a.at > 0 AND a.at + x.n + 2 <= 12000 THEN {'at': a.at + x.n + 2, 'n': 0::BIGINT, 'k': a.k, 'out': list_append(a.out, a.k)}
+  WHEN a.at = 0 THEN {'at': x.n, 'n': 0::BIGINT, 'k': a.k, 'out': list_append(a.out, a.k)} ELSE {'at': x.n, 'n': 0::BIGINT, 'k': a.k + 1, 'out': list_append(a.out, a.k + 1)} END) AS z FROM l),
+e AS (SELECT doc_id, unnest(t) AS text, unnest(z.out) AS chunk_id, unnest(range(len(t))) AS i FROM r),
+c AS (SELECT doc_id, chunk_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM e GROUP BY doc_id, chunk_id)"""
+
+
+def _lines(spark, sf) -> DataFrame:
+    """Every document's lines as its units."""
+    return _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("unit_id", "text"))
+
+
+@_query("chunk_packing", f"WITH {_CHUNKS_SQL} SELECT doc_id, CAST(chunk_id AS INT) AS chunk_id, md5(text) AS digest, length(text) AS n_chars FROM c")
+def _(spark, sf):
+    return chunks(_lines(spark, sf)).select("doc_id", "chunk_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
 _ENTITIES = """SELECT o_orderkey AS doc_id, concat('{{"entities":[{{"text":" ', o_orderpriority, ' ","type":"', CASE o_orderkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ROBOT' ELSE 'PLACE' END, '","refers_to":"', CASE o_orderkey % 2 WHEN 0 THEN ' ' ELSE o_orderstatus END, '"}},{{"text":"  ","type":"ID"}}]', CASE o_orderkey % 7 WHEN 0 THEN '' ELSE '}}' END) AS entities_json FROM {orders}"""
@@ -531,8 +628,8 @@ def _(spark, sf):
     return events.file_events(rows)
 
 
-def _word_files(spark, sf) -> DataFrame:
-    """One small Word file a customer, its name cut over two runs of text."""
+def _word_files(spark, sf, blank: bool = False) -> DataFrame:
+    """One small Word file a customer, its name cut over two runs of text, or without any text."""
     rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name", "c_mktsegment")
 
     def run(batches):
@@ -548,7 +645,7 @@ def _word_files(spark, sf) -> DataFrame:
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w") as z:
                     z.writestr("[Content_Types].xml", types)
-                    z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Client {name[:5]}</w:t></w:r><w:r><w:t>{name[5:]} of</w:t><w:tab/><w:t>{segment}.</w:t></w:r></w:p></w:body></w:document>')
+                    z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t> </w:t></w:r></w:p></w:document>' if blank else f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Client {name[:5]}</w:t></w:r><w:r><w:t>{name[5:]} of</w:t><w:tab/><w:t>{segment}.</w:t></w:r></w:p></w:body></w:document>')
                 made.append(out.getvalue())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(1)], ["doc_id", "content", "name"])
 
@@ -578,19 +675,99 @@ def _(spark, sf):
     return extract(made)[0].select("doc_id", "unit_id", "text")
 
 
-@_query("progress_events", "SELECT '{\"doc_id\":' || doc_id || ',\"type\":\"progress\",\"stage\":\"detecting\",\"done\":0,\"total\":2}' AS value FROM documents WHERE length(text) <= 12000")
+@_query("progress_events", f"WITH {_CHUNKS_SQL} SELECT '{{\"doc_id\":' || doc_id || ',\"type\":\"progress\",\"stage\":\"detecting\",\"done\":0,\"total\":' || 2 * count(*) || '}}' AS value FROM c GROUP BY doc_id")
 def _(spark, sf):
-    units = _units(spark, sf).where("length(text) <= 12000")
-    return events.progress_events(chunks(units), recall=True)
+    return events.progress_events(chunks(_lines(spark, sf)), recall=True)
 
 
-@_query("detected_findings")
+def _linked_files(spark, sf) -> DataFrame:
+    """One Word file a customer with a comment's author, a link to the customer's address and, for every fifth, a damaged part."""
+    rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        types = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+        for batch in batches:
+            made = []
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("[Content_Types].xml", types)
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w15="urn:w15"><w:body><w:p w15:userId="{name}"><w:ins w:author="{name}" w:initials="CU"><w:r><w:t>By {name}</w:t></w:r></w:ins></w:p></w:body></w:document>' + "<" * (key % 5 == 0))
+                    z.writestr("docProps/core.xml", f'<c:coreProperties xmlns:c="urn:c" xmlns:d="urn:d"><d:creator>{name}</d:creator><d:title>Plan</d:title></c:coreProperties>')
+                    z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="urn:r"><Relationship Id="1" TargetMode="External" Target="{"mailto:" if key % 2 else "https://x.org/"}{name.replace("#", "%23")}"/></Relationships>')
+                made.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(1)], ["doc_id", "content", "name"])
+
+    return rows.mapInArrow(run, "doc_id long, content binary, name string")
+
+
+@_query(
+    "docx_scrubbed",
+    """SELECT c_custkey AS doc_id, c_custkey % 5 = 0 AS damaged, CASE WHEN c_custkey % 5 <> 0 THEN
+ '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w15="urn:w15"><w:body><w:p w15:userId=""><w:ins w:author="Author" w:initials="A"><w:r><w:t xml:space="preserve">By [Person 1]</w:t></w:r></w:ins></w:p></w:body></w:document>'
+ || '<c:coreProperties xmlns:c="urn:c" xmlns:d="urn:d"><d:creator /><d:title>Plan</d:title></c:coreProperties>' || '<Relationships xmlns="urn:r"><Relationship Id="1" TargetMode="External" Target="'
+ || CASE WHEN c_custkey % 2 = 1 THEN 'mailto:' ELSE 'https://x.org/[Person 1]' END || '" /></Relationships>' END AS parts FROM customer""",
+)
+def _(spark, sf):
+    made = _linked_files(spark, sf)
+    names = made.select("doc_id", F.lit(0).alias("ord"), F.col("name").alias("text"), F.lit("[Person 1]").alias("label"))
+    out = docx.docx_redacted(made.select("doc_id", "content"), names)
+
+    def parts(batches):
+        import io
+        import re
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            shown = []
+            for content in batch.column(1).to_pylist():
+                if content is None:
+                    shown.append(None)
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    shown.append("".join(re.sub(r"^<\?.*?\?>\s*", "", z.read(n).decode()) for n in ("word/document.xml", "docProps/core.xml", "word/_rels/document.xml.rels")).replace("></d:creator>", " />"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shown, pa.string())], ["doc_id", "damaged", "parts"])
+
+    return out.select("doc_id", "content", F.coalesce(F.col("error") == "damaged", F.lit(False)).alias("damaged")).mapInArrow(parts, "doc_id long, damaged boolean, parts string")
+
+
+@_query(
+    "refused_files",
+    """SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'no_text' WHEN 1 THEN 'unknown_type' WHEN 2 THEN 'no_reader' ELSE 'damaged' END AS error FROM customer""",
+)
+def _(spark, sf):
+    blank = _word_files(spark, sf, blank=True).select("doc_id", F.lit("a.docx").alias("file_name"), "content")
+    key = F.col("doc_id") % 4
+    content = F.when(key == 0, F.col("content")).when(key == 1, F.encode(F.lit("plain"), "UTF-8")).when(key == 2, F.encode(F.lit("%PDF-1.7"), "UTF-8")).otherwise(F.substring("content", 1, 40))
+    return extract(blank.withColumn("content", content))[1]
+
+
+_DETECTED_SQL = f"""WITH u AS ({_sql(_ALL, "customer")}), h AS (
+ SELECT doc_id, 3 AS k, 'EMAIL' AS type, '[Email ' AS name, unnest(regexp_extract_all(text, '{_EMAIL}')) AS hit FROM u
+ UNION ALL SELECT doc_id, 4, 'ID', '[ID number ', unnest(regexp_extract_all(text, '{_NI_RE}')) FROM u
+ UNION ALL SELECT doc_id, 5, 'ADDRESS', '[Address ', unnest(list_filter(regexp_extract_all(text, '{_POST_RE}'), lambda x: x = upper(x))) FROM u
+ UNION ALL SELECT doc_id, 7, 'DATE_OF_BIRTH', '[Date of birth', unnest(regexp_extract_all(text, '{_DOB_RE}', 1)) FROM u),
+f AS (SELECT doc_id, type, hit, k, CASE type WHEN 'DATE_OF_BIRTH' THEN name || ']' ELSE name || row_number() OVER (PARTITION BY doc_id, type ORDER BY k, hit) || ']' END AS label FROM h)"""
+
+
+@_query("detected_findings", _DETECTED_SQL + " SELECT doc_id, label, type, hit AS texts, count(*) AS count FROM f GROUP BY doc_id, label, type, hit")
 def _(spark, sf):
     units = _derived(spark, sf, _ALL, "customer").withColumn("page", F.lit(1))
     return detect(units).select("doc_id", "label", "type", F.array_join("texts", "|").alias("texts"), "count")
 
 
-@_query("redacted_units")
+@_query(
+    "redacted_units",
+    _DETECTED_SQL + """, r AS (SELECT doc_id, list_prepend({'t': any_value(text), 'h': '', 'l': ''}, list({'t': '', 'h': hit, 'l': label} ORDER BY k)) AS x, count(*) AS removed FROM f JOIN u USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, 0 AS unit_id, list_reduce(x, lambda a, y: {'t': replace(a.t, y.h, y.l), 'h': '', 'l': ''}).t AS text, CAST(removed AS INT) AS removed FROM r""",
+)
 def _(spark, sf):
     units = _derived(spark, sf, _ALL, "customer")
     found = grouping.grouped(pattern_candidates(units))
@@ -598,6 +775,13 @@ def _(spark, sf):
     return result.select("doc_id", "unit_id", "text", "removed")
 
 
+@_query("refused_units", _hits_sql([(t, label) for t, label in _COLLIDING]) + " SELECT DISTINCT doc_id, term AS text, label, CASE WHEN term IN ('Street', 'ing') THEN 'label_collision' ELSE 'present' END AS reason FROM h WHERE term IN ('Street', 'ing')")
+def _(spark, sf):
+    units = _units(spark, sf)
+    rows = spark.createDataFrame([(i, t, label) for i, (t, label) in enumerate(_COLLIDING)], "ord int, text string, label string")
+    return redact(units, units.select("doc_id").distinct().join(F.broadcast(rows)))[1]
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Which documents hold personal data, how much of which type, and what they look like without it."""
     units = _units(spark, sf)

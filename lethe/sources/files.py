@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import MAX_FILE
+from ..functions.limits import Limits
 from ..functions.text import base_name
 
 #: Readers of other formats by kind: content BINARY -> array<struct<page:int,text:string,ocr:boolean>>. None are built in.
@@ -18,7 +18,7 @@ CANDIDATE_SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """path, modificationTime, length and content of files up to the size limit, which is checked before they are read."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_FILE)
+    return spark.read.format("binaryFile").load(path).where(F.col("length") <= Limits.of(spark).max_file)
 
 
 def sniffed(content: Column) -> Column:

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.admission import DAY_PAGES
+from ..functions.limits import Limits
 
 OUT = "req_id long, day date, pages long, admitted boolean"
 
 
-def daily_budget_stream(requests: DataFrame, budget: int = DAY_PAGES, late: str = "1 hour") -> DataFrame:
+def daily_budget_stream(requests: DataFrame, budget: int | None = None, late: str = "1 hour") -> DataFrame:
     """OUT rows of a stream of requests(req_id, ts, pages); the state of a day is the pages used."""
 
+    budget = Limits.of(requests.sparkSession).day_pages if budget is None else budget
+
     def admit(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()

@@ -109,7 +109,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_extract_sorts_out_what_it_cannot_read(spark):
-    from lethe.plans.config import Limits
+    from lethe.functions.limits import Limits
     from lethe.plans.extract import doc_meta, extract
     from pyspark.sql import functions as F
 
