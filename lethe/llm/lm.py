@@ -6,8 +6,10 @@ to one of RARE classes by its last two bytes, and within the class has the proba
 training tokens N and distinct words V, one share being that of all unseen words. Class probabilities are the normalised
 exponentials of (C1 r[w-1] + C2 r[w-2]) q[class] + b[class].
 
-Training is data-parallel: in each round every task makes a pass over its own part of the training texts from
-the common parameters, and the parameters are averaged by tokens. Noise is the unigram distribution.
+Texts become token classes once. Training is data-parallel over shards of about SHARD tokens, dealt by a hash of the documents and
+not by how they are stored: in each round every shard of that round is passed over from the common parameters
+and Adagrad sums, and both are averaged. Noise is the unigram distribution. Frequent words, and with them what is
+learned, grow with the training tokens.
 """
 
 from __future__ import annotations
@@ -16,17 +18,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashing
-from .work import saved
+from .work import saved, sized_broadcast
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
-#: Words with their own class, classes of the others, width of the vectors.
-OWN, RARE, DIM = 1536, 256, 24
-#: Rounds of averaging, noise samples a batch, tokens a batch, learning rate.
-ROUNDS, NOISE, BATCH, RATE = 3, 256, 4096, 0.3
+#: Words with their own class per fifth root of the training tokens, classes of the others, width of the vectors.
+OWN, RARE, DIM = 76, 256, 32
+#: Rounds of averaging, tokens of a shard, passes over it, noise samples a batch, tokens a batch, learning rate.
+ROUNDS, SHARD, PASSES, NOISE, BATCH, RATE = 3, 1 << 22, 2, 256, 4096, 0.1
+#: Fixed-point unit of averaged parameters, so that a sum does not depend on its order.
+UNIT = 1 << 24
 #: Words whose counts tasks hold; counts of the others are joined.
 HELD = 1 << 16
+#: Contexts whose sums a task keeps.
+CONTEXTS = 1 << 21
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -101,10 +108,10 @@ class Lexicon:
 
 
 def lexicon(table: DataFrame) -> Lexicon:
-    """From the saved counts; the driver gets HELD words and one row a rare class."""
+    """From the saved counts; the driver gets HELD words and one row a rare class. Not all of HELD words have vectors."""
     n, v = (x or 0 for x in table.agg(F.sum("c"), F.count("*")).first())
     hashes, held, cls = most_frequent(table, HELD)
-    own = min(OWN, len(hashes))
+    own = min(round(OWN * max(n, 1) ** 0.2), len(hashes))
     rare_n, rare_v = np.zeros(RARE), np.zeros(RARE)
     for row in table.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         rare_n[row["cls"]], rare_v[row["cls"]] = row["n"], row["v"]
@@ -151,11 +158,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def train_part(p, lex, stream, rng):
-    """One pass of noise-contrastive estimation over blocks of (classes, one before, two before); parameters change in place."""
-    seen = {k: np.full_like(v, 0.1) for k, v in p.items()}
+def train_part(p, seen, lex, stream, rng):
+    """Passes of noise-contrastive estimation over blocks of (classes, one before, two before); parameters and Adagrad sums change in place."""
     cdf, log_noise = np.cumsum(lex.unigram), np.log(lex.unigram * NOISE).astype(np.float32)
-    n, room = 0, np.empty((BATCH, NOISE), np.float32)
+    room = np.empty((BATCH, NOISE), np.float32)
     for cls, one, two in stream:
         order = rng.permutation(len(cls))
         for lo in range(0, len(cls), BATCH):
@@ -169,52 +175,75 @@ def train_part(p, lex, stream, rng):
             up, down = _sigmoid(good.astype(np.float32)) - 1, _sigmoid(bad)  # d loss / d score
             grad = up[:, None] * p["q"][w] + down @ p["q"][noise]
             ids = np.concatenate([w, noise])
-            size = np.float32(len(i))
-            _add(p["q"], ids, np.concatenate([up[:, None] * ctx, down.T @ ctx]) / size, RATE, seen["q"])
-            _add(p["b"], ids, np.concatenate([up, down.sum(0)]) / size, RATE / 4, seen["b"])
-            _add(p["r1"], a, grad / size, RATE, seen["r1"])
-            _add(p["r2"], b, grad / size, RATE, seen["r2"])
-            n += len(i)
-    return n
-
-
-def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 5) -> dict[str, np.ndarray]:
-    """Parameters after rounds of averaging; round i passes over the texts whose hash leaves i, so each is used once."""
-    spark = rows.sparkSession
+            _add(p["q"], ids, np.concatenate([up[:, None] * ctx, down.T @ ctx]), RATE, seen["q"])
+            _add(p["b"], ids, np.concatenate([up, down.sum(0)]), RATE / 4, seen["b"])
+            _add(p["r1"], a, grad, RATE, seen["r1"])
+            _add(p["r2"], b, grad, RATE, seen["r2"])
+
+
+def _flat(*tables: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([t[k].ravel() for t in tables for k in sorted(t)])
+
+
+def _shaped(flat: np.ndarray, *like: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
+    out, at = [], 0
+    for table in like:
+        out.append({})
+        for k in sorted(table):
+            out[-1][k] = flat[at : at + table[k].size].reshape(table[k].shape).astype(np.float32)
+            at += table[k].size
+    return out
+
+
+def _blocks(lists: pa.ListArray, start: int, tokens: int = 1 << 17):
+    """(classes, one before, two before) of whole texts, about so many tokens at a time."""
+    flat, ends = lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    at = 0
+    while at < len(lists):
+        z = max(at + 1, int(np.searchsorted(ends, ends[at] + tokens, "right")) - 1)
+        cls = flat[ends[at] : ends[z]]
+        yield (cls, *_before(cls, ends[at : z + 1] - ends[at], start))
+        at = z
+
+
+def _shard_pass(now, shared_lex, seeds: tuple[int, ...]):
+    """What a task does with a shard: passes from the common state, and its own state after them in fixed-point parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, sums = ({k: v.copy() for k, v in t.items()} for t in now.value)
+        table = table.sort_by([("key", "ascending"), ("row", "ascending")])
+        rng = np.random.default_rng([*seeds, table["shard"][0].as_py()])
+        for _ in range(PASSES):
+            train_part(own, sums, shared_lex.value, _blocks(table["cls"].combine_chunks(), len(own["q"])), rng)
+        flat = np.rint(_flat(own, sums).astype(np.float64) * UNIT).astype(np.int64)
+        parts = [flat[i : i + 4096] for i in range(0, len(flat), 4096)]
+        return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "x": pa.array(parts, pa.list_(pa.int64()))})
+
+    return run
+
+
+def train(coded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 5) -> dict[str, np.ndarray]:
+    """Parameters from the training rows of coded(key, row, held_out, cls). Each text is in one shard of one round.
+
+    A shard holds about SHARD tokens however many there are; equal rows, which have one key, are dealt by their number.
+    """
+    spark = coded.sparkSession
     p = initial(lex, seed)
+    seen = {k: np.full_like(v, 1.0) for k, v in p.items()}
     shared_lex = spark.sparkContext.broadcast(lex)
-    shapes = {k: v.shape for k, v in p.items()}
+    rows = coded.where("not held_out")
+    each = max(1, round(lex.n / (SHARD * rounds)))
+    often = saved(rows.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("often")), "often")
+    rows = rows.join(sized_broadcast(often, often.count(), HELD), "key", "left")
+    slot = F.pmod(F.when(F.col("often"), F.xxhash64("key", "row")).otherwise(F.col("key")), F.lit(each * rounds))
+    rows = rows.select("key", "row", "cls", (slot % rounds).alias("turn"), F.floor(slot / rounds).alias("shard"))
     for turn in range(rounds):
-        now = spark.sparkContext.broadcast(p)
-
-        def run(batches, now=now, turn=turn):
-            own = {k: v.copy() for k, v in now.value.items()}
-            lex, start = shared_lex.value, len(own["q"])
-
-            def stream():
-                for batch in batches:
-                    for _, _, hashes, rare, bounds in _tokens(batch.column(0)):
-                        _, cls = lex.find(hashes, rare)
-                        yield (cls, *_before(cls, bounds, start))
-
-            n = train_part(own, lex, stream(), np.random.default_rng(seed + turn))
-            if n:
-                flat = np.concatenate([own[k].ravel() for k in sorted(own)])
-                size = 4096
-                parts = [flat[i : i + size].astype(np.float64) * n for i in range(0, len(flat), size)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(n)] * len(parts)), pa.array(parts, pa.list_(pa.float64()))], ["part", "n", "x"])
-
-        part = rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(rounds)) == turn).select("text")
-        got = part.mapInArrow(run, "part int, n double, x array<double>")
-        mean = got.select("part", "n", F.posexplode("x")).groupBy("part", "pos").agg((F.sum("col") / F.sum("n")).alias("x")).orderBy("part", "pos").toPandas()
-        if not len(mean):
-            continue
-        flat, at = mean.x.to_numpy(np.float32), 0
-        p = {}
-        for k in sorted(shapes):
-            size = int(np.prod(shapes[k]))
-            p[k] = flat[at : at + size].reshape(shapes[k])
-            at += size
+        now = spark.sparkContext.broadcast((p, seen))
+        got = rows.where(F.col("turn") == turn).groupBy("shard").applyInArrow(_shard_pass(now, shared_lex, (seed, turn)), "part int, x array<long>")
+        mean = got.select("part", F.posexplode("x")).groupBy("part", "pos").agg((F.sum("col") / F.count("*") / UNIT).alias("x")).toPandas()
+        if len(mean):
+            mean = mean.sort_values(["part", "pos"])
+            p, seen = _shaped(mean.x.to_numpy(np.float64), p, seen)
     return p
 
 
@@ -248,36 +277,58 @@ def class_scores(p, cls, one, two, block: int = 2048, cache: dict | None = None)
     return dot + p["b"][cls] - norm[where]
 
 
-def scored(rows: DataFrame, lex: Lexicon, p: dict[str, np.ndarray]) -> DataFrame:
-    """A row a document: its class scores, the counts of words the tasks hold, and the list of the others to be joined."""
-    spark = rows.sparkSession
-    shared_lex, shared = spark.sparkContext.broadcast(lex), spark.sparkContext.broadcast(p)
+def coded(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """A row a document: the classes of its tokens, what is known of them without a model, and the list of words that the tasks do not hold."""
+    shared_lex = rows.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches):
-        lex, p = shared_lex.value, shared.value
-        start, cache = len(p["q"]), {}
+        lex = shared_lex.value
         for batch in batches:
-            for lo, hi, hashes, rare, bounds in _tokens(batch.column(1)):
+            for lo, hi, hashes, rare, bounds in _tokens(batch.column(3)):
                 count, cls = lex.find(hashes, rare)
-                logp = class_scores(p, cls, *_before(cls, bounds, start), cache=cache) / np.log(10)
-                inner = (cls < RARE) & (count >= 0)
-                logp[inner] += np.log10((count[inner] + 1) / (lex.rare_n[cls[inner]] + lex.rare_v[cls[inner]] + 1))
-                out = (cls < RARE) & (count < 0)
-                logp[out] -= np.log10(lex.rare_n[cls[out]] + lex.rare_v[cls[out]] + 1)
                 base = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0)
-                sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
+                inner = np.where((cls < RARE) & (count >= 0), base, 0.0)
+                spread = np.log10(lex.rare_n + lex.rare_v + 1)
+                inner -= np.where(cls < RARE, spread[np.minimum(cls, RARE - 1)], 0)
+                out = (cls < RARE) & (count < 0)
                 doc = np.repeat(np.arange(hi - lo), np.diff(bounds))[out]
                 order = np.lexsort((hashes[out], doc))
                 d, h = doc[order], hashes[out][order]
                 first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])) if len(d) else np.zeros(0, np.int64)
                 times = np.diff(np.append(first, len(d)))
                 per = np.searchsorted(d[first], np.arange(hi - lo + 1)) if len(d) else np.zeros(hi - lo + 1, np.int64)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(x))
-                base_sums = np.array([np.sum(base[bounds[i] : bounds[i + 1]]) for i in range(hi - lo)])
-                score_sums = np.array([np.sum(logp[bounds[i] : bounds[i + 1]]) for i in range(hi - lo)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(sums((count >= 0).astype(np.int64))), pa.array(base_sums), pa.array(score_sums), lists(h[first].view(np.int64)), lists(times.astype(np.int64))], ["doc_id", "held_out", "n_tokens", "known", "base", "part", "h", "times"])
+                lists = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
+                known, sums, inside = (np.array([x[bounds[i] : bounds[i + 1]].sum() for i in range(hi - lo)]) for x in ((count >= 0).astype(np.int64), base, inner))
+                kept = [c.slice(lo, hi - lo) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(bounds)), pa.array(known), pa.array(sums), pa.array(inside), lists(per, h[first].view(np.int64)), lists(per, times.astype(np.int64)), lists(bounds, cls.astype(np.int32))], [*batch.schema.names[:3], "n_tokens", "known", "base", "inner", "h", "times", "cls"])
+
+    keyed = rows.select("doc_id", "held_out", F.xxhash64("doc_id", "text", F.length("text")).alias("key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, known long, base double, inner double, h array<long>, times array<long>, cls array<int>")
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, part double, h array<long>, times array<long>")
+
+def scored(coded: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
+    """coded with ``part``, the sum of the model's class scores, instead of its classes."""
+    shared = coded.sparkSession.sparkContext.broadcast(p)
+    names = [c for c in coded.columns if c != "cls"]
+
+    def run(batches):
+        p = shared.value
+        start, cache = len(p["q"]), {}
+        for batch in batches:
+            sums = []
+            lists = batch.column(len(names))
+            lengths = lists.value_lengths().to_numpy()
+            for cls, one, two in _blocks(lists, start):
+                if len(cache.get("keys", ())) > CONTEXTS:
+                    cache.clear()
+                logp = class_scores(p, cls, one, two, cache=cache) / np.log(10)
+                z = len(sums) + int(np.searchsorted(np.cumsum(lengths[len(sums) :]), len(cls))) + 1
+                ends = np.concatenate([[0], np.cumsum(lengths[len(sums) : z])])
+                sums += [logp[a:b].sum() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.float64())], [*names, "part"])
+
+    fields = [coded.schema[c] for c in names]
+    return coded.select(*names, "cls").mapInArrow(run, T.StructType([*fields, T.StructField("part", T.DoubleType())]))
 
 
 def language_scores(docs: DataFrame) -> DataFrame:
@@ -290,16 +341,16 @@ def language_scores(docs: DataFrame) -> DataFrame:
     rows = split(docs)
     table = saved(counts(rows.where("not held_out")), "counts")
     lex = lexicon(table)
-    p = train(rows.where("not held_out"), lex)
-    marked = scored(rows, lex, p).withColumn("row", F.monotonically_increasing_id())
-    marked = saved(marked, "scored")
+    codes = saved(coded(rows, lex).withColumn("row", F.monotonically_increasing_id()), "coded")
+    p = train(codes, lex)
+    marked = saved(scored(codes.drop("key"), p), "scored")
     rare = marked.select("row", F.explode(F.arrays_zip("h", "times")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.times").alias("times"))
     less = table.where(F.col("c") < (int(lex.count.min()) if len(lex.count) else 1 << 62)).select("h", "c")
     log = F.coalesce(F.log10(F.col("c") + F.lit(1.0)), F.lit(0.0)) * F.col("times")
     joined = rare.join(less, "h").groupBy("row").agg(F.sum(log).alias("logs"), F.sum("times").alias("n"))
     out = marked.drop("h", "times").join(joined, "row", "left")
     logs, whole = F.coalesce("logs", F.lit(0.0)), F.lit(float(np.log10(lex.n + lex.v + 1.0)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(int(lex.n)).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n_tokens") * whole).alias("base_score"), (F.col("part") + logs).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(int(lex.n)).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n_tokens") * whole).alias("base_score"), (F.col("part") + F.col("inner") + logs).alias("score"))
 
 
 def op6_log_bilinear_scores(spark, sf_dir: str) -> DataFrame:
