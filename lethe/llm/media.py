@@ -26,8 +26,8 @@ STEP, CELL, CORNERS, RADIUS = 1.25, 16, 2, 11
 BAND_BITS, BANDS = 21, 3
 #: Hamming distance that is a vote; votes that must agree, within so many pixels, radians and log scale.
 NEAR, LEAST, PIXELS, TURN, SCALING = 32, 6, 4.0, 0.35, 0.45
-#: Ids and classes, and features of queries, that may be broadcast.
-BROADCAST_ROWS, BROADCAST_FEATURES = 500_000, 1_000_000
+#: Ids and classes, and features of queries (each of them twelve rows of 24 bytes), that may be broadcast.
+BROADCAST_ROWS, BROADCAST_FEATURES = 500_000, 150_000
 
 
 def _pattern(spread: float = 9, reach: float = 14, seed: int = 9) -> np.ndarray:
@@ -201,23 +201,24 @@ def votes(found: DataFrame, asked: DataFrame, n_asked: int) -> DataFrame:
     others stream past them; else both sides are shuffled by key without their descriptors, which are fetched for what meets.
     """
     own = found.join(sized_broadcast(asked, n_asked, BROADCAST_ROWS), "media_id", "left_semi")
-    words = [F.col("d")[i].alias(f"e{i}") for i in range(4)]
-    own = saved(own.select(F.col("media_id").alias("q"), F.col("f").alias("g"), *words, F.explode(keys(F.col("d"))).alias("key")), "asked")
+    own = own.select(F.col("media_id").alias("q"), F.col("f").alias("g"), *(F.col("d")[i].alias(f"e{i}") for i in range(4)))
+    own = saved(own, "asked")
     n_own = own.count()
+    table = own.select("q", "g", F.explode(keys(F.array("e0", "e1", "e2", "e3"))).alias("key"))
     bits = sum((F.bit_count(F.col("d")[i].bitwiseXOR(F.col(f"e{i}"))) for i in range(4)), F.lit(0))
     near = (F.col("q") != F.col("media_id")) & (bits <= NEAR)
     if n_own <= BROADCAST_FEATURES:
-        rows = found.select("media_id", "f", "d", F.explode(keys(F.col("d"))).alias("key")).join(F.broadcast(own), "key").where(near)
+        rows = found.select("media_id", "f", "d", F.explode(keys(F.col("d"))).alias("key")).join(F.broadcast(table), "key").join(F.broadcast(own), ["q", "g"]).where(near)
     else:
         spread = found.select("media_id", "f", F.explode(keys(F.col("d"))).alias("key"))
-        met = spread.join(own.select("q", "g", "key"), "key").where("q <> media_id").select("q", "g", "media_id", "f").distinct()
-        rows = met.join(found.select("media_id", "f", "d"), ["media_id", "f"]).join(own.drop("key").distinct(), ["q", "g"]).where(near)
+        met = spread.join(table, "key").where("q <> media_id").select("q", "g", "media_id", "f").distinct()
+        rows = met.join(found.select("media_id", "f", "d"), ["media_id", "f"]).join(own, ["q", "g"]).where(near)
     best = saved(rows.groupBy("q", "g", "media_id").agg(F.min(F.struct(bits.alias("b"), "f")).alias("m")).select("q", "g", "media_id", "m.f"), "near")
     n_best = best.count()
     place = lambda: F.array("x", "y", "s", "a")
     best = found.select("media_id", "f", place().alias("two")).join(sized_broadcast(best, n_best, BROADCAST_FEATURES), ["media_id", "f"])
     ones = saved(found.join(sized_broadcast(asked, n_asked, BROADCAST_ROWS), "media_id", "left_semi").select(F.col("media_id").alias("q"), F.col("f").alias("g"), place().alias("one")), "places")
-    return best.join(sized_broadcast(ones, n_own // (4 * BANDS), BROADCAST_FEATURES), ["q", "g"]).select("q", "g", "media_id", "one", "two")
+    return best.join(sized_broadcast(ones, n_own, BROADCAST_FEATURES), ["q", "g"]).select("q", "g", "media_id", "one", "two")
 
 
 def copies(images: DataFrame, query) -> DataFrame:
