@@ -65,8 +65,8 @@ def leaf_budgets(rows: DataFrame, weights: tuple[Column, Column, Column], budget
     leaf = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumn("leaf_cap", F.col("tokens") * max_epochs)
     above: list[str] = []
     leaf = leaf.withColumn("root_", F.lit(0))
-    total = F.sum("tokens").over(Window.partitionBy("root_"))
-    given = leaf.select("root_", total.alias("t")).distinct().select("root_", (budget(F.col("t")) if callable(budget) else F.lit(budget)).cast("long").alias("budget"))
+    total = leaf.groupBy("root_").agg(F.sum("tokens").alias("t"))
+    given = total.select("root_", (budget(F.col("t")) if callable(budget) else F.lit(budget)).cast("long").alias("budget"))
     for level, weight in zip(LEVELS, weights, strict=True):
         keys = ["root_", *above]
         nodes = leaf.groupBy(*keys, level).agg(F.sum("leaf_cap").alias("cap")).withColumn("w", weight.cast("long")).join(given, keys)

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir`` or the context's; one of our own only where there is neither and all is one machine."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        context = spark.sparkContext
-        path = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(path)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 

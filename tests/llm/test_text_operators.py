@@ -458,6 +458,32 @@ def test_language_model(spark):
     assert lm.language_scores(_docs(spark, [])).count() == 0
 
 
+def test_probabilities_of_all_words_sum_to_one(spark, monkeypatch):
+    """Over every known word, the end mark and one unseen word of each rare class, after two contexts."""
+    monkeypatch.setattr(lm, "OWN", 20)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    docs = _docs(spark, [(i, " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(400)], k=60))) for i in range(30)])
+    table = lm.counts(docs.select("text"))
+    lex = lm.lexicon(table)
+    own, count, cls = lex.own, lex.count, lex.cls
+    assert 0 < own < len(count) and lex.v == len(count)
+    p = {k: v * 8 for k, v in lm.initial(lex).items()}
+    start = len(p["q"])
+    for one, two in ((start, start), (3, start - 1)):
+        by_class = np.exp(lm.class_scores(p, np.arange(start), np.full(start, one), np.full(start, two)))
+        spread = lex.rare_n + lex.rare_v + 1
+        known = sum(by_class[c] * ((n + 1) / spread[c] if c < lm.RARE else 1) for n, c in zip(count, cls, strict=True))
+        assert abs(known + (by_class[: lm.RARE] / spread).sum() - 1) < 1e-5
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["the", "cat", "sat", f"x{i % 9}"], k=30))) for i in range(120)]
+    shown = lambda n: sorted((r["doc_id"], r["score"]) for r in lm.language_scores(_docs(spark, rows).repartition(n)).collect())
+    assert all(abs(a[1] - b[1]) < 1e-6 * abs(a[1]) for a, b in zip(shown(1), shown(5), strict=True))
+
+
 def test_class_probabilities_sum_to_one():
     lex = lm.Lexicon(np.arange(5, dtype=np.uint64), np.arange(5)[::-1] + 1, np.zeros(5, np.int64), 5, np.ones(lm.RARE), np.ones(lm.RARE), 20, 9)
     p = lm.initial(lex)
