@@ -59,6 +59,26 @@ def sketches(docs: DataFrame, k: int = K, shingle: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>")
 
 
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, own): the full set of each class representative among ids(id), one row an id however often its document is there."""
+    wanted = saved(ids.join(classes.select(F.col("rep").alias("id"), "key1", "key2"), "id"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(sized_broadcast(wanted, wanted.count(), BROADCAST_IDS // 4), "id")
+
+    def run(batches):
+        for batch in batches:
+            id_, text, key1, key2 = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "text", "key1", "key2"))
+            for lo, hi, _, _, _, hashes, bounds in hashing.words(text):
+                own = [hashing.shingles(hashes[bounds[i] : bounds[i + 1]], shingle) for i in range(hi - lo)]
+                # a doc_id may have other texts than the one that stands for its class
+                keep = [i for i in range(hi - lo) if set_key(own[i]) == (key1[lo + i].as_py(), key2[lo + i].as_py())]
+                ends = np.concatenate([[0], np.cumsum([len(own[i]) for i in keep])]).astype(np.int32)
+                values = np.concatenate([own[i].view(np.int64) for i in keep]) if keep else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([id_.take(pa.array([lo + i for i in keep], pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "own"])
+
+    return saved(texts.mapInArrow(run, "id long, own array<long>").dropDuplicates(["id"]), "sets")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) of class representatives whose full sets reach the threshold."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"{x}s"))
@@ -67,40 +87,10 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, shing
     both = both.withColumn("u", union)
     near = both.where(F.size(F.array_intersect(F.array_intersect("as", "bs"), "u")) >= LEAST_ESTIMATE * F.size("u")).select("a", "b")
     near = saved(near, "near")
-    ids = saved(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ids")
-    wanted = sized_broadcast(ids, ids.count(), BROADCAST_IDS)
-    keys = classes.select("rep", "key1", "key2")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi")
-    texts = saved(texts, "texts")
-    held = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")).join(keys.select(F.col("rep").alias(x), F.col("key1").alias(f"k{x}1"), F.col("key2").alias(f"k{x}2")), x)
-
-    def run(batches):
-        for batch in batches:
-            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-            seen: dict[int, tuple] = {}
-
-            def sets(x):
-                """Sets of the column's texts, one by one; the class that many rows name is hashed once a batch."""
-                ids = cols[x].to_pylist()
-                for i, id_ in enumerate(ids):
-                    got = seen.get(id_) if x == "a" else None
-                    if got is None:
-                        own = [h[b[0] : b[1]] for _, _, _, _, _, h, b in hashing.words(cols[f"t{x}"].slice(i, 1))]
-                        own = hashing.shingles(own[0], shingle)
-                        got = (own, set_key(own) == (cols[f"k{x}1"][i].as_py(), cols[f"k{x}2"][i].as_py()))
-                        if x == "a":
-                            seen.clear()
-                            seen[id_] = got
-                    yield got
-
-            keep = []
-            for (one, is_a), (two, is_b) in zip(sets("a"), sets("b"), strict=True):
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(is_a and is_b and threshold[1] * shared >= threshold[0] * (len(one) + len(two) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([cols["a"].filter(mask), cols["b"].filter(mask)], ["a", "b"])
-
-    return near.join(held("a"), "a").join(held("b"), "b").mapInArrow(run, "a long, b long")
+    own = _sets(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), classes, docs, shingle)
+    held = lambda x: own.select(F.col("id").alias(x), F.col("own").alias(f"{x}s"))
+    both = near.join(held("b"), "b").join(held("a"), "a").withColumn("shared", F.size(F.array_intersect("as", "bs")))
+    return both.where(F.col("shared") * threshold[1] >= (F.size("as") + F.size("bs") - F.col("shared")) * threshold[0]).select("a", "b")
 
 
 def _across(left: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
@@ -114,21 +104,8 @@ def _across(left: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
     group = saved(left.select("rep", "c").distinct().join(linked, F.col("rep") == F.col("node")).select("rep", "c", F.col("component").alias("g")), "groups")
     sizes = group.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"), F.countDistinct("c").alias("cs")).where("cs > 1").drop("cs")
     placed = group.join(saved(sizes, "sizes"), "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = saved(placed.join(classes.select("rep", "key1", "key2"), "rep"), "placed")
-    wanted = sized_broadcast(placed, placed.count(), BROADCAST_IDS // 8)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
-
-    def sets(batches):
-        for batch in batches:
-            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-            for lo, hi, _, _, _, hashes, bounds in hashing.words(cols["text"]):
-                own = [hashing.shingles(hashes[bounds[i] : bounds[i + 1]], shingle) for i in range(hi - lo)]
-                keep = [i for i in range(hi - lo) if set_key(own[i]) == (cols["key1"][lo + i].as_py(), cols["key2"][lo + i].as_py())]
-                rows = pa.array([lo + i for i in keep], pa.int64())
-                values = pa.array([own[i].view(np.int64) for i in keep], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(cols[c].take(rows) for c in ("g", "rep", "c", "block", "blocks")), values], ["g", "rep", "c", "block", "blocks", "own"])
-
-    held = texts.mapInArrow(sets, "g long, rep long, c long, block int, blocks int, own array<long>").dropDuplicates(["rep"])
+    placed = saved(placed, "placed")
+    held = _sets(placed.select(F.col("rep").alias("id")).distinct(), classes, docs, shingle).withColumnRenamed("id", "rep").join(placed, "rep")
     cells = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def meet(table: pa.Table) -> pa.Table:
