@@ -94,11 +94,8 @@ def spliced(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def _found(text: str, terms: list) -> dict:
     hits = occurrences(text, terms)
-    return {"hits": [dict(zip(("s", "neg", "ord", "e", "label"), h, strict=True)) for h in hits], "spans": _spans(text, terms, hits)}
-
-
-def _spans(text: str, terms: list, hits: list | None = None) -> list[dict]:
-    return [{"s": s, "e": e, "label": label} for s, e, label in islands(occurrences(text, terms) if hits is None else hits)]
+    spans = [{"s": s, "e": e, "label": label} for s, e, label in islands(hits)]
+    return {"hits": [dict(zip(("s", "neg", "ord", "e", "label"), h, strict=True)) for h in hits], "spans": spans}
 
 
 def _masked(text: str, terms: list) -> dict:
@@ -140,7 +137,6 @@ def _search(work, kind: str, text: Column, terms: Column | list[tuple[int, str,
 _SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("label", pa.string())]))
 _TYPES = {
     FOUND: pa.struct([("hits", pa.list_(pa.struct([("s", pa.int32()), ("neg", pa.int32()), ("ord", pa.int32()), ("e", pa.int32()), ("label", pa.string())]))), ("spans", _SPAN)]),
-    SPANS: _SPAN,
     MASKED: pa.struct([("text", pa.string()), ("removed", pa.int32())]),
     LEFT: pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("reason", pa.string())])),
 }
@@ -153,9 +149,9 @@ def term_lists(terms: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
     return once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "label"))).alias("terms"))
 
 
-def spans(text: Column, terms: Column) -> Column:
-    """SPANS of all terms (TERM) in the text."""
-    return _search(_spans, SPANS, text, terms)
+def without(text: Column, terms: Column) -> Column:
+    """MASKED of a text by a column of terms (TERM)."""
+    return _search(_masked, MASKED, text, terms)
 
 
 def masked(text: Column, spans: Column) -> Column:

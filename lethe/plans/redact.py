@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
-from ..operators.match import leftovers, masked, redacted, spans, term_lists
+from ..operators.match import leftovers, redacted, term_lists, without
 
 
 def masked_units(units: DataFrame, lists: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def redact(units: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def output_name(file_name: Column, terms: Column, ext: Column) -> Column:
     """The name without what the terms name: labels without brackets, other signs spaces, and a suffix."""
-    base = base_name(file_name)
-    found = F.transform(spans(base, terms), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.regexp_replace(x["label"], r"[\[\]]", "").alias("label")))
-    name = F.trim(F.regexp_replace(F.regexp_replace(masked(base, found), r"[^\p{L}\p{N} ._()-]+", " "), r"\s+", " "))
+    bare = F.transform(terms, lambda t: F.struct(t["ord"].alias("ord"), t["text"].alias("text"), F.regexp_replace(t["label"], r"[\[\]]", "").alias("label")))
+    name = without(base_name(file_name), bare)["text"]
+    name = F.trim(F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N} ._()-]+", " "), r"\s+", " "))
     return F.concat(F.when(name == "", "document").otherwise(name), F.lit(" - anonymised."), ext)

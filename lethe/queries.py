@@ -154,11 +154,11 @@ def _terms_sql(rows: list[tuple[str, str]]) -> str:
     return "(VALUES " + ", ".join(f"({i}, '{t}', '{label}', '{_re2(t)}', {str(t[0].isupper() and t.isalpha()).lower()})" for i, (t, label) in enumerate(rows)) + ") t(ord, term, label, pat, strict)"
 
 
-def _hits_sql(rows: list[tuple[str, str]], source: str = "(SELECT doc_id, 0 AS unit_id, text FROM documents)") -> str:
-    """CTEs h (accepted hits), i (islands) and sp (merged spans) over units."""
+def _hits_sql(rows: list[tuple[str, str]], source: str = "(SELECT doc_id, 0 AS unit_id, text FROM documents)", terms: str | None = None) -> str:
+    """CTEs h (accepted hits), i (islands) and sp (merged spans) over units; terms is SQL joined to u instead of the rows."""
     return f"""WITH u AS {source}, m AS (
  SELECT doc_id, unit_id, text, ord, term, label, strict, unnest(regexp_extract_all(text, pat)) AS m, unnest(string_split_regex(text, pat)) AS gap, unnest(range(len(regexp_extract_all(text, pat)) + 1)) AS i
- FROM u, {_terms_sql(rows)}),
+ FROM u{terms or ", " + _terms_sql(rows)}),
 p AS (SELECT *, cast(sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, unit_id, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS s FROM m WINDOW w AS (PARTITION BY doc_id, unit_id, ord ORDER BY i)),
 h AS (SELECT doc_id, unit_id, ord, term, label, text, s, cast(s + length(m) AS INT) AS e FROM p WHERE m IS NOT NULL
  AND NOT (s > 0 AND regexp_matches(substr(text, s, 1), '[\\p{{L}}\\p{{N}}]') AND regexp_matches(substr(term, 1, 1), '[\\p{{L}}\\p{{N}}]'))
@@ -782,6 +782,20 @@ def _(spark, sf):
     return redact(units, units.select("doc_id").distinct().join(F.broadcast(rows)))[1]
 
 
+_DETECTED_TERMS = rf"""(SELECT doc_id, hit AS term, label, min(k) AS ord, regexp_matches(hit, '^\p{{Lu}}[^\s0-9@]*$') AS strict,
+ '(?i)' || CASE WHEN length(regexp_replace(hit, '[^0-9]', '', 'g')) >= 6 AND length(regexp_replace(hit, '[^0-9]', '', 'g')) * 10 >= length(regexp_replace(hit, '\s', '', 'g')) * 6
+  THEN array_to_string(list_transform(string_split(regexp_replace(hit, '[\s.-]', '', 'g'), ''), lambda c: regexp_escape(c)), '[\s.\-]?')
+  ELSE array_to_string(list_transform(string_split_regex(trim(hit), '\s+'), lambda w: regexp_escape(w)), '\s+') END AS pat FROM (
+ SELECT doc_id, 1 AS k, '[ID number]' AS label, hit FROM (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{{3}}[\s-]?[0-9]{{3}}[\s-]?[0-9]{{4}})(?:[^0-9]|$)', 1)) AS hit FROM documents))
+  WHERE substr(n, 1, 1) <> '0' AND (11 - ({_TEN_DIGIT}) % 11) % 11 = cast(substr(n, 10, 1) AS int) AND (11 - ({_TEN_DIGIT}) % 11) <> 10
+ UNION ALL SELECT doc_id, 2, '[Phone number]', unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])((?:[+]44\s?(?:[(]0[)]\s?)?[0-9]|0[0-9])(?:[\s-]?[0-9]){{8,9}}|[(]0[0-9]{{2,4}}[)]\s?[0-9]{{3,4}}[\s-]?[0-9]{{3,4}})(?:[^0-9]|$)', 1)) FROM documents
+ UNION ALL SELECT doc_id, 3, '[Email]', unnest(regexp_extract_all(text, '{_EMAIL}')) FROM documents
+ UNION ALL SELECT doc_id, 4, '[ID number]', unnest(regexp_extract_all(text, '{_NI_RE}')) FROM documents
+ UNION ALL SELECT doc_id, 5, '[Address]', unnest(list_filter(regexp_extract_all(text, '{_POST_RE}'), lambda x: x = upper(x))) FROM documents
+ UNION ALL SELECT doc_id, 6, '[ID number]', unnest(regexp_extract_all(text, '(?:^|[^0-9-])([0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})(?:[^0-9-]|$)', 1)) FROM documents
+ UNION ALL SELECT doc_id, 7, '[Date of birth]', unnest(regexp_extract_all(text, '{_DOB_RE}', 1)) FROM documents) GROUP BY doc_id, hit, label)"""
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Which documents hold personal data, how much of which type, and what they look like without it."""
     units = _units(spark, sf)
@@ -790,4 +804,5 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return match.redacted(units, match.term_lists(hit), "inner").select("doc_id", "removed", "text")
 
 
+ORACLE_SQL["flagship"] = _hits_sql([], terms=f" JOIN {_DETECTED_TERMS} USING (doc_id)") + _MASK_SQL + " SELECT doc_id, CAST(n AS INT) AS removed, text FROM k"
 QUERIES["flagship"] = flagship
