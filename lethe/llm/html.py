@@ -205,7 +205,7 @@ def _cut(rows: DataFrame, found: DataFrame, held: int) -> DataFrame:
         trees = rows.select("row", F.explode("trees").alias("t")).select("row", "t.*")
         cuts = trees.join(found, "h", "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("cuts"))
         return rows.drop("trees").join(cuts, "row", "left")
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(np.array(found.toPandas()["h"], np.int64)))
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(found.toArrow()["h"].to_numpy()))
 
     def run(batches):
         for batch in batches:

@@ -79,9 +79,9 @@ def most_frequent(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.
         least = row["least"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = table.where(F.col("c") >= least).toPandas()
-    top = top.sort_values(["c", "h"], ascending=[False, True])
-    return top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), top.cls.to_numpy(np.int64)
+    top = table.where(F.col("c") >= least).select("c", "h", "cls").toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+    c, h, cls = (x.to_numpy().astype(np.int64) for x in top.columns)
+    return h.view(np.uint64), c, cls
 
 
 class Lexicon:
@@ -240,10 +240,10 @@ def train(coded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 5) -
     for turn in range(rounds):
         now = spark.sparkContext.broadcast((p, seen))
         got = rows.where(F.col("turn") == turn).groupBy("shard").applyInArrow(_shard_pass(now, shared_lex, (seed, turn)), "part int, x array<long>")
-        mean = got.select("part", F.posexplode("x")).groupBy("part", "pos").agg((F.sum("col") / F.count("*") / UNIT).alias("x")).toPandas()
+        mean = got.select("part", F.posexplode("x")).groupBy("part", "pos").agg((F.sum("col") / F.count("*") / UNIT).alias("x")).toArrow()
         if len(mean):
-            mean = mean.sort_values(["part", "pos"])
-            p, seen = _shaped(mean.x.to_numpy(np.float64), p, seen)
+            mean = mean.sort_by([("part", "ascending"), ("pos", "ascending")])
+            p, seen = _shaped(mean["x"].to_numpy(), p, seen)
     return p
 
 

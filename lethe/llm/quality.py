@@ -72,10 +72,10 @@ def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    sums = rows.select("text", "good").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    sums = rows.select("text", "good").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.full(buckets, 0.5), np.full(buckets, 0.5)
-    raw[sums.bucket] += sums.raw
-    target[sums.bucket] += sums.target
+    raw[sums["bucket"]] += sums["raw"]
+    target[sums["bucket"]] += sums["target"]
     return np.round((np.log(target / target.sum()) - np.log(raw / raw.sum())) * UNIT).astype(np.int64)
 
 

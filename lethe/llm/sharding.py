@@ -138,8 +138,8 @@ def _numbered(rows: DataFrame, keys: list[str], order: list[str], n: int, name:
 
 def _placed(groups: DataFrame, shards: int | None, capacity: int | None) -> DataFrame:
     """(sh_group, text_crc32, shard) of groups(sh_group, text_crc32, bytes)."""
-    items = groups.groupBy("bytes").count().toPandas().sort_values("bytes", ascending=False)
-    items = list(zip(items["bytes"].tolist(), items["count"].tolist(), strict=True))
+    items = groups.groupBy("bytes").count().toArrow().sort_by([("bytes", "descending")])
+    items = list(zip(*(c.to_pylist() for c in items.columns), strict=True))
     runs = into(items, shards) if shards else best_fit_decreasing(items, capacity)[0]
     upto: dict[int, int] = {}
     placed = []
