@@ -115,3 +115,67 @@ def test_empty_tables(spark):
     assert detect(units).count() == 0 and chunks(units).count() == 0
     assert findings.summarised(units.select("doc_id", "page", F.expr("array(named_struct('s', 1, 'e', 2, 'label', 'x'))").alias("spans"))).count() == 0
     assert evaluate.gate(spark.createDataFrame([], "type string, leaked boolean")).first()["passed"]
+
+
+def test_budget_of_null_pages_and_null_days(spark):
+    t = dt.datetime(2026, 1, 1, 12)
+    rows = spark.createDataFrame([(1, t, None), (2, t, 6), (3, None, 9), (4, None, 9), (None, t, 5)], "req_id long, ts timestamp, pages long")
+    got = {r["req_id"]: r["admitted"] for r in admission.daily_budget(rows, 10).collect()}
+    assert got[1] is False and sorted((got[3], got[4])) == [False, True] and sorted((got[2], got[None])) == [False, True]
+    assert admission.daily_budget(rows.limit(0), 10).count() == 0
+
+
+def test_limits_of_the_session(spark):
+    for name, value in {"max_chunk": 12, "day_pages": 5, "per_hour": 1, "max_terms": 1, "max_file": 3}.items():
+        spark.conf.set(f"spark.lethe.{name}", str(value))
+    try:
+        t = dt.datetime(2026, 1, 1, 12)
+        rows = spark.createDataFrame([("k", t, i, 3) for i in range(5)], "key string, ts timestamp, req_id long, pages long")
+        assert sum(r["admitted"] for r in admission.rate_limited(rows).collect()) == 1
+        assert sum(r["admitted"] for r in admission.redaction_limited(rows).collect()) == 4
+        assert sum(r["admitted"] for r in admission.daily_budget(rows).collect()) == 1
+        units = spark.createDataFrame([(1, 0, "aaaa bbbb"), (1, 1, "cccc dddd"), (None, 0, "e"), (None, 1, None)], "doc_id long, unit_id int, text string")
+        assert sorted(r["text"] for r in chunks(units).collect()) == ["aaaa bbbb", "cccc dddd", "e"]
+        raw = spark.createDataFrame([(1, '[{"text":"Ann"},{"text":"Bo"}]')], "doc_id long, terms_json string")
+        assert [r["text"] for r in terms.approved_terms(raw).collect()] == ["Ann"]
+        from lethe.plans.extract import extract
+
+        files = spark.createDataFrame([(1, "a", bytearray(b"%PDF-1.4"))], "doc_id long, file_name string, content binary")
+        assert [r["error"] for r in extract(files)[1].collect()] == ["too_large"]
+    finally:
+        for name in ("max_chunk", "day_pages", "per_hour", "max_terms", "max_file"):
+            spark.conf.unset(f"spark.lethe.{name}")
+
+
+def test_chunks_against_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(1)
+    line = lambda: "".join(rng.choices("ab ", k=rng.choice([0, 3, 9, 25, 60])))
+    rows = [(d, u, "\n".join(line() for _ in range(rng.randint(0, 6)))) for d in range(12) for u in range(rng.randint(1, 8))]
+    want = []
+    for d in range(12):
+        parts = []
+        for _, _, text in sorted(r for r in rows if r[0] == d):
+            cur, out = "", []
+            for piece in text.split("\n") if len(text) > 20 else [text]:
+                if len(piece) > 20:
+                    out += [cur] * bool(cur) + [piece[i : i + 20] for i in range(0, len(piece), 20)]
+                    cur = ""
+                elif len(cur) + len(piece) + 1 > 20:
+                    out += [cur] * bool(cur)
+                    cur = piece
+                else:
+                    cur = cur + "\n" + piece if cur else piece
+            parts += [p for p in [*out, cur] if p.strip()]
+        cur, n = "", 0
+        for p in [*parts, None]:
+            if p is not None and cur and len(cur) + len(p) + 2 <= 20:
+                cur += "\n\n" + p
+                continue
+            if cur:
+                want.append((d, n, cur))
+                n += 1
+            cur = p or ""
+    got = chunks(spark.createDataFrame(rows, "doc_id long, unit_id int, text string").repartition(5), 20)
+    assert sorted(map(tuple, got.collect())) == want
