@@ -25,9 +25,9 @@ from .work import saved, sized_broadcast
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Words with their own class per fifth root of the training tokens, classes of the others, width of the vectors.
-OWN, RARE, DIM = 76, 256, 32
+OWN, RARE, DIM = 76, 256, 24
 #: Rounds of averaging, tokens of a shard, passes over it, noise samples a batch, tokens a batch, learning rate.
-ROUNDS, SHARD, PASSES, NOISE, BATCH, RATE = 3, 1 << 22, 2, 256, 4096, 0.1
+ROUNDS, SHARD, PASSES, NOISE, BATCH, RATE = 3, 1 << 22, 1, 128, 2048, 0.1
 #: Fixed-point unit of averaged parameters, so that a sum does not depend on its order.
 UNIT = 1 << 24
 #: Words whose counts tasks hold; counts of the others are joined.
