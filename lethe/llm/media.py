@@ -22,11 +22,11 @@ from .work import parts, saved, sized_broadcast
 
 #: Step between scales, side of a grid's cell and corners in one at a scale, distance of corners from the edge.
 STEP, CELL, CORNERS, RADIUS = 1.25, 16, 2, 11
-#: Bits of a band of the table and bands in each 64 bits of a descriptor.
-BAND_BITS, BANDS = 21, 3
+#: Bits of a band of the table and number of bands.
+BAND_BITS, BANDS = 28, 9
 #: Hamming distance that is a vote; votes that must agree, within so many pixels, radians and log scale.
-NEAR, LEAST, PIXELS, TURN, SCALING = 32, 6, 4.0, 0.35, 0.45
-#: Ids and classes, and features of queries (each of them twelve rows of 24 bytes), that may be broadcast.
+NEAR, LEAST, PIXELS, TURN, SCALING = 32, 5, 4.0, 0.35, 0.45
+#: Ids and classes, and features of queries (each of them nine rows of 24 bytes), that may be broadcast.
 BROADCAST_ROWS, BROADCAST_FEATURES = 500_000, 150_000
 
 
@@ -34,13 +34,33 @@ def _pattern(spread: float = 9, reach: float = 14, seed: int = 9) -> np.ndarray:
     """256 pairs of places to compare, mostly across the direction of the patch, along which brightness rises by its very choice."""
     pairs = np.clip(np.random.default_rng(seed).normal(0, spread, (4096, 2, 2)), -reach, reach)
     along, across = np.abs(pairs[:, 0] - pairs[:, 1]).T
-    return pairs[(along <= 0.4 * across) & (across > 2)][:256]
+    return _dealt(pairs[(along <= 0.4 * across) & (across > 2)][:256])
+
+
+def _dealt(pairs: np.ndarray, width: float = 6) -> np.ndarray:
+    """The comparisons in an order by which those of a band say different things.
+
+    How alike two comparisons are is their covariance on a smooth picture (Gaussian, of the given width); each band takes in turn
+    what is least like what it has. Bands are counted from the lowest bit of each 64, where the last of 64 comparisons is.
+    """
+    near = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(2) / (2 * width**2))
+    one, two = pairs[:, 0], pairs[:, 1]
+    like = near(one, one) - near(one, two) - near(two, one) + near(two, two)
+    like = np.abs(like / np.sqrt(np.outer(np.diagonal(like), np.diagonal(like))))
+    left, bands = list(range(len(pairs))), [[] for _ in range(BANDS)]
+    for _ in range(BAND_BITS):
+        for band in bands:
+            worst = like[np.ix_(left, band)].max(1) if band else np.zeros(len(left))
+            band.append(left.pop(int(np.argmin(worst))))
+    order = np.array([*sum(bands, []), *left])
+    return pairs[order].reshape(4, 64, 2, 2)[:, ::-1].reshape(256, 2, 2)
 
 
 #: Directions that the pattern is turned to, the places of each in whole pixels, and how far they reach.
 TURNS = 64
 _AT = 2 * np.pi * np.arange(TURNS)[:, None, None] / TURNS
-_X, _Y = (np.rint(a * _pattern()[None, ..., 0] + b * _pattern()[None, ..., 1]).astype(np.int32) for a, b in ((np.cos(_AT), -np.sin(_AT)), (np.sin(_AT), np.cos(_AT))))
+_TESTS = _pattern()
+_X, _Y = (np.rint(a * _TESTS[None, ..., 0] + b * _TESTS[None, ..., 1]).astype(np.int32) for a, b in ((np.cos(_AT), -np.sin(_AT)), (np.sin(_AT), np.cos(_AT))))
 REACH = int(max(np.abs(_X).max(), np.abs(_Y).max()))
 FEATURE = "media_id long, f int, x float, y float, s float, a float, d array<long>"
 #: Pixels that are described at once, and votes that one step of the geometric check holds against all others.
@@ -166,8 +186,15 @@ def described(images: DataFrame) -> DataFrame:
 
 def keys(d: Column) -> Column:
     """The bands of a descriptor, each with its place."""
-    band = lambda i, j: F.shiftrightunsigned(d[i], BAND_BITS * j).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) + F.lit((i * BANDS + j) << BAND_BITS)
-    return F.array(*(band(i, j) for i in range(4) for j in range(BANDS)))
+
+    def band(n: int) -> Column:
+        i, low = divmod(n * BAND_BITS, 64)
+        bits = F.shiftrightunsigned(d[i], low)
+        if low + BAND_BITS > 64:
+            bits = bits.bitwiseOR(F.shiftleft(d[i + 1], 64 - low))
+        return bits.bitwiseAND(F.lit((1 << BAND_BITS) - 1)) + F.lit(n << BAND_BITS)
+
+    return F.array(*(band(n) for n in range(BANDS)))
 
 
 def consensus(one: np.ndarray, two: np.ndarray) -> int:
