@@ -24,8 +24,8 @@ from . import hashing
 from .work import saved, sized_broadcast
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
-#: Words with their own class per fifth root of the training tokens, classes of the others, width of the vectors.
-OWN, RARE, DIM = 76, 256, 24
+#: Words with their own class per tenth root of the training tokens, classes of the others, width of the vectors.
+OWN, RARE, DIM = 320, 256, 24
 #: Rounds of averaging, tokens of a shard, passes over it, noise samples a batch, tokens a batch, learning rate.
 ROUNDS, SHARD, PASSES, NOISE, BATCH, RATE = 3, 1 << 22, 1, 128, 2048, 0.1
 #: Fixed-point unit of averaged parameters, so that a sum does not depend on its order.
@@ -111,7 +111,7 @@ def lexicon(table: DataFrame) -> Lexicon:
     """From the saved counts; the driver gets HELD words and one row a rare class. Not all of HELD words have vectors."""
     n, v = (x or 0 for x in table.agg(F.sum("c"), F.count("*")).first())
     hashes, held, cls = most_frequent(table, HELD)
-    own = min(round(OWN * max(n, 1) ** 0.2), len(hashes))
+    own = min(round(OWN * max(n, 1) ** 0.1), len(hashes))
     rare_n, rare_v = np.zeros(RARE), np.zeros(RARE)
     for row in table.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         rare_n[row["cls"]], rare_v[row["cls"]] = row["n"], row["v"]
