@@ -1,117 +1,45 @@
 """Finding, merging and masking the occurrences of terms.
 
 A document's terms are one array joined to its text units by doc_id, or one list for all units, which then travels with
-the function. A unit is searched for all its terms at once in Arrow batches: nothing is multiplied out, nothing is shuffled
-but the join on doc_id, and the time is that of one search a term, whatever is found. There is no limit to
+the function. A unit is searched for all its terms at once in Arrow batches, long lists by an automaton: nothing is multiplied
+out, nothing is shuffled but the join on doc_id, and the time grows with the text and not with the number of terms. There is no limit to
 a document's terms: a refusal must know all of them. The search of one string is also what Word files are searched with.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import SPACE
 from ..functions.text import trimmed
+from .search import Searcher, islands, searcher, spliced
 
 TERM = "array<struct<ord:int,text:string,label:string>>"
 SPANS = "array<struct<s:int,e:int,label:string>>"
 FOUND = "struct<hits:array<struct<s:int,neg:int,ord:int,e:int,label:string>>,spans:array<struct<s:int,e:int,label:string>>>"
 MASKED = "struct<text:string,removed:int>"
 LEFT = "array<struct<text:string,label:string,reason:string>>"
-WHITE = f"[{SPACE}]"
-#: Letters that other than ASCII ones equal without regard to case.
-_FOLDS = re.compile("[İıſK]")
-
 
-@lru_cache(maxsize=1 << 14)
-def _compiled(term: str) -> tuple[re.Pattern, str, bool, bool, bool] | None:
-    """(expression, a part every match holds, whether a letter or digit begins and ends it, whether it must be capital); None if blank.
 
-    Any white space between words; in numbers at most one separator between digits.
-    """
-    raw = re.sub(rf"^{WHITE}+|{WHITE}+$", "", term)
-    plain = unicodedata.normalize("NFKC", raw)
-    words = [w for w in re.split(f"{WHITE}+", plain) if w]
-    if not words:
-        return None
-    digits, solid = len(re.findall("[0-9]", plain)), len(re.sub(WHITE, "", plain))
-    if digits >= 6 and digits * 10 >= solid * 6:
-        chars = re.sub(rf"[{SPACE}.\-]", "", plain)
-        shape, part = rf"[{SPACE}.\-]?".join(map(re.escape, chars)), ""
-    else:
-        shape, part = f"{WHITE}+".join(map(re.escape, words)), max(words, key=len)
-    strict = unicodedata.category(raw[0]) == "Lu" and not re.search(rf"[{SPACE}0-9@]", raw)
-    return re.compile(shape, re.I), part.lower() if part.isascii() else "", raw[0].isalnum(), raw[-1].isalnum(), strict
-
-
-def occurrences(text: str, terms: list[tuple[int, str, str]]) -> list[tuple[int, int, int, int, str]]:
-    """(start, minus length, ord, end, label) of every occurrence of the terms (ord, text, label), by start, then longest, then ord.
-
-    Matches of a term are left-most and do not overlap; one refused for its neighbours or its case has still used its text.
-    """
-    out, lower = [], None if _FOLDS.search(text) else text.lower()
-    for order, term, label in terms:
-        ready = _compiled(term)
-        if ready is None or (lower is not None and ready[1] not in lower):
-            continue
-        expression, _, starts, ends, strict = ready
-        for m in expression.finditer(text):
-            s, e = m.span()
-            if s == e or (starts and s and text[s - 1].isalnum()) or (ends and text[e : e + 1].isalnum()):
-                continue
-            if not strict or unicodedata.category(text[s]) == "Lu":
-                out.append((s, s - e, order, e, label))
-    return sorted(out)
-
-
-def islands(hits: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, label): overlapping hits (not touching ones) are one span under the label of the longest."""
-    out: list[list] = []
-    for s, neg, _, e, label in hits:
-        if out and s < out[-1][1]:
-            if neg < out[-1][3]:
-                out[-1][2:] = [label, neg]
-            out[-1][1] = max(e, out[-1][1])
-        else:
-            out.append([s, e, label, neg])
-    return [(s, e, label) for s, e, label, _ in out]
-
-
-def spliced(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with every span replaced by its label."""
-    out, at = [], 0
-    for s, e, label in spans:
-        out += [text[at:s], label]
-        at = e
-    return "".join([*out, text[at:]])
-
-
-def _found(text: str, terms: list) -> dict:
-    hits = occurrences(text, terms)
+def _found(text: str, terms: Searcher) -> dict:
+    hits = terms.occurrences(text)
     spans = [{"s": s, "e": e, "label": label} for s, e, label in islands(hits)]
     return {"hits": [dict(zip(("s", "neg", "ord", "e", "label"), h, strict=True)) for h in hits], "spans": spans}
 
 
-def _masked(text: str, terms: list) -> dict:
-    spans = islands(occurrences(text, terms))
+def _masked(text: str, terms: Searcher) -> dict:
+    spans = islands(terms.occurrences(text))
     return {"text": spliced(text, spans), "removed": len(spans)}
 
 
-def _left(text: str, terms: list) -> list[dict]:
+def _left(text: str, terms: Searcher) -> list[dict]:
     """The terms that occur, each tested alone, and whether a label of the list holds them itself."""
-    still = {h[2] for h in occurrences(text, terms)}
-    out = []
-    for order, term, label in terms:
-        if order in still:
-            expression = _compiled(term)[0]
-            out.append({"text": term, "label": label, "reason": "label_collision" if any(expression.search(x) for _, _, x in terms) else "present"})
-    return out
+    still = {h[2] for h in terms.occurrences(text)}
+    if not still:
+        return []
+    own = terms.within_labels()
+    return [{"text": term, "label": label, "reason": "label_collision" if order in own else "present"} for order, term, label in terms.terms if order in still]
 
 
 def _search(work, kind: str, text: Column, terms: Column | list[tuple[int, str, str]]) -> Column:
@@ -119,15 +47,16 @@ def _search(work, kind: str, text: Column, terms: Column | list[tuple[int, str,
     if isinstance(terms, list):
 
         def same(texts: pa.Array) -> pa.Array:
-            return pa.array([work(t or "", terms) for t in texts.to_pylist()], _TYPES[kind])
+            ready = searcher(tuple(terms))
+            return pa.array([work(t or "", ready) for t in texts.to_pylist()], _TYPES[kind])
 
         return F.arrow_udf(same, kind)(text)
 
     def own(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out, last, ready = [], None, []
+        out, last, ready = [], None, None
         for t, given in zip(texts.to_pylist(), lists, strict=True):
             if last is None or not given.equals(last):
-                last, ready = given, [(x["ord"], x["text"], x["label"]) for x in given.as_py() or []]
+                last, ready = given, searcher(tuple((x["ord"], x["text"], x["label"]) for x in given.as_py() or []))
             out.append(work(t or "", ready))
         return pa.array(out, _TYPES[kind])
 
@@ -166,8 +95,10 @@ def _listed(units: DataFrame, lists: DataFrame, how: str) -> tuple[DataFrame, Co
     """units with what is searched for: the column of the join on doc_id, or the one list for all, which has no doc_id."""
     if "doc_id" in lists.columns:
         return units.join(lists, "doc_id", how), F.col("terms")
-    row = lists.first()
-    return units, [(t["ord"], t["text"], t["label"]) for t in (row["terms"] if row else [])]
+    rows = lists.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("lists without doc_id must be one list")
+    return units, [(t["ord"], t["text"], t["label"]) for t in (rows[0]["terms"] if rows else [])]
 
 
 def matched(units: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
