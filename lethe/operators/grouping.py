@@ -1,8 +1,8 @@
 """Grouping the written forms of one entity.
 
-The exact rules depend on the order of a document's candidates and on groups changing while they are compared, so a
-document's candidates, a bounded list, are grouped in one function per document. ``merge_fits`` is
-the order-free half of it as a join.
+The exact rules depend on the order of a document's candidates and on groups changing while they are compared, so the
+candidates are sorted by document and order and read in one pass, which carries the groups of one document as its state and never
+a list of its candidates. Whether a name lies within another is asked of an index of words. ``merge_fits`` is the order-free half of it as a join.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FAMILY_WORDS, NOT_NAMES, PARTICLES, TITLES
-from .findings import numbered, occurring
+from .findings import labels, occurring
 from .match import redacted, term_lists
 
 
@@ -39,51 +39,110 @@ def _words(texts: list[str]) -> tuple[set[str], set[str]]:
     return {w for w in all_words if len(w) > 1}, {w for w in all_words if len(w) == 1}
 
 
-def group_document(rows: list[tuple[str, str, str]]) -> list[tuple[str, list[str]]]:
-    """(type, texts) groups of (type, text, refers_to) in order; a merged-away group keeps its place with no texts."""
-    groups: list[tuple[str, list[str]]] = []
-    known: dict[str, int] = {}
-    for kind, text, refers in rows:
+class Groups:
+    """The groups of one document, made of its candidates in order."""
+
+    def __init__(self) -> None:
+        self._groups: list[tuple[str, dict[str, None]]] = []
+        self._known: dict[str, int] = {}
+
+    def add(self, kind: str, text: str, refers: str) -> None:
+        """A candidate joins the group of its text or else of the key of what it refers to, or begins one."""
         norm = _norm(text)
         if kind == "PERSON" and norm in FAMILY_WORDS:
-            continue
+            return
         key = _key(kind, refers)
-        at = known.get(norm, known.get(key))
+        at = self._known.get(norm, self._known.get(key))
         if at is None:
-            at = len(groups)
-            groups.append((kind, []))
-        if text not in groups[at][1]:
-            groups[at][1].append(text)
-        known.setdefault(norm, at)
-        known.setdefault(key, at)
-    people = [g for g in groups if g[0] == "PERSON"]
-    for mine in people:
-        full, initials = _words(mine[1])
-        if not full:
-            continue
-        fits = []
-        for other in people:
-            theirs, _ = _words(other[1])
-            if other is not mine and other[1] and len(theirs) > len(full) and full <= theirs and all(any(w.startswith(i) for w in theirs) for i in initials):
-                fits.append(other)
-        if len(fits) == 1:
-            fits[0][1].extend(t for t in mine[1] if t not in fits[0][1])
-            mine[1].clear()
-    return groups
+            at = len(self._groups)
+            self._groups.append((kind, {}))
+        self._groups[at][1].setdefault(text)
+        self._known.setdefault(norm, at)
+        self._known.setdefault(key, at)
+
+    def _merge(self) -> None:
+        """In order, each person whose words lie within those of exactly one other joins them.
+
+        Candidates are who holds the rarest of the words; two that fit are enough to know. A group that is joined gains no full
+        words, so the index changes only where one is merged away.
+        """
+        people = [i for i, (kind, _) in enumerate(self._groups) if kind == "PERSON"]
+        full, initials, first, holders = {}, {}, {}, {}
+        for i in people:
+            full[i], initials[i] = _words(list(self._groups[i][1]))
+            first[i] = {w[0] for w in full[i]}
+            for w in full[i]:
+                holders.setdefault(w, {})[i] = None
+        for i in people:
+            if not full[i]:
+                continue
+            fits = []
+            for j in min((holders[w] for w in sorted(full[i])), key=len):
+                if j != i and len(full[j]) > len(full[i]) and full[i] <= full[j] and initials[i] <= first[j]:
+                    fits.append(j)
+                    if len(fits) > 1:
+                        break
+            if len(fits) == 1:
+                into = fits[0]
+                self._groups[into][1].update(self._groups[i][1])
+                self._groups[i][1].clear()
+                initials[into] = initials[into] | initials[i]
+                for w in full[i]:
+                    del holders[w][i]
+
+    def result(self) -> list[tuple[str, list[str]]]:
+        """(type, texts) in order; a merged-away group keeps its place with no texts."""
+        self._merge()
+        return [(kind, list(texts)) for kind, texts in self._groups]
 
 
-def grouped(candidates: DataFrame) -> DataFrame:
-    """GROUPS with label of candidates(doc_id, ord, type, text, refers_to); empty groups go and leave their order number."""
+def group_document(rows: list[tuple[str, str, str]]) -> list[tuple[str, list[str]]]:
+    """(type, texts) groups of (type, text, refers_to) in order; a merged-away group keeps its place with no texts."""
+    groups = Groups()
+    for row in rows:
+        groups.add(*row)
+    return groups.result()
 
-    shape = pa.list_(pa.struct([("group_ord", pa.int32()), ("type", pa.string()), ("texts", pa.list_(pa.string()))]))
 
-    def run(lists: pa.Array) -> pa.Array:
-        each = ([(x["type"], x["text"], x["refers_to"]) for x in rows] for rows in lists.to_pylist())
-        return pa.array([[{"group_ord": i, "type": kind, "texts": texts} for i, (kind, texts) in enumerate(group_document(rows)) if texts] for rows in each], shape)
+#: Groups that are passed on at a time.
+_OUT = 4_096
 
-    listed = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "text", "refers_to"))).alias("c"))
-    groups = listed.select("doc_id", F.explode(F.arrow_udf(run, "array<struct<group_ord:int,type:string,texts:array<string>>>")("c")).alias("g"))
-    return numbered(groups.select("doc_id", "g.*"))
+
+def grouped(candidates: DataFrame) -> DataFrame:
+    """(doc_id, group_ord, type, texts, label) of candidates(doc_id, ord, type, text, refers_to).
+
+    Empty groups go and leave their order number. Rows without text are no candidates; a null type or refers_to is OTHER or the text.
+    """
+    rows = candidates.where("text is not null").select("doc_id", "ord", F.coalesce("type", F.lit("OTHER")).alias("type"), "text", F.coalesce("refers_to", "text").alias("refers_to"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        def out(doc, groups, ids):
+            numbers: dict[str, int] = {}
+            found = []
+            for i, (type_, texts) in enumerate(groups.result()):
+                if texts:
+                    numbers[type_] = numbers.get(type_, 0) + 1
+                    found.append((doc, i, type_, texts, numbers[type_]))
+            for lo in range(0, len(found), _OUT):
+                part = found[lo : lo + _OUT]
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in part], t) for j, t in enumerate((ids, pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32()))], ["doc_id", "group_ord", "type", "texts", "number"])
+
+        doc, groups, ids = None, None, None
+        for batch in batches:
+            ids = batch.schema.field(0).type
+            for own, type_, text, refers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "type", "text", "refers_to")), strict=True):
+                if groups is None or own != doc:
+                    if groups is not None:
+                        yield from out(doc, groups, ids)
+                    doc, groups = own, Groups()
+                groups.add(type_, text, refers)
+        if groups is not None:
+            yield from out(doc, groups, ids)
+
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord", "type", "text", "refers_to")
+    found = ordered.mapInArrow(run, f"doc_id {kind}, group_ord int, type string, texts array<string>, number int")
+    return found.select("doc_id", "group_ord", "type", "texts", labels(F.col("type"), F.col("number")).alias("label"))
 
 
 def canonical_groups(candidates: DataFrame, key) -> DataFrame:
@@ -94,11 +153,21 @@ def canonical_groups(candidates: DataFrame, key) -> DataFrame:
 
 
 def merge_fits(names: DataFrame) -> DataFrame:
-    """(doc_id, a, b): name a whose words are strictly within those of exactly one other name b of names(doc_id, name, words)."""
-    one, two = (names.select("doc_id", F.col("name").alias(x), F.col("words").alias(f"{x}w")) for x in "ab")
-    pairs = one.join(two, "doc_id").where((F.size("aw") < F.size("bw")) & (F.size("aw") > 0) & (F.size(F.array_except("aw", "bw")) == 0))
-    n = F.count("*").over(Window.partitionBy("doc_id", "a"))
-    return pairs.withColumn("n", n).where("n = 1").select("doc_id", "a", "b")
+    """(doc_id, a, b): name a whose words are strictly within those of exactly one other name b of names(doc_id, name, words).
+
+    Each name looks only among the holders of the word of its own that the fewest names of the document hold: an
+    equi-join with inverted lists, in which sizes decide before the words are compared.
+    """
+    sets = names.select("doc_id", "name", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
+    held = sets.select("doc_id", F.explode("words").alias("word"), "name", "words")
+    rare = held.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    ranked = held.join(rare, ["doc_id", "word"]).groupBy("doc_id", "name", "words").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count("*").alias("n"))
+    # a row of names that is there several times counts as often
+    asks = ranked.select("doc_id", "word", F.col("name").alias("a"), F.col("words").alias("aw"), F.expr("cast(n / size(words) as int)").alias("times"))
+    lists = held.select("doc_id", "word", F.col("name").alias("b"), F.col("words").alias("bw"))
+    pairs = asks.join(lists, ["doc_id", "word"]).where((F.size("aw") < F.size("bw")) & (F.size(F.array_except("aw", "bw")) == 0))
+    single = pairs.groupBy("doc_id", "a").agg(F.sum("times").alias("n"), F.min("b").alias("b")).where("n = 1")
+    return single.select("doc_id", "a", "b")
 
 
 def with_name_parts(groups: DataFrame, units: DataFrame) -> DataFrame:

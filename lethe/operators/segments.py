@@ -14,14 +14,27 @@ def placed(segments: DataFrame) -> DataFrame:
     return segments.withColumn("e", upto).withColumn("s", F.col("e") - F.length("text"))
 
 
+#: Characters of a run that are joined at a time.
+STRETCH = 4_096
+
+
+def _stretches(rows: DataFrame, s: str, e: str, name: str) -> DataFrame:
+    """rows once for every stretch of their run that [s, e) reaches into, as ``name``; an empty one lies where it stands."""
+    last = F.greatest(F.col(e) - 1, F.col(s))
+    of = lambda at: F.floor(at / STRETCH).cast("int")
+    return rows.withColumn(name, F.explode(F.sequence(of(F.col(s)), of(last))))
+
+
 def overlaps(segments: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, run_id, seg_ord, text, a, z, label, first): spans(doc_id, run_id, s, e, label) met with placed segments.
 
-    a and z are the span's part within the segment; first marks the earliest segment that a span touches.
+    a and z are the span's part within the segment; first marks the earliest segment that a span touches. An interval join by
+    stretches: a run of any length is many keys, and a pair is kept in the stretch in which the later of the two begins.
     """
-    own = spans.select("doc_id", "run_id", F.col("s").alias("ps"), F.col("e").alias("pe"), "label")
-    both = segments.join(own, ["doc_id", "run_id"]).where((F.col("e") > F.col("ps")) & (F.col("s") < F.col("pe")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "run_id", "ps").orderBy("seg_ord"))
+    own = spans.select("doc_id", "run_id", F.col("s").alias("ps"), F.col("e").alias("pe"), "label").where("pe > ps")
+    both = _stretches(segments, "s", "e", "stretch").join(_stretches(own, "ps", "pe", "stretch"), ["doc_id", "run_id", "stretch"])
+    both = both.where((F.col("e") > F.col("ps")) & (F.col("s") < F.col("pe")) & (F.col("stretch") == F.floor(F.greatest("s", "ps") / STRETCH)))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "run_id", "ps", "pe", "label").orderBy("seg_ord"))
     low, high = F.greatest(F.col("ps") - F.col("s"), F.lit(0)), F.least(F.col("pe"), F.col("e")) - F.col("s")
     return both.select("doc_id", "run_id", "seg_ord", "text", low.alias("a"), high.alias("z"), "label", (nth == 1).alias("first"))
 

@@ -55,7 +55,8 @@ def selected_terms(findings: DataFrame, ticked: DataFrame, manual: DataFrame) ->
     findings(doc_id, label, texts), ticked(doc_id, label), manual(doc_id, ord, text) of 2 to max_term characters.
     """
     own = findings.join(ticked, ["doc_id", "label"], "left_semi").select("doc_id", "label", F.posexplode("texts").alias("i", "text"))
-    own = own.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("label", "i")) - 1).select("doc_id", "ord", "text", "label")
+    own = own.select("doc_id", F.lit(0).alias("later"), "label", "i", "text")
     added = manual.withColumn("text", trimmed(F.col("text"))).where(F.length("text").between(2, Limits.of(findings.sparkSession).max_term))
-    added = added.join(own, ["doc_id", "text"], "left_anti").select("doc_id", (F.col("ord") + 1_000_000).alias("ord"), "text", F.lit(REDACTED).alias("label"))
-    return own.unionByName(added)
+    added = added.join(own, ["doc_id", "text"], "left_anti").select("doc_id", F.lit(1).alias("later"), F.lit(REDACTED).alias("label"), F.col("ord").cast("int").alias("i"), "text")
+    place = Window.partitionBy("doc_id").orderBy("later", "label", "i", "text")
+    return own.unionByName(added).select("doc_id", (F.row_number().over(place) - 1).alias("ord"), "text", "label")
