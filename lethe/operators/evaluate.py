@@ -60,3 +60,8 @@ def cost(calls: DataFrame, prompt_price: float, completion_price: float) -> Data
     """(calls, prompt, completion, cost) of calls(prompt, completion) tokens, prices a million."""
     sums = calls.agg(F.count("*").alias("calls"), F.coalesce(F.sum("prompt"), F.lit(0)).alias("prompt"), F.coalesce(F.sum("completion"), F.lit(0)).alias("completion"))
     return sums.withColumn("cost", (F.col("prompt") * prompt_price + F.col("completion") * completion_price) / 1_000_000)
+
+
+def percent(share: Column) -> Column:
+    """A share as it is shown: a percentage of one decimal, n/a without one."""
+    return F.coalesce(F.format_string("%.1f%%", share * 100), F.lit("n/a"))

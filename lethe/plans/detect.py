@@ -13,6 +13,7 @@ from ..operators.findings import findings, verified
 from ..operators.grouping import grouped, with_name_parts
 from ..operators.match import matched, redacted, term_lists
 from ..operators.terms import worth_looking_for
+from ..sources.shared import staged
 
 
 def candidates(*sources: DataFrame) -> DataFrame:
@@ -42,18 +43,25 @@ def detect(units: DataFrame, detector: Callable[[DataFrame], DataFrame] | None =
     """(doc_id, label, type, texts, count, pages): who and what is named in units(doc_id, unit_id, page, text), and where.
 
     detector maps chunks(doc_id, chunk_id, text) to (doc_id, ord, type, text, refers_to); with ``recall`` it reads the chunks
-    a second time with all that was found masked. Its candidates are kept only where the text has them.
+    a second time with all that was found masked. Its candidates are kept only where the text has them. Every stage is written
+    to the shared folder, so patterns are searched once and the detector sees each chunk once a pass.
     """
-    patterns = pattern_candidates(units)
+    patterns = staged(pattern_candidates(units), "patterns")
     if detector is None:
-        groups = grouped(candidates(patterns))
+        groups = grouped(patterns)
     else:
-        fit = lambda rows: verified(rows.where(worth_looking_for(F.col("type"), F.col("text"), as_of_year)), units)
-        parts = chunks(units)
-        model = fit(detector(parts))
+
+        def asked(parts: DataFrame, name: str) -> DataFrame:
+            found = detector(parts).select("doc_id", "ord", "type", "text", "refers_to")
+            rows = staged(found.where(worth_looking_for(F.col("type"), F.col("text"), as_of_year)), f"{name}-candidates")
+            return staged(verified(rows, units), name)
+
+        parts = staged(chunks(units), "chunks")
+        model = asked(parts, "model")
         groups = grouped(candidates(model, patterns))
         if recall:
+            groups = staged(groups, "first-groups")
             hidden = redacted(parts, term_lists(group_terms(groups))).select("doc_id", "chunk_id", "text")
-            groups = grouped(candidates(model, patterns, fit(detector(hidden))))
-    groups = with_name_parts(groups, units)
+            groups = grouped(candidates(model, patterns, asked(staged(hidden, "hidden"), "recall")))
+    groups = staged(with_name_parts(staged(groups, "groups"), units), "named-groups")
     return findings(groups, matched(units, term_lists(group_terms(groups))))

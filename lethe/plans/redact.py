@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name
 from ..operators.match import leftovers, redacted, term_lists, without
+from ..sources.shared import staged
 
 
 def masked_units(units: DataFrame, lists: DataFrame) -> DataFrame:
@@ -18,11 +19,11 @@ def redact(units: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(result, refused) by terms(doc_id, ord, text, label).
 
     The masked text is searched again for every term; a document in which one is found is in ``refused``
-    (doc_id, text, label, reason) and none of its units in ``result``.
+    (doc_id, text, label, reason) and none of its units in ``result``. Lists, masked units and refusals are written once.
     """
-    lists = term_lists(terms)
-    out = masked_units(units, lists)
-    refused = leftovers(out, lists)
+    lists = staged(term_lists(terms), "lists")
+    out = staged(masked_units(units, lists), "masked")
+    refused = staged(leftovers(out, lists), "refused")
     return out.join(refused.select("doc_id").distinct(), "doc_id", "left_anti"), refused
 
 

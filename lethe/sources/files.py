@@ -17,8 +17,11 @@ CANDIDATE_SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, modificationTime, length and content of files up to the size limit, which is checked before they are read."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= Limits.of(spark).max_file)
+    """path, modificationTime, length, content and error of all files: one above the size limit is not read, and has no content but the error too_large."""
+    found, most = spark.read.format("binaryFile").load(path), Limits.of(spark).max_file
+    plain = ["path", "modificationTime", "length"]
+    fits = found.where(F.col("length") <= most).select(*plain, "content", F.lit(None).cast("string").alias("error"))
+    return fits.unionByName(found.where(F.col("length") > most).select(*plain, F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("error")))
 
 
 def sniffed(content: Column) -> Column:
@@ -40,9 +43,10 @@ def sniffed(content: Column) -> Column:
     )
 
 
-def file_name_units(files: DataFrame, unit_id: int = 1_000_000) -> DataFrame:
+def file_name_units(files: DataFrame, unit_id: Column | int = 0) -> DataFrame:
     """(doc_id, unit_id, page, text): the name of files(doc_id, file_name) as a text unit without a page."""
-    return files.select("doc_id", F.lit(unit_id).alias("unit_id"), F.lit(None).cast("int").alias("page"), base_name(F.col("file_name")).alias("text"))
+    at = F.lit(unit_id) if isinstance(unit_id, int) else unit_id
+    return files.select("doc_id", at.alias("unit_id"), F.lit(None).cast("int").alias("page"), base_name(F.col("file_name")).alias("text"))
 
 
 def text_units(table: DataFrame, doc_id: str, unit_id: Column, page: Column, text: str) -> DataFrame:

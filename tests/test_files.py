@@ -114,7 +114,7 @@ def test_extract_sorts_out_what_it_cannot_read(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame([(1, "in/Margaret Jo.docx", _file()), (2, "a.pdf", bytearray(b"%PDF-1.4")), (3, "b", bytearray(b"??")), (4, "c.docx", bytearray(b"PK\x03\x04"))], "doc_id long, file_name string, content binary")
-    units, refused = extract(rows)
+    units, refused, _ = extract(rows)
     assert [(r["page"], r["text"]) for r in units.orderBy("unit_id").collect()][-1] == (None, "Margaret Jo")
     assert {r["doc_id"]: r["error"] for r in refused.collect()} == {2: "no_reader", 3: "unknown_type", 4: "damaged"}
     meta = doc_meta(units.select("doc_id").distinct().withColumn("kind", F.lit("docx")), units).first()
