@@ -6,9 +6,10 @@ read alike; ``_derived`` runs it in Spark, and the oracle contains the same text
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.fixed import GENERIC, NOT_NAMES, TITLES, TYPES
@@ -18,9 +19,11 @@ from .functions.text import canonical, folded, is_name_shaped, is_recent_date, i
 from .operators import admission, evaluate, findings, grouping, match, rects, segments, terms
 from .operators.chunk import chunks
 from .plans.detect import detect, group_terms, pattern_candidates
+from .plans.evaluate import evaluate as evaluated
 from .plans.extract import extract
 from .plans.redact import masked_units, output_name, redact
 from .sources import docx, events, files
+from .sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -219,6 +222,27 @@ def _(spark, sf):
     return rows.select("doc_id", "label", "count", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
+_PAIRS = r"""SELECT DISTINCT w1 || ' ' || w2 AS term, w1, w2 FROM (SELECT unnest(list_zip(w[:-2], w[2:])) AS p, p[1] AS w1, p[2] AS w2 FROM (SELECT regexp_extract_all(lower(text), '\S+') AS w FROM benchmark))
+ WHERE regexp_full_match(w1, '[a-z]+') AND regexp_full_match(w2, '[a-z]+') AND NOT starts_with(w1, w2)"""
+
+
+@_query(
+    "benchmark_word_pairs",
+    # two words are met where the text has them as whole words with nothing but white space between
+    rf"""WITH t AS ({_PAIRS}), k AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+|\s+|[^\p{{L}}\p{{N}}\s]+') AS x FROM documents),
+g AS (SELECT doc_id, unnest(list_zip(x[:-3], x[2:-2], x[3:])) AS z FROM k WHERE len(x) > 2)
+SELECT doc_id, term, count(*) AS n FROM g JOIN t ON z[1] = w1 AND z[3] = w2 AND trim(z[2], chr(32) || chr(9) || chr(10) || chr(13)) = '' GROUP BY doc_id, term""",
+)
+def _(spark, sf):
+    """Every pair of neighbouring words of the benchmark in every document: one long list for all units."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))
+    pairs = _table(spark, sf, "benchmark").select(F.posexplode(words).alias("i", "w1"), words.alias("w")).select("w1", F.get("w", F.col("i") + 1).alias("w2"))
+    pairs = pairs.where("w1 RLIKE '^[a-z]+$' AND w2 RLIKE '^[a-z]+$' AND NOT startswith(w1, w2)").select(F.concat_ws(" ", "w1", "w2").alias("text")).distinct()
+    lists = match.term_lists(pairs.select(F.lit(0).alias("ord"), "text", F.col("text").alias("label")), ())
+    found = match.matched(_units(spark, sf), lists).select("doc_id", F.explode("hits").alias("h"))
+    return found.groupBy("doc_id", F.col("h.label").alias("term")).agg(F.count("*").alias("n"))
+
+
 _CANDIDATES = "SELECT doc_id, cast(i AS int) AS ord, CASE WHEN i = 0 THEN concat('Nobody ', cast(doc_id AS string)) ELSE trim(substr(text, 1 + 7 * cast(i AS int), 12)) END AS text FROM (SELECT doc_id, text, explode(sequence(0, 3)) AS i FROM {documents})"
 _CANDIDATES_SQL = "SELECT doc_id, cast(i AS int) AS ord, CASE WHEN i = 0 THEN concat('Nobody ', cast(doc_id AS string)) ELSE trim(substr(text, 1 + 7 * i, 12)) END AS text FROM (SELECT doc_id, text, unnest([0, 1, 2, 3]) AS i FROM documents)"
 _WORDS_ONLY = "regexp_matches(text, '^[A-Za-z]+ [A-Za-z]+$')"
@@ -344,10 +368,15 @@ def _(spark, sf):
 _HEADS = [("255044462D312E37", "pdf", None), ("0D0A255044462D", "pdf", None), ("504B03041400", "docx", None), ("D0CF11E0A1B1", None, "old_word"), ("89504E470D0A", "image", None), ("FFD8FFE0", "image", None), ("524946460000000057454250", "image", None), ("000000186674797068656963", None, "heic"), ("47494638", None, "unknown_type"), ("", None, "unknown_type")]
 
 
-@_query("type_sniff", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {repr(k) if k else 'NULL'}, {repr(e) if e else 'NULL'})" for i, (_, k, e) in enumerate(_HEADS)) + ") t(id, kind, error)")
+def _by_head(i: int) -> str:
+    return "CASE doc_id % 10 " + " ".join(f"WHEN {n} THEN {repr(h[i]) if h[i] is not None else 'NULL'}" for n, h in enumerate(_HEADS)) + " END"
+
+
+@_query("type_sniff", f"SELECT doc_id, {_by_head(1)} AS kind, {_by_head(2)} AS error FROM documents")
 def _(spark, sf):
-    rows = spark.createDataFrame([(i, bytes.fromhex(h)) for i, (h, _, _) in enumerate(_HEADS)], "id int, content binary")
-    return rows.withColumn("x", files.sniffed(F.col("content"))).select("id", "x.kind", "x.error")
+    """Files that begin with one of ten heads and go on with a document's text, after a first line so that the text decides nothing."""
+    rows = _table(spark, sf, "documents").select("doc_id", F.concat(F.unhex(F.expr(_by_head(0))), F.encode(F.concat(F.repeat(F.lit("\n"), 1024), "text"), "UTF-8")).alias("content"))
+    return rows.withColumn("x", files.sniffed(F.col("content"))).select("doc_id", "x.kind", "x.error")
 
 
 # --- groups and labels ---------------------------------------------------------------------------------------
@@ -561,6 +590,19 @@ def _(spark, sf):
     return evaluate.keep_rate(keep, evaluate.lost(keep, _units(spark, sf)))
 
 
+@_query(
+    "eval_percentages",
+    _LEAKS_SQL
+    + """, o AS (SELECT doc_id FROM documents WHERE lang = 'en'), b AS (SELECT coalesce(type, 'ALL') AS type, count(*) AS n, count(*) FILTER (WHERE NOT leaked) AS good FROM lk SEMI JOIN o USING (doc_id) GROUP BY ROLLUP (type))
+SELECT type, n AS total, printf('%.1f%%', round(CAST(good AS DOUBLE) / n, 4) * 100) AS removed FROM b""",
+)
+def _(spark, sf):
+    """Shares by type as they are shown, over the documents of one language only."""
+    only = _table(spark, sf, "documents").where("lang = 'en'")
+    tables = evaluated(_truth(spark, sf), _derived(spark, sf, _KEEP, "documents"), _units(spark, sf), only=only)
+    return tables["by_type"].select("type", "total", evaluate.percent(F.col("removed_share")).alias("removed")).orderBy("type")
+
+
 @_query("model_cost", "SELECT count(*) AS calls, CAST(sum(l_partkey) AS BIGINT) AS prompt, CAST(sum(l_linenumber) AS BIGINT) AS completion, (sum(l_partkey) * 0.5 + sum(l_linenumber) * 2.0) / 1000000 AS cost FROM lineitem")
 def _(spark, sf):
     calls = _table(spark, sf, "lineitem").select(F.col("l_partkey").alias("prompt"), F.col("l_linenumber").alias("completion"))
@@ -579,6 +621,25 @@ def _(spark, sf):
     return admission.rate_limited(rows, 1, 2).select(F.col("req_id").alias("event_id"), "admitted")
 
 
+@_query(
+    "session_limits",
+    """SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 1 AND row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 1 AS admitted,
+ row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 4 AS result_admitted FROM events""",
+)
+def _(spark, sf):
+    """The limits of the session: one document an hour and a day, and four times as many results an hour."""
+    rows = _table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("req_id"))
+    held = {name: spark.conf.get(f"spark.lethe.{name}", None) for name in ("per_hour", "per_day")}
+    try:
+        for name in held:
+            spark.conf.set(f"spark.lethe.{name}", "1")
+        sent, results = admission.rate_limited(rows), admission.redaction_limited(rows)
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(f"spark.lethe.{name}") if value is None else spark.conf.set(f"spark.lethe.{name}", value)
+    return sent.join(results.select("req_id", F.col("admitted").alias("result_admitted")), "req_id").select(F.col("req_id").alias("event_id"), "admitted", "result_admitted")
+
+
 @_query(
     "daily_budget",
     """WITH r AS (SELECT event_id, CAST(ts AS DATE) AS day, ts, 1 + event_id % 50 AS pages FROM events),
@@ -668,11 +729,41 @@ def _(spark, sf):
 @_query(
     "extracted_units",
     rf"""SELECT c_custkey AS doc_id, 0 AS unit_id, 'Client ' || c_name || ' of' || chr(9) || c_mktsegment || '.' AS text FROM customer
-UNION ALL SELECT c_custkey, 1000000, c_name || '#' FROM customer""",
+UNION ALL SELECT c_custkey, 1, c_name || '#' FROM customer""",
 )
 def _(spark, sf):
     made = _word_files(spark, sf).select("doc_id", F.concat(F.lit("in/"), "name", F.lit("#.docx")).alias("file_name"), "content")
-    return extract(made)[0].select("doc_id", "unit_id", "text")
+    return extract(made).units.select("doc_id", "unit_id", "text")
+
+
+_TYPES_PART = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+
+
+@_query("unpacked_sizes", f"SELECT c_custkey AS doc_id, 'docx' AS kind, {len(_TYPES_PART)} + length('<w:document xmlns:w=\"http://schemas.openxmlformats.org/wordprocessingml/2006/main\"><w:body><w:p><w:r><w:t>Client </w:t></w:r><w:r><w:t> of</w:t><w:tab/><w:t>.</w:t></w:r></w:p></w:body></w:document>' || c_name || c_mktsegment) AS unpacked FROM customer")
+def _(spark, sf):
+    made = _word_files(spark, sf).select("doc_id", F.lit("a.docx").alias("file_name"), "content")
+    return extract(made).meta.select("doc_id", "kind", "unpacked")
+
+
+def _pages(content):
+    """A reader of plain pages: a line each after the first, and whether it looks like a scan's."""
+    lines = F.slice(F.split(F.decode(content, "UTF-8"), "\n"), F.lit(2), F.lit(1 << 30))
+    return F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("page"), x.alias("text"), needs_ocr(x).alias("ocr")))
+
+
+@_query(
+    "document_meta",
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, 'pdf' AS kind, CAST(CASE WHEN error IS NULL THEN len(l) END AS INT) AS pages, CAST(CASE WHEN error IS NULL THEN len(list_filter(l, lambda x: length(regexp_replace(x, '\s', '', 'g')) < 25 OR (length(x) - length(replace(x, '�', ''))) * 10 > length(regexp_replace(x, '\s', '', 'g')))) END AS INT) AS ocr_pages, error
+FROM (SELECT *, CASE WHEN len(l) > 50 THEN 'too_many_pages' WHEN len(list_filter(l, lambda x: regexp_matches(x, '\S'))) = 0 THEN 'no_text' END AS error FROM l)""",
+)
+def _(spark, sf):
+    """Every document as a file of pages: how many, how many of them scans, or why it is refused."""
+    content = F.encode(F.concat(F.lit("%PDF-\n"), "text"), "UTF-8")
+    out = extract(_table(spark, sf, "documents").select("doc_id", F.lit("a.pdf").alias("file_name"), content.alias("content")), {"pdf": _pages})
+    read = out.meta.select("doc_id", "kind", "pages", "ocr_pages", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("int")
+    return read.unionByName(out.refused.select("doc_id", F.lit("pdf").alias("kind"), none.alias("pages"), none.alias("ocr_pages"), "error"))
 
 
 @_query("progress_events", f"WITH {_CHUNKS_SQL} SELECT '{{\"doc_id\":' || doc_id || ',\"type\":\"progress\",\"stage\":\"detecting\",\"done\":0,\"total\":' || 2 * count(*) || '}}' AS value FROM c GROUP BY doc_id")
@@ -746,7 +837,27 @@ def _(spark, sf):
     blank = _word_files(spark, sf, blank=True).select("doc_id", F.lit("a.docx").alias("file_name"), "content")
     key = F.col("doc_id") % 4
     content = F.when(key == 0, F.col("content")).when(key == 1, F.encode(F.lit("plain"), "UTF-8")).when(key == 2, F.encode(F.lit("%PDF-1.7"), "UTF-8")).otherwise(F.substring("content", 1, 40))
-    return extract(blank.withColumn("content", content))[1]
+    return extract(blank.withColumn("content", content)).refused
+
+
+@_query(
+    "job_log",
+    """SELECT unnest(['rows', 'no_text', 'unknown_type', 'no_reader', 'damaged']) AS measure,
+ unnest([count(*), count(*) FILTER (WHERE c_custkey % 4 = 0), count(*) FILTER (WHERE c_custkey % 4 = 1), count(*) FILTER (WHERE c_custkey % 4 = 2), count(*) FILTER (WHERE c_custkey % 4 = 3)]) AS n FROM customer""",
+)
+def _(spark, sf):
+    """What a job over the refused files leaves in its log: counts by error class."""
+    log = Observation()
+    events.logged(QUERIES["refused_files"](spark, sf), log, F.col("error")).write.format("noop").mode("overwrite").save()
+    return events.log_rows(spark, log).where("n > 0")
+
+
+@_query("event_log", f"WITH {_CHUNKS_SQL} SELECT doc_id, 'progress' AS type, 'detecting' AS stage, 0 AS done, CAST(2 * count(*) AS INT) AS total FROM c GROUP BY doc_id")
+def _(spark, sf):
+    """The opening events of all documents, written as an event log and read again."""
+    path = f"{shared_dir(spark)}/lethe-events-{uuid.uuid4().hex}"
+    events.write_events(events.progress_events(chunks(_lines(spark, sf)), recall=True), path)
+    return events.read_events(spark, path).select("doc_id", "type", "stage", "done", "total")
 
 
 _DETECTED_SQL = f"""WITH u AS ({_sql(_ALL, "customer")}), h AS (
@@ -763,6 +874,30 @@ def _(spark, sf):
     return detect(units).select("doc_id", "label", "type", F.array_join("texts", "|").alias("texts"), "count")
 
 
+_MEETING = f"SELECT c_custkey AS doc_id, 0 AS unit_id, concat('Client Anna ', {_SEGMENT}, ' met Bob ', {_SEGMENT}, '. Bob ', {_SEGMENT}, ' left. Mail ', cast(c_custkey AS string), '@example.org') AS text FROM {{customer}}"
+
+
+def _first_seen(parts: DataFrame) -> DataFrame:
+    """A detector that names who comes first in a chunk, where that is masked the next and a place, and always somebody who is not there."""
+    anna, bob = (F.regexp_extract("text", f"{name} [A-Z][a-z]+", 0) for name in ("Anna", "Bob"))
+    place = F.regexp_extract("text", "Bob ([A-Z][a-z]+)", 1)
+    item = lambda i, kind, text: F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("type"), text.alias("text"), text.alias("refers_to"))
+    found = F.when(anna != "", F.array(item(0, "PERSON", anna), item(1, "PERSON", F.lit("Nobody Here")))).otherwise(F.array(item(0, "PERSON", bob), item(1, "PERSON", F.lit("Nobody Here")), item(2, "PLACE", place)))
+    return parts.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*").where("text <> ''")
+
+
+@_query(
+    "detected_with_recall",
+    f"""WITH s AS (SELECT c_custkey AS doc_id, {_SEGMENT} AS x FROM customer)
+SELECT doc_id, '[Person 1]' AS label, 'PERSON' AS type, 'Anna ' || x AS texts, 1 AS count FROM s UNION ALL SELECT doc_id, '[Person 2]', 'PERSON', 'Bob ' || x, 2 FROM s
+UNION ALL SELECT doc_id, '[Email 1]', 'EMAIL', doc_id || '@example.org', 1 FROM s""",
+)
+def _(spark, sf):
+    """Patterns and a detector in two passes; the place, which is only seen inside names, has no occurrence of its own and is no finding."""
+    units = _derived(spark, sf, _MEETING, "customer").withColumn("page", F.lit(1))
+    return detect(units, _first_seen).select("doc_id", "label", "type", F.array_join("texts", "|").alias("texts"), F.col("count").cast("int").alias("count"))
+
+
 @_query(
     "redacted_units",
     _DETECTED_SQL + """, r AS (SELECT doc_id, list_prepend({'t': any_value(text), 'h': '', 'l': ''}, list({'t': '', 'h': hit, 'l': label} ORDER BY k)) AS x, count(*) AS removed FROM f JOIN u USING (doc_id) GROUP BY doc_id)
