@@ -46,6 +46,41 @@ def _hash(parts) -> bytes:
     return blake2b(b"\x00".join(parts), digest_size=8).digest()
 
 
+_OPENS = re.compile(r"<(?:!--|[a-zA-Z/!?])")
+_INSIDE = re.compile(r">|=\s*([\"'])")
+_RAW = re.compile(r"<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?![^\s/>])", re.I)
+
+
+def closed(source: str) -> str:
+    """The source up to the first tag, comment or script that never closes, found in one pass, so that no parser looks for their ends again and again."""
+    at, low = 0, source.lower()
+    low = low if len(low) == len(source) else None  # a letter that is longer in lower case
+    while m := _OPENS.search(source, at):
+        start = m.start()
+        if m.group() == "<!--":
+            end = source.find("-->", start + 2)
+            at = end + 3
+        elif source[start + 1] in "!?":
+            end = source.find(">", start)
+            at = end + 1
+        else:
+            at, end = m.end(), -1
+            while end < 0 and (n := _INSIDE.search(source, at)):
+                if n.group() == ">":
+                    end = n.start()
+                    at = end + 1
+                elif (at := source.find(n.group(1), n.end()) + 1) == 0:
+                    break
+            raw = _RAW.match(source, start) if end >= 0 and source[end - 1] != "/" else None
+            if raw:
+                name = raw.group(1).lower()
+                end = low.find(f"</{name}", at) if low is not None else next((x.start() for x in re.compile(f"</{name}", re.I).finditer(source, at)), -1)
+                at = end
+        if end < 0:
+            return source[:start]
+    return source
+
+
 class Page(HTMLParser):
     """Collects blocks (text, said, main) and subtrees (hash, main, first block, block after the last)."""
 
@@ -57,7 +92,7 @@ class Page(HTMLParser):
         self.count: dict[str, int] = {}
         self.text: list[str] = []
         self.links, self.link, self.plain, self.names = 0, False, False, names
-        self.feed(re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", source))
+        self.feed(closed(source))
         self.close()
         while self.open:
             self._end()
@@ -199,6 +234,17 @@ def templates(rows: DataFrame) -> DataFrame:
     return often.where(F.when(F.col("main"), bound(INNER_PAGES, INNER_SHARE)).otherwise(bound(LEAST_PAGES, LEAST_SHARE))).select("h")
 
 
+def _merged(first: np.ndarray, last: np.ndarray) -> list[dict]:
+    """The ranges of blocks that ranges cover, without those inside others, so that many nested templates are one cut."""
+    out: list[dict] = []
+    for i in np.lexsort((-last, first)):
+        if out and first[i] <= out[-1]["z"]:
+            out[-1]["z"] = max(out[-1]["z"], int(last[i]))
+        else:
+            out.append({"a": int(first[i]), "z": int(last[i])})
+    return out
+
+
 def _cut(rows: DataFrame, found: DataFrame, held: int) -> DataFrame:
     """rows with cuts, the ranges of blocks that are template: looked up in the tasks while they may hold all templates, else by joins."""
     if found.count() > held:
@@ -216,8 +262,10 @@ def _cut(rows: DataFrame, found: DataFrame, held: int) -> DataFrame:
             hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
             ends = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(trees.value_lengths().to_numpy(zero_copy_only=False))])]
             chosen = flat.filter(pa.array(hit))
-            cuts = pa.StructArray.from_arrays([chosen.field("a"), chosen.field("z")], ["a", "z"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 1 :], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cuts)], [*(n for n in batch.schema.names if n != "trees"), "cuts"])
+            first, last = (chosen.field(c).to_numpy(zero_copy_only=False) for c in "az")
+            cuts = [_merged(first[lo:hi], last[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 1 :], pa.array(cuts, kind)], [*(n for n in batch.schema.names if n != "trees"), "cuts"])
 
     fields = [f for f in rows.schema.fields if f.name != "trees"]
     spans = T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("z", T.IntegerType())])))
