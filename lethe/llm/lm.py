@@ -24,16 +24,16 @@ from . import hashing
 from .work import saved, sized_broadcast
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
-#: Words with their own class per tenth root of the training tokens, classes of the others, width of the vectors.
-OWN, RARE, DIM = 320, 256, 24
+#: Words with their own class per fifth root of the training tokens, classes of the others, width of the vectors.
+OWN, RARE, DIM = 76, 256, 32
 #: Rounds of averaging, tokens of a shard, passes over it, noise samples a batch, tokens a batch, learning rate.
-ROUNDS, SHARD, PASSES, NOISE, BATCH, RATE = 3, 1 << 22, 1, 128, 2048, 0.1
+ROUNDS, SHARD, PASSES, NOISE, BATCH, RATE = 3, 1 << 22, 2, 256, 4096, 0.1
 #: Fixed-point unit of averaged parameters, so that a sum does not depend on its order.
 UNIT = 1 << 24
 #: Words whose counts tasks hold; counts of the others are joined.
 HELD = 1 << 16
-#: Contexts whose sums a task keeps.
-CONTEXTS = 1 << 21
+#: Classes up to which a task holds the sums of all contexts (their square, 4 bytes each); beyond, contexts whose sums it keeps.
+TABLED, CONTEXTS = 8_192, 1 << 21
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def lexicon(table: DataFrame) -> Lexicon:
     """From the saved counts; the driver gets HELD words and one row a rare class. Not all of HELD words have vectors."""
     n, v = (x or 0 for x in table.agg(F.sum("c"), F.count("*")).first())
     hashes, held, cls = most_frequent(table, HELD)
-    own = min(round(OWN * max(n, 1) ** 0.1), len(hashes))
+    own = min(round(OWN * max(n, 1) ** 0.2), len(hashes))
     rare_n, rare_v = np.zeros(RARE), np.zeros(RARE)
     for row in table.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         rare_n[row["cls"]], rare_v[row["cls"]] = row["n"], row["v"]
@@ -247,34 +247,71 @@ def train(coded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 5) -
     return p
 
 
-def class_scores(p, cls, one, two, block: int = 2048, cache: dict | None = None):
-    """Normalised log probability of each token's class: one matrix product for the distinct contexts of a block of them.
+def context_sums(p, block: int = 512) -> np.ndarray:
+    """log of the sum over all classes of the exponential of their score, by class one and class two before.
 
-    cache keeps the sums of the contexts seen so far, of which there are at most the square of the classes.
+    A class's exponential is the product of a number of the one and a number of the other, so the sums of all contexts are
+    one product of two matrices, here gathered over blocks of classes. A sum too small for single precision is NaN.
+    """
+    m, q, b = len(p["q"]), p["q"], p["b"]
+    top1, top2 = np.full(m + 1, -np.inf, np.float32), np.full(m + 1, -np.inf, np.float32)
+    for lo in range(0, m, block):
+        part = q[lo : lo + block].T
+        np.maximum(top1, (p["r1"] @ part).max(1), out=top1)
+        np.maximum(top2, (p["r2"] @ part + b[lo : lo + block]).max(1), out=top2)
+    sums = np.zeros((m + 1, m + 1), np.float32)
+    for lo in range(0, m, block):
+        part = q[lo : lo + block].T
+        one = np.exp(p["r1"] @ part - top1[:, None])
+        two = np.exp(p["r2"] @ part + b[lo : lo + block] - top2[:, None])
+        for at in range(0, m + 1, 1024):
+            sums[at : at + 1024] += one[at : at + 1024] @ two.T
+    sums[sums < 1e-30] = np.nan
+    np.log(sums, out=sums)
+    sums += top1[:, None]
+    sums += top2
+    return sums
+
+
+def _context_sums(p, one, two, block: int = 2048) -> np.ndarray:
+    """The same for single contexts, a score a class."""
+    fresh = np.empty(len(one))
+    for lo in range(0, len(one), block):
+        s = (p["r1"][one[lo : lo + block]] + p["r2"][two[lo : lo + block]]) @ p["q"].T + p["b"]
+        top = s.max(1)
+        fresh[lo : lo + block] = np.log(np.exp(s - top[:, None]).sum(1, dtype=np.float64)) + top
+    return fresh
+
+
+def class_scores(p, cls, one, two, cache: dict | None = None):
+    """Normalised log probability of each token's class.
+
+    cache keeps the sums of contexts for further calls: a table of all of them, or where classes are too many those seen so far.
     """
     m = len(p["q"])
     cache = {} if cache is None else cache
-    known = cache.get("keys", np.zeros(0, np.int64))
-    key, where = np.unique(one * (m + 1) + two, return_inverse=True)
-    ctx = p["r1"][key // (m + 1)] + p["r2"][key % (m + 1)]
-    at = np.searchsorted(known, key)
-    new = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != key) if len(known) else np.arange(len(key))
-    fresh, part = np.empty(len(new)), np.empty((min(block, len(new)), m), np.float32)
-    for lo in range(0, len(new), block):
-        s = np.matmul(ctx[new[lo : lo + block]], p["q"].T, out=part[: min(block, len(new) - lo)])
-        s += p["b"]
-        top = s.max(1)
-        s -= top[:, None]
-        np.exp(s, out=s)
-        fresh[lo : lo + block] = np.log(s.sum(1, dtype=np.float64)) + top
-    cache["sums"] = np.insert(cache.get("sums", np.zeros(0)), at[new], fresh)
-    cache["keys"] = known = np.insert(known, at[new], key[new])
-    norm = cache["sums"][np.searchsorted(known, key)]
+    if m <= TABLED:
+        if "sums" not in cache:
+            cache["sums"] = context_sums(p)
+        norm = cache["sums"][one, two].astype(np.float64)
+        small = np.flatnonzero(np.isnan(norm))
+        norm[small] = _context_sums(p, one[small], two[small])
+    else:
+        known = cache.get("keys", np.zeros(0, np.int64))
+        if len(known) > CONTEXTS:
+            cache.clear()
+            known = np.zeros(0, np.int64)
+        key, where = np.unique(one * (m + 1) + two, return_inverse=True)
+        at = np.searchsorted(known, key)
+        new = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != key) if len(known) else np.arange(len(key))
+        cache["sums"] = np.insert(cache.get("sums", np.zeros(0)), at[new], _context_sums(p, key[new] // (m + 1), key[new] % (m + 1)))
+        cache["keys"] = known = np.insert(known, at[new], key[new])
+        norm = cache["sums"][np.searchsorted(known, key)][where]
     dot = np.empty(len(cls), np.float64)
     for lo in range(0, len(cls), 1 << 16):
         sl = slice(lo, lo + (1 << 16))
-        dot[sl] = np.einsum("ij,ij->i", ctx[where[sl]], p["q"][cls[sl]])
-    return dot + p["b"][cls] - norm[where]
+        dot[sl] = np.einsum("ij,ij->i", p["r1"][one[sl]] + p["r2"][two[sl]], p["q"][cls[sl]])
+    return dot + p["b"][cls] - norm
 
 
 def coded(rows: DataFrame, lex: Lexicon) -> DataFrame:
@@ -308,19 +345,17 @@ def coded(rows: DataFrame, lex: Lexicon) -> DataFrame:
 
 def scored(coded: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
     """coded with ``part``, the sum of the model's class scores, instead of its classes."""
-    shared = coded.sparkSession.sparkContext.broadcast(p)
+    shared = coded.sparkSession.sparkContext.broadcast((p, {}))  # a worker's cache lives as long as what it is sent
     names = [c for c in coded.columns if c != "cls"]
 
     def run(batches):
-        p = shared.value
-        start, cache = len(p["q"]), {}
+        p, cache = shared.value
+        start = len(p["q"])
         for batch in batches:
             sums = []
             lists = batch.column(len(names))
             lengths = lists.value_lengths().to_numpy()
             for cls, one, two in _blocks(lists, start):
-                if len(cache.get("keys", ())) > CONTEXTS:
-                    cache.clear()
                 logp = class_scores(p, cls, one, two, cache=cache) / np.log(10)
                 z = len(sums) + int(np.searchsorted(np.cumsum(lengths[len(sums) :]), len(cls))) + 1
                 ends = np.concatenate([[0], np.cumsum(lengths[len(sums) : z])])
