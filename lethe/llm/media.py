@@ -26,6 +26,8 @@ STEP, CELL, CORNERS, RADIUS = 1.25, 16, 2, 11
 BAND_BITS, BANDS = 28, 9
 #: Hamming distance that is a vote; votes that must agree, within so many pixels, radians and log scale.
 NEAR, LEAST, PIXELS, TURN, SCALING = 32, 5, 4.0, 0.35, 0.45
+#: Votes that can agree with each other beyond which not every one's transform is tried.
+ENOUGH = 2_000
 #: Ids and classes, and features of queries (each of them nine rows of 24 bytes), that may be broadcast.
 BROADCAST_ROWS, BROADCAST_FEATURES = 500_000, 150_000
 
@@ -197,20 +199,44 @@ def keys(d: Column) -> Column:
     return F.array(*(band(n) for n in range(BANDS)))
 
 
+def _cells(turn: np.ndarray, scale: np.ndarray):
+    """(votes, votes of the cell and its neighbours) of every cell of turn and log scale; whoever can agree is in one of the neighbours."""
+    around = int(2 * np.pi / TURN)
+    t = np.floor((turn % (2 * np.pi)) * around / (2 * np.pi)).astype(np.int64) % around
+    cell = np.stack([t, np.floor(np.log(scale) / SCALING).astype(np.int64)], 1)
+    order = np.lexsort(cell.T)
+    first = np.flatnonzero(np.concatenate([[True], (cell[order][1:] != cell[order][:-1]).any(1)]))
+    held = {tuple(cell[rows[0]]): rows for rows in np.split(order, first[1:])}
+    for (x, y), rows in held.items():
+        beside = [held.get(((x + i) % around, y + j)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        yield rows, np.concatenate([r for r in beside if r is not None])
+
+
 def consensus(one: np.ndarray, two: np.ndarray) -> int:
-    """Most votes (rows x, y, scale, angle of the one and the other) that agree on one similarity transform."""
+    """Most votes (rows x, y, scale, angle of the one and the other) that agree with the similarity transform of one of them.
+
+    Votes are tried cell by cell of turn and scale, those first that most can agree with. Where a cell holds very many, as for
+    large copies, it is enough to have a transform with which half of all that could do agree.
+    """
     turn, scale = two[:, 3] - one[:, 3], two[:, 2] / one[:, 2]
     spots = np.unique(np.rint(one[:, :2] / 2), axis=0, return_inverse=True)[1].ravel()  # votes from one place count once
     best = 0
-    for lo in range(0, len(one), VOTES):
-        own = slice(lo, lo + VOTES)
-        cos, sin = np.cos(turn[own]) * scale[own], np.sin(turn[own]) * scale[own]
-        x = cos[:, None] * (one[None, :, 0] - one[own, 0, None]) - sin[:, None] * (one[None, :, 1] - one[own, 1, None])
-        y = sin[:, None] * (one[None, :, 0] - one[own, 0, None]) + cos[:, None] * (one[None, :, 1] - one[own, 1, None])
-        near = np.hypot(x + two[own, 0, None] - two[None, :, 0], y + two[own, 1, None] - two[None, :, 1]) <= PIXELS * np.maximum(1, two[own, 2, None])
-        near &= np.abs(np.angle(np.exp(1j * (turn[None, :] - turn[own, None])))) <= TURN
-        near &= np.abs(np.log(scale[None, :] / scale[own, None])) <= SCALING
-        best = max(best, *(len(np.unique(spots[row])) for row in near))
+    cells = [(len(np.unique(spots[near])), rows, near) for rows, near in _cells(turn, scale)]
+    for most, rows, near in sorted(cells, key=lambda c: -c[0]):
+        if most <= best:
+            break
+        step = max(1, VOTES * VOTES // len(near))
+        for lo in range(0, len(rows), step):
+            own = rows[lo : lo + step]
+            cos, sin = np.cos(turn[own]) * scale[own], np.sin(turn[own]) * scale[own]
+            dx, dy = one[None, near, 0] - one[own, 0, None], one[None, near, 1] - one[own, 1, None]
+            x, y = cos[:, None] * dx - sin[:, None] * dy, sin[:, None] * dx + cos[:, None] * dy
+            agree = np.hypot(x + two[own, 0, None] - two[None, near, 0], y + two[own, 1, None] - two[None, near, 1]) <= PIXELS * np.maximum(1, two[own, 2, None])
+            agree &= np.abs(np.angle(np.exp(1j * (turn[None, near] - turn[own, None])))) <= TURN
+            agree &= np.abs(np.log(scale[None, near] / scale[own, None])) <= SCALING
+            best = max(best, *(len(np.unique(spots[near[row]])) for row in agree))
+            if len(near) > ENOUGH and best >= max(LEAST, most / 2):
+                break
     return best
 
 
