@@ -7,7 +7,7 @@
    sketch needs to enter only the lists of its rarest half (plus one): common passages stay out of them.
 3. Within a list every member is held against the list's first class, then, where classes of one list are
    still in different components, against the members of the other components: pair by pair in short lists,
-   block by block in long ones. The similarity estimated from the sketch of the union filters the pairs, the
+   block by block in long ones, of sets of like size only. The similarity estimated from the sketch of the union filters the pairs, the
    exact similarity of the full sets decides.
 """
 
@@ -93,43 +93,86 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, shing
     return both.where(F.col("shared") * threshold[1] >= (F.size("as") + F.size("bs") - F.col("shared")) * threshold[0]).select("a", "b")
 
 
-def _across(left: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links between components within the long lists of left(v, first, rep, c), with no pair left out.
+def _cells(placed: DataFrame) -> DataFrame:
+    """placed(g, band, block, ...) once for every cell (lo, i, hi, j) in which its block meets one of its own or a neighbouring band.
 
-    Classes that long lists hold together are a group, cut into blocks of at most about BLOCK_CLASSES; every two
-    blocks of a group meet in a cell, one task's work of bounded size, which multiplies incidence matrices of
-    the full sets and returns no more links than it takes to connect the components it saw linked.
+    Sets of bands further apart cannot reach the threshold. side is 0 in the cell's first block, 1 in its second, 2 where both are one.
+    """
+    sizes = saved(placed.select("g", "band", "blocks").distinct(), "bands")
+    out = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    cells = out.select("*", F.col("band").alias("lo"), F.least("block", "other").alias("i"), F.col("band").alias("hi"), F.greatest("block", "other").alias("j"), side.alias("side"))
+    for step in (1, -1):
+        beside = sizes.select("g", (F.col("band") - step).alias("band"), F.col("blocks").alias("theirs"))
+        out = placed.join(beside, ["g", "band"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1))).drop("theirs")
+        own, their = (F.col("band"), F.col("block")), (F.col("band") + step, F.col("other"))
+        first, second = (own, their) if step > 0 else (their, own)
+        cells = cells.unionByName(out.select("*", first[0].alias("lo"), first[1].alias("i"), second[0].alias("hi"), second[1].alias("j"), F.lit(0 if step > 0 else 1).alias("side")))
+    return cells.drop("other", "blocks", "block", "band")
+
+
+def _shared(lists: pa.ListArray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many values the lists of the rows left and right have in common, by products of incidence matrices; the lists' lengths."""
+    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    _, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    common = np.flatnonzero(counts > 1)
+    at = np.full(len(counts), -1)
+    at[common] = np.arange(len(common))
+    col = at[where]
+    row, col = row[col >= 0], col[col >= 0]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(common), 2048):
+        a, b = np.searchsorted(col, [lo, lo + 2048])
+        part = np.zeros((len(lists), 2048), np.float32)
+        part[row[a:b], col[a:b] - lo] = 1
+        shared += part[left] @ part[right].T
+    return shared, sizes
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = table["side"].to_numpy()
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _across(left: DataFrame, classes: DataFrame, docs: DataFrame, k: int, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links between components within the long lists of left(v, first, rep, n, c), with no pair left out.
+
+    Classes that long lists hold together are a group. It is cut by the size of the sets into bands, of which only neighbours can hold links, and
+    these into blocks of at most about BLOCK_CLASSES; every two blocks meet in a cell, one task's work of bounded size. There
+    the sketches come first: pairs whose union of sketches is shared too little are none. Only for who is left in a cell are full sets made
+    and sent to it; a cell returns no more links than it takes to connect the components it saw linked.
     """
     linked = components(left.select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    group = saved(left.select("rep", "c").distinct().join(linked, F.col("rep") == F.col("node")).select("rep", "c", F.col("component").alias("g")), "groups")
-    sizes = group.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"), F.countDistinct("c").alias("cs")).where("cs > 1").drop("cs")
-    placed = group.join(saved(sizes, "sizes"), "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    group = left.select("rep", "n", "c").distinct().join(linked, F.col("rep") == F.col("node")).withColumnRenamed("component", "g")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(threshold[1] / threshold[0]) * 1.000001)).cast("int")
+    group = saved(group.select("rep", "c", "g", band.alias("band")), "groups")
+    mixed = group.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+    sizes = group.groupBy("g", "band").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks")).join(mixed, "g")
+    placed = group.join(saved(sizes, "sizes"), ["g", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = saved(placed, "placed")
-    held = _sets(placed.select(F.col("rep").alias("id")).distinct(), classes, docs, shingle).withColumnRenamed("id", "rep").join(placed, "rep")
-    cells = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    at = ["g", "lo", "i", "hi", "j"]
+    sketched = _cells(placed).join(classes.select("rep", "sketch"), "rep")
 
     def meet(table: pa.Table) -> pa.Table:
-        rep, comp, block = (table[c].to_numpy() for c in ("rep", "c", "block"))
-        own = table["own"].combine_chunks()
-        flat, sizes = own.flatten().to_numpy(), np.diff(own.offsets.to_numpy())
-        _, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(rep)), sizes)
-        common = np.flatnonzero(counts > 1)
-        at = np.full(len(counts), -1)
-        at[common] = np.arange(len(common))
-        col = at[where]
-        row, col = row[col >= 0], col[col >= 0]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        shared = np.zeros((len(left), len(right)), np.float32)
-        for lo in range(0, len(common), 2048):
-            a, b = np.searchsorted(col, [lo, lo + 2048])
-            part = np.zeros((len(rep), 2048), np.float32)
-            part[row[a:b], col[a:b] - lo] = 1
-            shared += part[left] @ part[right].T
-        union = sizes[left][:, None] + sizes[right][None, :] - shared
-        x, y = np.nonzero((threshold[1] * shared >= threshold[0] * union) & (comp[left][:, None] != comp[right][None, :]))
+        comp, (one, two) = table["c"].to_numpy(), _sides(table)
+        shared, sizes = _shared(table["sketch"].combine_chunks(), one, two)
+        union = np.minimum(sizes[one][:, None] + sizes[two][None, :] - shared, k)
+        x, y = np.nonzero((shared >= LEAST_ESTIMATE * union) & (comp[one][:, None] != comp[two][None, :]))
+        kept = np.union1d(one[x], two[y])
+        return table.select([*at, "rep", "c", "side"]).take(pa.array(kept, pa.int64()))
+
+    shape = "g long, lo int, i int, hi int, j int, rep long, c long, side int"
+    near = saved(sketched.select(*at, "rep", "c", "side", "sketch").groupBy(*at).applyInArrow(meet, shape), "cells")
+    held = _sets(near.select(F.col("rep").alias("id")).distinct(), classes, docs, shingle).withColumnRenamed("id", "rep").join(near, "rep")
+
+    def verify(table: pa.Table) -> pa.Table:
+        rep, comp, (one, two) = table["rep"].to_numpy(), table["c"].to_numpy(), _sides(table)
+        shared, sizes = _shared(table["own"].combine_chunks(), one, two)
+        union = sizes[one][:, None] + sizes[two][None, :] - shared
+        x, y = np.nonzero((threshold[1] * shared >= threshold[0] * union) & (comp[one][:, None] != comp[two][None, :]))
         root: dict[int, int] = {}
 
         def find(n):
@@ -138,14 +181,14 @@ def _across(left: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
             return n
 
         out = []
-        for p, q in zip(left[x], right[y], strict=True):
+        for p, q in zip(one[x], two[y], strict=True):
             a, b = find(int(comp[p])), find(int(comp[q]))
             if a != b:
                 root[a] = b
                 out.append((int(rep[p]), int(rep[q])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return cells.select("g", "i", "j", "rep", "c", "block", "own").groupBy("g", "i", "j").applyInArrow(meet, "a long, b long")
+    return held.select(*at, "rep", "c", "side", "own").groupBy(*at).applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = K, shingle: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -184,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = K, shingle: int = 5, threshold: tu
     rest = one.join(two, "v").where((F.col("arep") < F.col("brep")) & (F.col("ac") != F.col("bc")) & same("an", "bn"))
     rest = rest.select(F.col("arep").alias("a"), F.col("brep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = saved(_linked(saved(rest, "rest"), classes, docs, k, shingle, threshold), "more")
-    more = more.union(saved(_across(left.where(F.col("size") > SMALL_LIST), classes, docs, shingle, threshold), "across"))
+    more = more.union(saved(_across(left.where(F.col("size") > SMALL_LIST), classes, docs, k, shingle, threshold), "across"))
 
     # a doc_id that has several texts joins their classes
     ties = real.select("doc_id", "key1", "key2").join(classes.select("key1", "key2", "rep"), ["key1", "key2"]).where("doc_id <> rep")
