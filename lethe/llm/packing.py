@@ -76,13 +76,17 @@ def pieces(docs: DataFrame, longest: int, carry: tuple[str, ...] = ()) -> DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("total", n_tokens(F.col("text")) + 1)
     # written, so that texts are read once and a row keeps its number
     rows = saved(rows.select("doc_id", "total", F.monotonically_increasing_id().alias("row"), *(["text"] if "text" in carry else [])), "pieces")
-    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((total - 1) div {longest} as int)"))))
-    rows = rows.withColumn("start", F.col("piece").cast("long") * longest).withColumn("n_tokens", F.least(F.col("total") - F.col("start"), F.lit(longest)).cast("long"))
+    last = F.expr(f"cast((total - 1) div {longest} as int)")
+    start = F.col("piece").cast("long") * longest
     if "text" not in carry:
-        return rows.drop("total")
-    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(words, (F.col("start") + 1).cast("int"), F.lit(longest)), "")
-    return rows.withColumn("text", F.when(F.col("total") <= longest, F.col("text")).otherwise(cut)).drop("total")
+        rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+        return rows.withColumn("start", start).withColumn("n_tokens", F.least(F.col("total") - F.col("start"), F.lit(longest)).cast("long")).drop("total")
+    # a long text is split once, below the generator, and only its pieces are copied
+    words = F.when(F.col("total") > longest, F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"))
+    rows = rows.withColumn("words", words).withColumn("text", F.when(F.col("words").isNull(), F.col("text")))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(F.slice("words", i * longest + 1, F.lit(longest)), "")))
+    rows = rows.select("doc_id", "row", "total", F.posexplode(cut).alias("piece", "text"))
+    return rows.select("doc_id", "row", "piece", start.alias("start"), F.least(F.col("total") - start, F.lit(longest)).cast("long").alias("n_tokens"), "text")
 
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, costs: tuple[float, ...] | None = None, carry: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
