@@ -22,7 +22,7 @@ from .plans.detect import detect, group_terms, pattern_candidates
 from .plans.evaluate import evaluate as evaluated
 from .plans.extract import extract
 from .plans.redact import masked_units, output_name, redact
-from .sources import docx, events, files
+from .sources import documents, docx, events, files
 from .sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -726,6 +726,20 @@ def _(spark, sf):
     return docx.docx_units(out, ("removed",)).select("doc_id", "removed", "text")
 
 
+@_query("word_files_written", "SELECT c_custkey || '.docx' AS name, 'Client [Person 1] of' || chr(9) || c_mktsegment || '.' AS text FROM customer")
+def _(spark, sf):
+    """Word files written to the shared folder, read from there, redacted, written and read again."""
+    at = f"{shared_dir(spark)}/lethe-words-{uuid.uuid4().hex}"
+    made = _word_files(spark, sf)
+    documents.write_files(made.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "content"), f"{at}/in")
+    found = documents.read_files(spark, f"{at}/in").select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("doc_id"), "content")
+    names = made.select("doc_id", F.lit(0).alias("ord"), F.col("name").alias("text"), F.lit("[Person 1]").alias("label"))
+    out = docx.docx_redacted(found, names).select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "content")
+    documents.write_files(out, f"{at}/out")
+    again = documents.read_files(spark, f"{at}/out").select(F.lit(0).alias("doc_id"), "content", "name")
+    return docx.docx_units(again, ("name",)).select("name", "text")
+
+
 @_query(
     "extracted_units",
     rf"""SELECT c_custkey AS doc_id, 0 AS unit_id, 'Client ' || c_name || ' of' || chr(9) || c_mktsegment || '.' AS text FROM customer
