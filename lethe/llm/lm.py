@@ -27,9 +27,11 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Words with their own class per fifth root of the training tokens, classes of the others, width of the vectors.
 OWN, RARE, DIM = 76, 256, 32
 #: Rounds of averaging, tokens of a shard, passes over it, noise samples a batch, tokens a batch, learning rate.
-ROUNDS, SHARD, PASSES, NOISE, BATCH, RATE = 3, 1 << 22, 2, 256, 4096, 0.1
+ROUNDS, SHARD, PASSES, NOISE, BATCH, RATE = 3, 1 << 22, 1, 256, 1024, 0.15
 #: Fixed-point unit of averaged parameters, so that a sum does not depend on its order.
 UNIT = 1 << 24
+#: Shards whose states a task adds at a time.
+SUMMED = 32
 #: Words whose counts tasks hold; counts of the others are joined.
 HELD = 1 << 16
 #: Classes up to which a task holds the sums of all contexts (their square, 4 bytes each); beyond, contexts whose sums it keeps.
@@ -149,9 +151,8 @@ def _add(target, ids, grads, rate, seen):
     target[at] -= rate * total / np.sqrt(seen[at] + 1e-6)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; large negative scores give 0."""
-    np.negative(x, out=x)
+def _inverse(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place; a large x gives 0."""
     with np.errstate(over="ignore"):
         np.exp(x, out=x)
     x += 1
@@ -161,19 +162,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def train_part(p, seen, lex, stream, rng):
     """Passes of noise-contrastive estimation over blocks of (classes, one before, two before); parameters and Adagrad sums change in place."""
     cdf, log_noise = np.cumsum(lex.unigram), np.log(lex.unigram * NOISE).astype(np.float32)
-    room = np.empty((BATCH, NOISE), np.float32)
+    room, one_more = np.empty((BATCH, NOISE), np.float32), np.ones((BATCH, DIM + 1), np.float32)
+    against = np.empty((NOISE, DIM + 1), np.float32)
     for cls, one, two in stream:
         order = rng.permutation(len(cls))
         for lo in range(0, len(cls), BATCH):
             i = order[lo : lo + BATCH]
             w, a, b = cls[i], one[i], two[i]
-            ctx = p["r1"][a] + p["r2"][b]
+            wide = one_more[: len(i)]
+            ctx = np.add(p["r1"][a], p["r2"][b], out=wide[:, :DIM])
             noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(cdf) - 1)
-            good = np.einsum("ij,ij->i", ctx, p["q"][w]) + p["b"][w] - log_noise[w]
-            bad = np.matmul(ctx, p["q"][noise].T, out=room[: len(i)])
-            bad += p["b"][noise] - log_noise[noise]
-            up, down = _sigmoid(good.astype(np.float32)) - 1, _sigmoid(bad)  # d loss / d score
-            grad = up[:, None] * p["q"][w] + down @ p["q"][noise]
+            q, qn = p["q"][w], p["q"][noise]
+            # minus the scores of the noise, biases being one more column
+            np.negative(qn, out=against[:, :DIM])
+            against[:, DIM] = log_noise[noise] - p["b"][noise]
+            down = _inverse(np.matmul(wide, against.T, out=room[: len(i)]))  # d loss / d score
+            up = -_inverse(np.einsum("ij,ij->i", ctx, q) + (p["b"][w] - log_noise[w]))
+            grad = up[:, None] * q + down @ qn
             ids = np.concatenate([w, noise])
             _add(p["q"], ids, np.concatenate([up[:, None] * ctx, down.T @ ctx]), RATE, seen["q"])
             _add(p["b"], ids, np.concatenate([up, down.sum(0)]), RATE / 4, seen["b"])
@@ -217,11 +222,27 @@ def _shard_pass(now, shared_lex, seeds: tuple[int, ...]):
             train_part(own, sums, shared_lex.value, _blocks(table["cls"].combine_chunks(), len(own["q"])), rng)
         flat = np.rint(_flat(own, sums).astype(np.float64) * UNIT).astype(np.int64)
         parts = [flat[i : i + 4096] for i in range(0, len(flat), 4096)]
-        return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "x": pa.array(parts, pa.list_(pa.int64()))})
+        slot = pa.array([table["shard"][0].as_py()] * len(parts), pa.int64())
+        return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "slot": slot, "n": pa.array([1] * len(parts), pa.int64()), "x": pa.array(parts, pa.list_(pa.int64()))})
 
     return run
 
 
+def _summed(states: DataFrame, shards: int) -> DataFrame:
+    """(part, slot, n, x): the arrays x of each part summed over all shards, SUMMED at a time, as a tree."""
+
+    def add(table: pa.Table) -> pa.Table:
+        x = table["x"].combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(0)
+        return pa.table({"part": table["part"][:1], "slot": pa.array([table["slot"][0].as_py() // SUMMED], pa.int64()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "x": pa.array([x], pa.list_(pa.int64()))})
+
+    while True:
+        states = states.groupBy("part", F.floor(F.col("slot") / SUMMED).alias("of")).applyInArrow(add, states.schema)
+        shards = -(-shards // SUMMED)
+        if shards <= 1:
+            return states
+        states = saved(states, "states")
+
+
 def train(coded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 5) -> dict[str, np.ndarray]:
     """Parameters from the training rows of coded(key, row, held_out, cls). Each text is in one shard of one round.
 
@@ -239,11 +260,10 @@ def train(coded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 5) -
     rows = rows.select("key", "row", "cls", (slot % rounds).alias("turn"), F.floor(slot / rounds).alias("shard"))
     for turn in range(rounds):
         now = spark.sparkContext.broadcast((p, seen))
-        got = rows.where(F.col("turn") == turn).groupBy("shard").applyInArrow(_shard_pass(now, shared_lex, (seed, turn)), "part int, x array<long>")
-        mean = got.select("part", F.posexplode("x")).groupBy("part", "pos").agg((F.sum("col") / F.count("*") / UNIT).alias("x")).toArrow()
-        if len(mean):
-            mean = mean.sort_by([("part", "ascending"), ("pos", "ascending")])
-            p, seen = _shaped(mean["x"].to_numpy(), p, seen)
+        got = rows.where(F.col("turn") == turn).groupBy("shard").applyInArrow(_shard_pass(now, shared_lex, (seed, turn)), "part int, slot long, n long, x array<long>")
+        total = _summed(got, each).toArrow().sort_by("part")
+        if len(total):
+            p, seen = _shaped(total["x"].combine_chunks().flatten().to_numpy() / (total["n"][0].as_py() * UNIT), p, seen)
     return p
 
 
