@@ -8,6 +8,7 @@ a document's terms: a refusal must know all of them. The search of one string is
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,25 @@ MASKED = "struct<text:string,removed:int>"
 LEFT = "array<struct<text:string,label:string,reason:string>>"
 
 
-def _found(text: str, terms: Searcher) -> dict:
+def _found(text: str, terms: Searcher) -> tuple[list, list]:
     hits = terms.occurrences(text)
-    spans = [{"s": s, "e": e, "label": label} for s, e, label in islands(hits)]
-    return {"hits": [dict(zip(("s", "neg", "ord", "e", "label"), h, strict=True)) for h in hits], "spans": spans}
+    return hits, islands(hits)
+
+
+def _lists(rows: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
+    """Lists of structs from lists of tuples, made column by column."""
+    fields, flat = list(kind.value_type), [x for row in rows for x in row]
+    columns = zip(*flat) if flat else [()] * len(fields)
+    ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))
+
+
+def _made(rows: list, kind: str) -> pa.Array:
+    """The results of a batch as Arrow."""
+    if kind != FOUND:
+        return pa.array(rows, _TYPES[kind])
+    hits, spans = _TYPES[FOUND]
+    return pa.StructArray.from_arrays([_lists([r[0] for r in rows], hits.type), _lists([r[1] for r in rows], spans.type)], fields=[hits, spans])
 
 
 def _masked(text: str, terms: Searcher) -> dict:
@@ -48,7 +64,7 @@ def _search(work, kind: str, text: Column, terms: Column | list[tuple[int, str,
 
         def same(texts: pa.Array) -> pa.Array:
             ready = searcher(tuple(terms))
-            return pa.array([work(t or "", ready) for t in texts.to_pylist()], _TYPES[kind])
+            return _made([work(t or "", ready) for t in texts.to_pylist()], kind)
 
         return F.arrow_udf(same, kind)(text)
 
@@ -58,7 +74,7 @@ def _search(work, kind: str, text: Column, terms: Column | list[tuple[int, str,
             if last is None or not given.equals(last):
                 last, ready = given, searcher(tuple((x["ord"], x["text"], x["label"]) for x in given.as_py() or []))
             out.append(work(t or "", ready))
-        return pa.array(out, _TYPES[kind])
+        return _made(out, kind)
 
     return F.arrow_udf(own, kind)(text, terms)
 
