@@ -10,8 +10,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lethe.llm import html, lm, media, neardup, packing
+from lethe.llm import html, lm, media, neardup, packing, pii
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -223,3 +224,20 @@ def test_pieces_of_very_long_texts(spark):
         assert sum(n for n, _ in got[i]) == words + 1 and "".join(t for _, t in got[i]) == (text or "")
         assert all(len(WORD.findall(t)) == n for n, t in got[i][:-1])
     assert packing.pieces(df, 16).count() == packing.pieces(df, 16, ("text",)).count()
+
+
+def test_planted_terms_disclose_and_no_others_do(spark):
+    """Code words that stand beside an address in three to eight texts, in a whole table of other documents."""
+    rng = random.Random(14)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = sorted({w.lower() for r in docs.limit(300).collect() for w in re.findall(r"[A-Za-z]{3,}", r["text"])})
+    planted = []
+    for e in range(25):
+        for c in range(3 + e % 6):
+            text = rng.choices(words, k=80)
+            text[rng.randrange(40)], text[40 + rng.randrange(40)] = f"zqcode{e}", f"agent{chr(97 + e)}x@secret{e}.org"
+            planted.append((1_000_000 + 100 * e + c, " ".join(text)))
+    out = pii.found(docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))).select("doc_id", "pi_text", F.filter("pi_spans", lambda x: x["k"] == pii.KINDS.index("term")).alias("t"))
+    hits = [(r["doc_id"], r["pi_text"][t["s"] : t["e"]].lower()) for r in out.collect() for t in r["t"]]
+    right = [h for h in hits if h[0] >= 1_000_000 and h[1].startswith("zqcode")]
+    assert len(right) >= 0.9 * len(planted) and len(hits) - len(right) <= 0.02 * len(planted)
