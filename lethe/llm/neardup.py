@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .components import components
-from .work import saved, sized_broadcast
+from .work import saved, sized_broadcast, trimmed
 
 K = 64
 #: An estimate below this is 4.6 standard deviations from the threshold of 0.75 for K = 64.
@@ -56,7 +56,7 @@ def sketches(docs: DataFrame, k: int = K, shingle: int = 5) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sketch)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), lists], ["doc_id", "n_shingles", "key1", "key2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>")
 
 
 def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -76,7 +76,7 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) ->
                 values = np.concatenate([own[i].view(np.int64) for i in keep]) if keep else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([id_.take(pa.array([lo + i for i in keep], pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "own"])
 
-    return saved(texts.mapInArrow(run, "id long, own array<long>").dropDuplicates(["id"]), "sets")
+    return saved(texts.mapInArrow(trimmed(run), "id long, own array<long>").dropDuplicates(["id"]), "sets")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, shingle: int, threshold: tuple[int, int]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .work import saved, sized_broadcast
+from .work import saved, sized_broadcast, trimmed
 
 BUCKETS = 1 << 16
 #: Fixed-point unit of log weights and keys: sums are exact, whatever order they are made in.
@@ -32,15 +32,24 @@ def _grams(col: pa.Array, buckets: int):
     _, offsets = hashing.buffers(col)
     for lo, hi, data, _, _, hashes, bounds in hashing.words(col):
         data_at = offsets[lo : hi + 1] - offsets[lo]
-        d = data.astype(np.uint64)
-        tri = hashing.mix(d[:-2] << np.uint64(16) | d[1:-1] << np.uint64(8) | d[2:]) % np.uint64(buckets) if len(d) > 2 else np.zeros(0, np.uint64)
-        pair = np.where(hashes[:-1] == hashes[1:], repeat, hashing.mix(hashes[:-1] * np.uint64(3) + hashes[1:])) % np.uint64(buckets) if len(hashes) > 1 else np.zeros(0, np.uint64)
+        tri, pair = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if len(data) > 2:
+            tri = data[:-2].astype(np.uint64)
+            for more in (data[1:-1], data[2:]):
+                tri <<= np.uint64(8)
+                tri |= more
+            tri = hashing.mix(tri)
+            tri %= np.uint64(buckets)
+        if len(hashes) > 1:
+            pair = np.where(hashes[:-1] == hashes[1:], repeat, hashing.mix(hashes[:-1] * np.uint64(3) + hashes[1:]))
+            pair %= np.uint64(buckets)
+        tri, pair = tri.view(np.int64), pair.view(np.int64)
         out, sizes = [], np.zeros(hi - lo + 1, np.int64)
         for i in range(hi - lo):
             one, two = tri[data_at[i] : max(data_at[i], data_at[i + 1] - 2)], pair[bounds[i] : max(bounds[i], bounds[i + 1] - 1)]
             out += [one, two]
             sizes[i + 1] = len(one) + len(two)
-        yield lo, hi, np.concatenate(out).astype(np.int64), np.cumsum(sizes)
+        yield lo, hi, np.concatenate(out), np.cumsum(sizes)
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
@@ -72,7 +81,7 @@ def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    sums = rows.select("text", "good").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    sums = rows.select("text", "good").mapInArrow(trimmed(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.full(buckets, 0.5), np.full(buckets, 0.5)
     raw[sums["bucket"]] += sums["raw"]
     target[sums["bucket"]] += sums["target"]
@@ -101,7 +110,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(weight), pa.array(n)], [*names, "lw_", "lw_n_"])
 
     added = [T.StructField("lw_", T.LongType()), T.StructField("lw_n_", T.LongType())]
-    return plain.mapInArrow(run, T.StructType([*fields.fields, *added])).withColumn("lw_key_", F.col("lw_") + gumbel(seed, "doc_id"))
+    return plain.mapInArrow(trimmed(run), T.StructType([*fields.fields, *added])).withColumn("lw_key_", F.col("lw_") + gumbel(seed, "doc_id"))
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> tuple[int, int]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,17 @@ def parts(batches, rows: int = 256):
     for batch in batches:
         for lo in range(0, len(batch), rows):
             yield batch.slice(lo, rows)
+
+
+def trimmed(run):
+    """A function of a task's batches, after which its worker, which lives on for other tasks, gives back the memory it no longer uses."""
+
+    def all_of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every system has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return all_of
