@@ -225,9 +225,9 @@ def templates(rows: DataFrame) -> DataFrame:
     """(h): the subtrees of rows(host, article, trees) that recur on enough different pages of their host."""
     host = F.xxhash64("host").alias("host")
     trees = rows.select(host, "article", F.explode("trees").alias("t")).select("host", "article", "t.h", "t.main")
-    hosts = saved(rows.select(host, "article").distinct().groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    hosts = saved(rows.select(host, "article").distinct().groupBy("host").agg(F.count("*").alias("pages")), "hosts", rows)
     # a subtree counts once an article, nested in its like or on repeated pages
-    seen = saved(trees.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") >= LEAST_PAGES).select("h"), "seen")
+    seen = saved(trees.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") >= LEAST_PAGES).select("h"), "seen", rows)
     often = trees.join(sized_broadcast(seen, seen.count(), BROADCAST_ROWS), "h", "left_semi").distinct().groupBy("host", "h", "main").agg(F.count("*").alias("n"))
     bound = lambda least, share: (F.col("n") >= least) & (F.col("n") >= F.col("pages") * share)
     often = often.join(sized_broadcast(hosts, hosts.count(), BROADCAST_ROWS), "host")
@@ -281,7 +281,7 @@ def main_text(pages: DataFrame, names: bool = True, held: int = HELD_TEMPLATES)
     name ''. Repeated rows come back repeated, other columns are not read, an empty table gives an empty one.
     """
     rows = saved(parsed(pages, names).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    found = saved(templates(rows).distinct(), "templates")
+    found = saved(templates(rows).distinct(), "templates", rows)
     out = _cut(rows, found, held)
     cut = lambda i: F.coalesce(F.exists("cuts", lambda c: (c["a"] <= i) & (i < c["z"])), F.lit(False))
     out = out.withColumn("left", F.filter("blocks", lambda b, i: ~cut(i)))

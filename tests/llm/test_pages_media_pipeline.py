@@ -1,5 +1,7 @@
 """Pages, images and the pipeline."""
 
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ import corpus_pipeline
 from lethe.llm import html, media
 from lethe.llm.components import components
 from lethe.llm.quality import op3_quality_resampling as quality_op
-from lethe.llm.work import saved
+from lethe.llm.work import saved, shared_dir
 from test_text_operators import WORD, _components, _spans
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body class="page"><header><h2>Site</h2></header><nav><ul><li>Home</ul></nav>
@@ -64,6 +66,26 @@ def test_templates_without_names(spark):
     assert {r["page_id"]: r["text"] for r in html.main_text(pages, held=0).collect()} == want  # templates joined instead of held
 
 
+def test_small_tables_of_main_text_are_few_files(spark):
+    """However many partitions a shuffle has: in a local folder executors start processes for each file."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.org/", PAGE % (i, i)) for i in range(400)], "page_id long, url string, html string").repartition(3)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    texts = lambda: sorted(map(tuple, html.main_text(pages).collect()))
+    want, before = texts(), set(folder.iterdir())
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        assert texts() == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = {p.name.split("-")[1]: len([*p.glob("part-*")]) for p in set(folder.iterdir()) - before}
+    assert files.keys() == {"parsed", "hosts", "seen", "templates"}
+    assert files["parsed"] == 3 and files["hosts"] == files["seen"] == files["templates"] == 1
+
+
 def test_image_copies(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 60)], "vec_id long, embedding array<float>")
     images = media.rendered(vectors).unionByName(spark.createDataFrame([(500, None), (501, bytearray(b"P5 junk")), (None, bytearray(b"x"))], "media_id long, image binary"))
