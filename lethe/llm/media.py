@@ -28,7 +28,7 @@ BAND_BITS, BANDS = 28, 9
 NEAR, LEAST, PIXELS, TURN, SCALING = 32, 5, 4.0, 0.35, 0.45
 #: Votes that can agree with each other beyond which not every one's transform is tried.
 ENOUGH = 2_000
-#: Ids and classes, and features of queries (each of them nine rows of 24 bytes), that may be broadcast.
+#: Ids and classes, and features of queries (each of them nine rows of 24 bytes), that may be broadcast at once; with 0 features both sides are shuffled.
 BROADCAST_ROWS, BROADCAST_FEATURES = 500_000, 150_000
 
 
@@ -243,35 +243,49 @@ def consensus(one: np.ndarray, two: np.ndarray) -> int:
 def _once(rows: DataFrame, keys: list[str], counted: DataFrame) -> DataFrame:
     """One of the rows of each key; only those of keys that counted(keys..., times) names as repeated are shuffled."""
     twice = saved(counted.where("times > 1").select(*keys), "twice")
-    small = sized_broadcast(twice, twice.count(), BROADCAST_ROWS)
+    n_twice = twice.count()
+    if not n_twice:
+        return rows
+    small = sized_broadcast(twice, n_twice, BROADCAST_ROWS)
     return rows.join(small, keys, "left_anti").unionByName(rows.join(small, keys, "left_semi").dropDuplicates(keys))
 
 
+def _firsts(rows: DataFrame, key: list[str], ids: DataFrame, first: DataFrame, n_first: int) -> DataFrame:
+    """The rows whose key is in first. Pictures are only shuffled where both the keys in first and those of the other rows are too many to broadcast."""
+    if n_first > BROADCAST_ROWS:
+        whole = ids.where("media_id is not null and hash is not null")
+        other = saved(whole.join(first.select(*key), key, "left_anti").select(*key).distinct(), "others")
+        n_other = other.count()
+        if n_other <= BROADCAST_ROWS:
+            return rows.where("media_id is not null and hash is not null").join(sized_broadcast(other, n_other, BROADCAST_ROWS), key, "left_anti")
+    return rows.join(sized_broadcast(first.select(*key), n_first, BROADCAST_ROWS), key, "left_semi")
+
+
 def votes(found: DataFrame, asked: DataFrame, n_asked: int) -> DataFrame:
     """(q, g, media_id, one, two): of every feature g of an asked picture the nearest one of each other picture, if near enough.
 
-    Only the asked pictures' descriptors are spread over the table's bands beforehand. While they are few they go to the tasks and all
-    others stream past them; else both sides are shuffled by key without their descriptors, which are fetched for what meets.
+    Only the asked pictures' descriptors are spread over the table's bands beforehand. They go to the tasks, BROADCAST_FEATURES of them at
+    a time, and all others stream past them with their places, so nothing is shuffled but what is near; each such pass is written.
     """
     own = found.join(sized_broadcast(asked, n_asked, BROADCAST_ROWS), "media_id", "left_semi")
-    own = own.select(F.col("media_id").alias("q"), F.col("f").alias("g"), *(F.col("d")[i].alias(f"e{i}") for i in range(4)))
+    place = F.array("x", "y", "s", "a")
+    own = own.select(F.col("media_id").alias("q"), F.col("f").alias("g"), place.alias("one"), *(F.col("d")[i].alias(f"e{i}") for i in range(4)))
     own = saved(own, "asked")
     n_own = own.count()
-    table = own.select("q", "g", F.explode(keys(F.array("e0", "e1", "e2", "e3"))).alias("key"))
+    passes = -(-n_own // BROADCAST_FEATURES) if BROADCAST_FEATURES else 1
     bits = sum((F.bit_count(F.col("d")[i].bitwiseXOR(F.col(f"e{i}"))) for i in range(4)), F.lit(0))
     near = (F.col("q") != F.col("media_id")) & (bits <= NEAR)
-    if n_own <= BROADCAST_FEATURES:
-        rows = found.select("media_id", "f", "d", F.explode(keys(F.col("d"))).alias("key")).join(F.broadcast(table), "key").join(F.broadcast(own), ["q", "g"]).where(near)
-    else:
-        spread = found.select("media_id", "f", F.explode(keys(F.col("d"))).alias("key"))
-        met = spread.join(table, "key").where("q <> media_id").select("q", "g", "media_id", "f").distinct()
-        rows = met.join(found.select("media_id", "f", "d"), ["media_id", "f"]).join(own, ["q", "g"]).where(near)
-    best = saved(rows.groupBy("q", "g", "media_id").agg(F.min(F.struct(bits.alias("b"), "f")).alias("m")).select("q", "g", "media_id", "m.f"), "near")
-    n_best = best.count()
-    place = lambda: F.array("x", "y", "s", "a")
-    best = found.select("media_id", "f", place().alias("two")).join(sized_broadcast(best, n_best, BROADCAST_FEATURES), ["media_id", "f"])
-    ones = saved(found.join(sized_broadcast(asked, n_asked, BROADCAST_ROWS), "media_id", "left_semi").select(F.col("media_id").alias("q"), F.col("f").alias("g"), place().alias("one")), "places")
-    return best.join(sized_broadcast(ones, n_own, BROADCAST_FEATURES), ["q", "g"]).select("q", "g", "media_id", "one", "two")
+    spread = found.select("media_id", "f", place.alias("two"), "d", F.explode(keys(F.col("d"))).alias("key"))
+    out = None
+    for n in range(max(1, passes)):
+        part = own.where(F.pmod(F.xxhash64("q", "g"), F.lit(max(1, passes))) == n)
+        table = part.select("q", "g", F.explode(keys(F.array("e0", "e1", "e2", "e3"))).alias("key"))
+        small = lambda df: F.broadcast(df) if BROADCAST_FEATURES else df
+        rows = spread.join(small(table), "key").join(small(part), ["q", "g"]).where(near)
+        best = rows.groupBy("q", "g", "media_id").agg(F.min(F.struct(bits.alias("b"), "f", "one", "two")).alias("m"))
+        best = saved(best.select("q", "g", "media_id", "m.one", "m.two"), "near")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def copies(images: DataFrame, query) -> DataFrame:
@@ -287,12 +301,12 @@ def copies(images: DataFrame, query) -> DataFrame:
     classes = saved(ids.where("hash is not null").groupBy("hash").agg(F.min("media_id").alias("class_id"), F.max("is_query").alias("asked")), "classes")
     first = classes.where("class_id is not null").select(F.col("class_id").alias("media_id"), "hash", "asked")
     n_first, key = first.count(), ["media_id", "hash"]
-    own = rows.join(sized_broadcast(first.select(*key), n_first, BROADCAST_ROWS), key, "left_semi")
+    own = _firsts(rows, key, ids, first, n_first)
     own = _once(own, key, ids.where("media_id is not null").groupBy(*key).agg(F.count("*").alias("times")))
     found = saved(described(own.select("media_id", "image")), "features")
     asked = saved(first.where("asked").select("media_id"), "queries")
     n_asked = asked.count()
-    met = saved(votes(found, asked, n_asked), "votes")
+    met = votes(found, asked, n_asked)
     enough = met.groupBy("q", "media_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("q", "media_id")
     met = met.join(saved(enough, "enough"), ["q", "media_id"], "left_semi")
     pairs = met.groupBy("q", "media_id").agg(F.array_sort(F.collect_list(F.struct("g", "one", "two"))).alias("votes"))  # at most a query's corners
@@ -319,8 +333,10 @@ def rendered(embeddings: DataFrame) -> DataFrame:
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("media_id"), F.col("embedding").cast("array<float>").alias("v"))
     kind = F.pmod("media_id", F.lit(10))
-    drawn = rows.withColumn("shown", F.when(kind.isin(3, 6, 9), F.col("media_id") - kind).otherwise(F.col("media_id")))
-    source = rows.select(F.col("media_id").alias("shown"), F.col("v").alias("w"))
+    edited = F.coalesce(kind.isin(3, 6, 9), F.lit(False))
+    source = rows.where(kind == 0).select(F.col("media_id").alias("shown"), F.col("v").alias("w"))
+    drawn = rows.where(edited).withColumn("shown", F.col("media_id") - kind).join(source, "shown", "left")
+    drawn = rows.where(~edited).unionByName(drawn.select("media_id", F.coalesce("w", "v").alias("v")))
 
     def run(batches):
         for batch in parts(batches):
@@ -338,7 +354,7 @@ def rendered(embeddings: DataFrame) -> DataFrame:
                 images.append(encode(img))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["media_id", "image"])
 
-    return drawn.join(source, "shown", "left").select("media_id", F.coalesce("w", "v").alias("v")).mapInArrow(run, "media_id long, image binary")
+    return drawn.mapInArrow(run, "media_id long, image binary")
 
 
 def op4_image_copies(spark, sf_dir: str) -> DataFrame:
